@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, minhash, packing, substring
+from . import chat, chroma, html_extract, langid, minhash, mixing, packing, substring, toxicity
 from .data import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,62 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(labels.where(~langid.held_out("doc_id", 4, 2)), docs)
+    rows = docs.select("doc_id", "text", langid.held_out("doc_id", 4, 2).alias("held_out"))
+    out = toxicity.score(rows, "text", model, ["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int")).select("doc_id", "held_out", "score", "predicted", F.size("offending.start").alias("n_offending"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = chat.link_quotes(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "turn", "role", "reply.text", "reply.n_quotes", "reply.n_linked", "reply.parent_turn", "reply.depth", "reply.root_turn", F.col("reply.path").alias("reply_path"))
+
+
+def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of ``conversations`` as a recording; turns of conversations divisible by 50 are the queries."""
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    key = F.shiftleft(F.col("conv_id"), 20) + F.col("turn")
+    prints = chroma.fingerprints(chroma.sonify(turns.select(key.alias("id"), "text")), "id", "audio")
+    queries = turns.where("conv_id % 50 = 0").select(key.alias("id"))
+    members, matches = chroma.align(prints, queries)
+    empty = {"frame_offset": "int", "votes": "long", "overlap": "int", "bit_error": "double"}
+    member_rows = members.select(F.lit("member").alias("kind"), F.col("id").alias("recording"), "class_id", *[F.lit(None).cast(t).alias(n) for n, t in empty.items()])
+    match_rows = matches.select(F.lit("match").alias("kind"), F.col("query_class").alias("recording"), F.col("match_class").alias("class_id"), *empty)
+    return member_rows.unionByName(match_rows)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, md5(text) AS digest FROM conversations),
+d AS (SELECT DISTINCT conv_id, turn, text, digest FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+lines AS (SELECT conv_id, turn, digest, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+lv AS (SELECT *, length(regexp_extract(line, '^((?:\s*>)*)', 1)) - length(replace(regexp_extract(line, '^((?:\s*>)*)', 1), '>', '')) AS level FROM lines),
+ch AS (SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, turn, digest ORDER BY n) THEN 0 ELSE 1 END AS change FROM lv),
+rn AS (SELECT *, sum(change) OVER (PARTITION BY conv_id, turn, digest ORDER BY n) AS run, regexp_replace(line, '^(?:\s*>)+\s?', '') AS body FROM ch),
+q AS (SELECT conv_id, turn, digest, run, level, string_agg(body, chr(10) ORDER BY n) AS whole, list(body ORDER BY n) AS bodies FROM rn WHERE level > 0 GROUP BY ALL),
+own AS (SELECT conv_id, turn, digest, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT regexp_matches(line, '^\s*>')), ''), '^\s+|\s+$', '', 'g') AS text FROM lines GROUP BY conv_id, turn, digest),
+said AS (SELECT conv_id, turn, text AS u FROM own UNION SELECT conv_id, turn, unnest(regexp_split_to_array(text, '
+\s*
+')) FROM own UNION SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM own),
+firsts AS (SELECT conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS unit, min(turn) AS original FROM said GROUP BY 1, 2),
+asked AS (SELECT conv_id, turn, digest, run, level, 0 AS part, whole AS u FROM q UNION ALL SELECT conv_id, turn, digest, run, level, 1, unnest(bodies) FROM q WHERE len(bodies) > 1),
+met AS (SELECT a.*, CASE WHEN f.original < a.turn AND f.unit <> '' THEN f.original END AS original FROM asked a LEFT JOIN firsts f ON f.conv_id = a.conv_id AND f.unit = trim(regexp_replace(lower(a.u), '\s+', ' ', 'g'))),
+linked AS (SELECT conv_id, turn, digest, run, level, coalesce(max(original) FILTER (WHERE part = 0), max(original)) AS original FROM met GROUP BY ALL),
+links AS (SELECT conv_id, turn, count(*) AS n_quotes, count(original) AS n_linked, max(struct_pack(d := -level, o := original)) FILTER (WHERE original IS NOT NULL) AS best FROM linked GROUP BY ALL),
+parents AS (SELECT conv_id, turn, n_quotes, n_linked, best.o AS parent FROM links),
+walk AS (SELECT conv_id, turn, parent AS up, lpad(turn::VARCHAR, 10, '0') AS path FROM parents WHERE parent IS NOT NULL
+  UNION ALL SELECT w.conv_id, w.turn, p.parent, concat(lpad(w.up::VARCHAR, 10, '0'), '/', w.path) FROM walk w LEFT JOIN parents p ON p.conv_id = w.conv_id AND p.turn = w.up WHERE w.up IS NOT NULL),
+paths AS (SELECT conv_id, turn, path FROM walk WHERE up IS NULL)
+SELECT m.conv_id, m.turn, m.role, CASE WHEN m.text IS NULL THEN NULL WHEN o.text IS NOT NULL THEN o.text ELSE m.text END AS text, coalesce(p.n_quotes, 0)::BIGINT AS n_quotes, coalesce(p.n_linked, 0)::BIGINT AS n_linked, p.parent AS parent_turn,
+  (len(string_split(coalesce(w.path, lpad(m.turn::VARCHAR, 10, '0')), '/')) - 1)::BIGINT AS depth, string_split(coalesce(w.path, lpad(m.turn::VARCHAR, 10, '0')), '/')[1]::BIGINT AS root_turn, coalesce(w.path, lpad(m.turn::VARCHAR, 10, '0')) AS reply_path
+FROM m LEFT JOIN own o USING (conv_id, turn, digest) LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN paths w USING (conv_id, turn)
+"""
+
 OP1_SQL = r"""
 WITH parts AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+[ \t]*\n?|\n)|[^.!?\n]+') AS us FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 a AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM parts),
@@ -77,9 +133,13 @@ FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quotation_linking": op2_quotation_linking,
+    "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
 }
-SQL = {"op1_substring_dedup": OP1_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL}
