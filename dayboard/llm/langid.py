@@ -67,12 +67,12 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 120) ->
     """Weights (bias last) of a linear machine with squared hinge loss; y is +-1; classes weigh alike."""
     cost = np.where(y > 0, 1 / max((y > 0).sum(), 1), 1 / max((y < 0).sum(), 1)) * 100 * c
     w = v = np.zeros(x.shape[1] + 1)
-    fit = lambda w: x @ w[:-1] + w[-1]
+    fit = lambda w: (x @ w[:-1].astype(x.dtype)).astype(float) + w[-1]
     step = 1 / (1 + 4 * cost.sum())  # |x| is 1, the bias adds 1
     t = 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * fit(v)) * y * cost
-        grad = v - 2 * np.concatenate([x.T @ slack, [slack.sum()]])
+        grad = v - 2 * np.append((slack.astype(x.dtype) @ x).astype(float), slack.sum())
         new, after = v - step * grad, (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / after * (new - w), new, after
     return w
