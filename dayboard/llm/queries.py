@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, html_extract, langid, minhash, mixing, packing, substring, toxicity
+from . import ann, chat, chroma, html_extract, langid, minhash, mixing, packing, substring, toxicity
 from .data import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int")).select("doc_id", "held_out", "score", "predicted", F.size("offending.start").alias("n_offending"))
 
 
+def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0").select("vec_id"), "vec_id", "embedding")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -138,6 +143,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_near_dedup": op6_near_dedup,
+    "op7_ann_search": op7_ann_search,
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
