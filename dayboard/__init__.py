@@ -1,0 +1 @@
+"""Dayboard: event-listing analytics on PySpark DataFrames."""
