@@ -9,6 +9,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import SPOT, VENUE_DOCUMENT
 
@@ -19,7 +20,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def venue_documents(spark: SparkSession, path: str, *, exclude: str = "template.json") -> DataFrame:
     """Venue documents with their file names; what cannot be parsed is kept in ``_corrupt_record``."""
-    schema = VENUE_DOCUMENT.add("_corrupt_record", "string")
+    schema = StructType([*VENUE_DOCUMENT.fields, StructField("_corrupt_record", StringType())])
     docs = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
     return docs.select("*", F.col("_metadata.file_name").alias("file_name")).where(F.col("file_name") != exclude)
 
