@@ -18,7 +18,7 @@ import tiktoken
 
 from . import textops as T
 
-_BLOCK, _MOST_WORDS = 1 << 20, 1 << 20
+_BLOCK, _MOST_WORDS = 1 << 19, 1 << 19
 _SPACE, _LETTER, _NUMBER, _OTHER, _END = range(5)
 _STOP = 0x110000
 #: Endings that form a pre-token with the apostrophe before them.
@@ -73,9 +73,10 @@ class FastIds:
         ranks = {bytes(byte[ch] for ch in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         # a pre-token comes whole: the pattern takes all there is
         self._one = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget all words."""
         self.place: dict[int, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
@@ -105,7 +106,7 @@ class FastIds:
         ends = c[start] == _STOP
         keys, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.place) > _MOST_WORDS:
-            self._clear()
+            self.clear()
         found = list(map(self.place.get, keys.tolist()))
         new = [i for i, k in enumerate(found) if k is None]
         if new:
@@ -123,7 +124,7 @@ class FastIds:
         return np.split(ids, total[ends][:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, blocks of about a million characters at a time."""
+        """Ids of each text, blocks of about half a million characters at a time."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         block: list[str] = []
         owner: list[int] = []

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .storage import Stash
 
 #: HTML element kinds and words in class, id or role that mark what is not the article.
@@ -196,7 +197,7 @@ def extract(page: str | None, path: str | None) -> str:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         hosts, paths, shares = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if page:
@@ -213,7 +214,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         texts = [extract(h, p) for h, p in zip(batch.column("_html").to_pylist(), batch.column("_path").to_pylist(), strict=True)]
         kept = [n for n in batch.schema.names if n not in ("_html", "_path")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, "text", "n_chars"])

@@ -117,17 +117,17 @@ class LanguageModel:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         label, out = [], []
         for lang, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
             x = char_features(text)
             if x is not None:
-                label.append(lang), out.append(x.astype(np.float32).tobytes())
+                label.append(lang), out.append(x.astype(np.float16).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), pa.array(out, pa.binary())], names=["label", "x"])
 
 
-def fit_language_model(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, per_language: int = 800, families: dict[str, str] | None = None) -> LanguageModel:
-    """Fit on about ``per_language`` rows of each language, as feature vectors of 16 kB each."""
+def fit_language_model(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, *, per_language: int = 500, families: dict[str, str] | None = None) -> LanguageModel:
+    """Fit on about ``per_language`` rows of each language, as feature vectors of 8 kB each."""
     families = FAMILY_OF if families is None else families
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).where("text is not null and label is not null")
     sample, _ = labelled_sample(rows, "label", "id", per_language)
@@ -135,8 +135,9 @@ def fit_language_model(labelled: DataFrame, id_col: str, text_col: str, lang_col
     model = LanguageModel()
     if not got:
         return model
-    x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(len(got), DIM)
+    x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32)
     lang = np.array([r.label for r in got])
+    del got
     family = np.array([families.get(v, v) for v in lang])
     model.families = sorted(set(family))
     columns, slopes = [], []
@@ -163,7 +164,7 @@ def fit_language_model(labelled: DataFrame, id_col: str, text_col: str, lang_col
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         got = [model.predict(t) for t in batch.column("_text").to_pylist()]
         at = batch.schema.get_field_index("_text")
         kept = [batch.column(i) for i in range(batch.num_columns) if i != at]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .linear import DIM, fit_softmax, posterior, word_features
 from .sampling import labelled_texts
 from .storage import Stash
@@ -32,7 +33,7 @@ class DomainModel:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         got = [word_features(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[0].astype(np.int32).tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["label", "at", "value"])
 
@@ -55,7 +56,7 @@ def fit_domains(labels: DataFrame, docs: DataFrame, domain_col: str, id_col: str
 
 
 def _posteriors(batches: Iterator[pa.RecordBatch], model: DomainModel) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         tokens, p = [], []
         for text in batch.column("text").to_pylist():
             at, value, n = word_features(text or "")

@@ -20,6 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .bpe import fast_ids
 from .storage import Stash
 
@@ -94,19 +95,19 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def _pieces(batches: Iterator[pa.RecordBatch], tokenizer: Broadcast, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     coder, part = fast_ids(tokenizer.value), TaskContext.get().partitionId()
     rank: dict[int, int] = defaultdict(int)
-    for batch in batches:
+    for batch in T.slices(batches, 512):
         ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-        for a in range(0, len(ids), 512):
-            rows = []
-            for i, tokens in zip(ids[a : a + 512], coder.encode([t or "" for t in texts[a : a + 512]]), strict=True):
-                tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
-                at, cut = 0, len(tokens) % capacity or capacity
-                for k in range(-(-len(tokens) // capacity)):
-                    rows.append((i, k, at, cut - at, zlib.crc32(tokens[at:cut].tobytes()), rank[cut - at]))
-                    rank[cut - at] += 1
-                    at, cut = cut, cut + capacity
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if j != 1 else pa.int32()) for j, c in enumerate(cols)), pa.array([part] * len(rows), pa.int32())], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
+        rows = []
+        for i, tokens in zip(ids, coder.encode([t or "" for t in texts]), strict=True):
+            tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
+            at, cut = 0, len(tokens) % capacity or capacity
+            for k in range(-(-len(tokens) // capacity)):
+                rows.append((i, k, at, cut - at, zlib.crc32(tokens[at:cut].tobytes()), rank[cut - at]))
+                rank[cut - at] += 1
+                at, cut = cut, cut + capacity
+        cols = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64() if j != 1 else pa.int32()) for j, c in enumerate(cols)), pa.array([part] * len(rows), pa.int32())], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"])
+    coder.clear()  # the worker lives on
 
 
 def _place(batches: Iterator[pa.RecordBatch], runs: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .storage import Stash
 
 #: A sentence with its line end, or what is left of a line; these cover a text without gaps.
@@ -48,7 +49,7 @@ def units(text: str, line_words: int, sentence_words: int) -> list[tuple[int, in
 
 def _units(batches: Iterator[pa.RecordBatch], line_words: int, sentence_words: int) -> Iterator[pa.RecordBatch]:
     names = ["id", "start", "end", "digest"]
-    for batch in batches:
+    for batch in T.slices(batches):
         ids, start, end, digest = [], [], [], []
         for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for a, b, d in units(text, line_words, sentence_words):

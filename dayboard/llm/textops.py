@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 _GOLD = U64(0x9E3779B97F4A7C15)
@@ -48,6 +50,13 @@ def _powers() -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[1], np.full(4095, _BASE)]).astype(U64))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that only so many rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 

@@ -100,7 +100,7 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         got = [sentence_words(t)[:2] for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["label", "word", "sentence"])
 
@@ -123,7 +123,7 @@ def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", i
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         score, starts, ends, values = [], [], [], []
         for text in batch.column("_text").to_pylist():
             if not text:
