@@ -2,7 +2,7 @@
 
 A recording becomes pitch-class frames (twelve energies each), an integral image over them answers sixteen
 rectangle filters for every window of frames, and the filters' values, two bits each, are packed into one integer
-a window.  Recordings with equal integers vote on the offset between them; the offset with most votes aligns the
+a window.  Recordings with equal integers (two, some windows apart) vote on the offset between them; the offset with most votes aligns the
 two, and the share of differing bits over their overlap says whether they hold the same sound.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .storage import Stash
 
-RATE, FRAME, HOP, SPAN = 2000, 512, 128, 16
+RATE, FRAME, HOP, SPAN, STEP = 2000, 512, 128, 16, 4
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 _STEPS = (-0.12, 0.0, 0.12)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -137,12 +137,17 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each key stands: an integer with the one ``STEP`` windows on, which chance hardly repeats."""
     for batch in batches:
+        ids, keys, places = [], [], []
         for i, p in zip(batch.column("id").to_pylist(), batch.column("prints").to_pylist(), strict=True):
-            x = np.frombuffer(p, "<u4")
-            # of a run of equal integers, as in a held note, the first one is listed
-            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(x[at].astype(np.int64)), pa.array(at.astype(np.int32))], names=["id", "key", "at"])
+            x = np.frombuffer(p, "<u4").astype(np.uint64)
+            key = (x << np.uint64(32)) | x[np.minimum(np.arange(len(x)) + STEP, len(x) - 1)]
+            # of a run of equal keys, as in a held note, the first one is listed
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ids.append(np.full(len(at), i)), keys.append(key[at].view(np.int64)), places.append(at.astype(np.int32))
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, places)], names=["id", "key", "at"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
