@@ -69,6 +69,7 @@ def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weigh
     seen = np.unique(of_doc.astype(np.int64) * DIM + word)
     n_docs = np.bincount(seen % DIM, minlength=DIM)
     n_pos = np.bincount(seen % DIM, y[seen // DIM], minlength=DIM)
+    del of_doc, seen
     use = n_docs >= min_docs
     vocab = np.flatnonzero(use)
     if not len(vocab):
@@ -105,7 +106,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())], names=["label", "word", "sentence"])
 
 
-def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, per_class: int = 4000) -> ToxicityModel:
+def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", *, per_class: int = 2500) -> ToxicityModel:
     """Fit on the texts of about ``per_class`` documents of each label (0 and 1); null labels are left out.
 
     Without documents of both labels the score is the same for all: 0, or 1 if every label is 1.
@@ -119,7 +120,9 @@ def fit_toxicity(labels: DataFrame, docs: DataFrame, label_col: str = "toxic", i
     y = np.array([int(r.label) for r in got])
     drawn = np.bincount(y, minlength=2)
     weight = np.array([counts.get(str(k), 0) / max(drawn[k], 1) for k in (0, 1)])[y]
-    return fit_noisy_or([(np.frombuffer(r.word, np.int32), np.frombuffer(r.sentence, np.int32)) for r in got], y, weight)
+    bags = [(np.frombuffer(r.word, np.int32), np.frombuffer(r.sentence, np.int32)) for r in got]
+    del got
+    return fit_noisy_or(bags, y, weight)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: ToxicityModel, keep: list[str]) -> Iterator[pa.RecordBatch]:
