@@ -254,7 +254,7 @@ def _beam_nodes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in ids])), pa.array(np.concatenate(ids))], names=["q", "node"])
 
 
-def greedy_search(graph: NeighbourGraph, asked: DataFrame, *, beam: int = 300, width: int = 32, keep: int = 64) -> DataFrame:
+def greedy_search(graph: NeighbourGraph, asked: DataFrame, *, beam: int = 300, width: int = 64, keep: int = 64) -> DataFrame:
     """``asked(q)`` nodes -> ``(q, node)``: each query's ``keep`` nearest nodes found, and itself."""
     stash = graph.stash
     near = graph.adjacency()
