@@ -19,7 +19,8 @@ _BASE = "documents"
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter go."""
-    return langid.identify(docs, "text", language_model(docs), docs.columns).where(F.col("lang_pred") != langid.UNDETERMINED).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # whatever the columns are called
+    return langid.identify(rows, "text", language_model(docs), ["row"]).where(F.col("lang_pred") != langid.UNDETERMINED).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines and sentences that stand earlier in the corpus; documents left blank by that go."""
-    out = substring.remove_repeats(docs, out_col="_deduped")
-    blank = (F.size("_deduped.start") > 0) & (F.trim(F.regexp_replace("_deduped.text", r"\s+", " ")) == "")
-    changed = {"text": F.col("_deduped.text"), "n_chars": F.length("_deduped.text").cast("long")}
+    out = substring.remove_repeats(docs, out_col="_deduped_text")
+    blank = (F.size("_deduped_text.start") > 0) & (F.trim(F.regexp_replace("_deduped_text.text", r"\s+", " ")) == "")
+    changed = {"text": F.col("_deduped_text.text"), "n_chars": F.length("_deduped_text.text").cast("long")}
     return out.where(~F.coalesce(blank, F.lit(False))).withColumns({k: v for k, v in changed.items() if k in docs.columns}).select(docs.columns)
 
 

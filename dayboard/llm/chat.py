@@ -53,10 +53,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     Messages that link to nothing are roots.  Null texts have null text and no quotes; a null conversation or turn
     links to nothing and has a null path.  Rows that repeat a turn are told apart by nothing and share their links.
-    An existing column ``reply`` is an error; columns of other names do not matter.
+    An existing column ``reply`` is replaced; columns of other names do not matter.
     """
-    if "reply" in messages.columns:
-        raise ValueError("column reply exists already")
     stash = Stash(messages.sparkSession, "chat")
     rows = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(text_col).alias("text")).where("conv is not null and turn is not null and text is not null")
     quotes = stash.put(quoted_passages(rows))

@@ -7,6 +7,7 @@ winning path; a page that has none of them falls back to its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -38,6 +39,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
 
 
+def _path(parent: str, step: str) -> str:
+    """The path of a child; what lies above a long path is hashed, so that deep pages stay small."""
+    if len(parent) > 400:
+        parent = "#" + hashlib.blake2b(parent.encode(), digest_size=8).hexdigest()
+    return f"{parent}>{step}"
+
+
 class Element:
     __slots__ = ("article", "children", "dropped", "linked", "parent", "path", "plain", "score", "tag")
 
@@ -115,7 +123,7 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         else:
             marks = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])] if "=" in m[3] else []
         classes = sorted({_DIGITS.sub("#", c) for k, v in marks if k == "class" for c in v.split()})[:2]
-        el = Element(tag, now, f"{now.path}>{'.'.join([tag, *classes])}", now.dropped or _boilerplate(tag, marks, now.article), now.article or tag in ("article", "main"))
+        el = Element(tag, now, _path(now.path, ".".join([tag[:40], *(c[:40] for c in classes)])), now.dropped or _boilerplate(tag, marks, now.article), now.article or tag in ("article", "main"))
         if tag not in VOID:
             now.children.append(el)
             every.append(el)
@@ -238,9 +246,9 @@ def extract_main_text(pages: DataFrame, keep: list[str], url_col: str = "url", h
 
     Null and empty html give empty text; pages without any tag give all their text; repeated rows count as
     repeated votes.  Winning paths are one row per host: Spark broadcasts them only if the written table is small.
+    Kept columns of the results' names give way to them.
     """
-    if {"text", "n_chars"} & set(keep):
-        raise ValueError("columns text and n_chars would clash with the result")
+    keep = [k for k in keep if k not in ("text", "n_chars", "_html", "_host", "_path")]
     stash = Stash(pages.sparkSession, "html")
     won = stash.put(host_paths(pages, url_col, html_col)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     rows = pages.select(*keep, F.col(html_col).alias("_html"), _host(url_col).alias("_host")).join(won, "_host", "left").drop("_host")

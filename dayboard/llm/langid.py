@@ -176,11 +176,10 @@ def identify(docs: DataFrame, text_col: str, model: LanguageModel, keep: list[st
     """``keep`` columns with ``lang_pred`` and ``score``, one row per input row.
 
     Null text and text without a letter give ``und`` with score 0, and so does every text if the model was
-    fitted on no rows.  Whole texts are read, whatever their length; repeated rows give equal rows.
+    fitted on no rows.  Whole texts are read, whatever their length; repeated rows give equal rows.  Kept columns of
+    the results' names give way to them.
     """
-    for name in ("lang_pred", "score"):
-        if name in keep:
-            raise ValueError(f"column {name} would clash with the result")
+    keep = [k for k in keep if k not in ("lang_pred", "score", "_text")]
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string", "score double"])
     return rows.mapInArrow(lambda it: _predict(it, model), schema)

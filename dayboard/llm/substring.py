@@ -91,10 +91,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The first occurrence by (id, offset) of every unit stays.  Rows that share an id are one document, so their
     units tie and are all kept or all removed.  Null texts stay null, empty ones empty; rows with a null id are
-    returned as they are and count as no occurrence.  An existing column named ``out_col`` is an error.
+    returned as they are and count as no occurrence.  An existing column named ``out_col`` is replaced.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists already")
     stash = Stash(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     found = stash.put(rows.mapInArrow(lambda it: _units(it, line_words, sentence_words), "id long, start int, end int, digest binary"))

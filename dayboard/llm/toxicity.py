@@ -144,9 +144,9 @@ def score(docs: DataFrame, text_col: str, model: ToxicityModel, keep: list[str])
     """``keep`` columns, ``score`` of the whole text, and ``offending``: start, end and score of sentences at 0.3 or more.
 
     Null and empty texts and texts without a word score 0; repeated rows score alike; an empty table gives no rows.
+    Kept columns of the results' names give way to them.
     """
-    if {"score", "offending"} & set(keep):
-        raise ValueError("columns score and offending would clash with the result")
+    keep = [k for k in keep if k not in ("score", "offending", "_text")]
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "score double, offending struct<start:array<int>,end:array<int>,score:array<double>>"])
     model = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size

@@ -216,6 +216,46 @@ def test_few_vectors(spark):
     assert ann.search(df.limit(0), df.select("vec_id"), "vec_id", "embedding").count() == 0
 
 
+def test_clashing_columns(spark):
+    """Columns with the names of results or of inner columns neither break an operator nor get lost in the pipeline."""
+    import corpus_pipeline as P
+
+    names = ["score", "lang_pred", "id", "key", "label", "size", "_text", "digest", "start", "spans", "class_id", "rate", "tokens", "posterior", "row", "band"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("x").alias(n) for n in names])
+    stash = storage.Stash(spark, "test")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = stash.put(out)
+        assert docs.where("score = 'x' and _text = 'x'").count() == docs.count() > 0
+    assert packing.pack(docs, PATH).count() > 0
+    model = toxicity.ToxicityModel(bias=-1.0)
+    assert toxicity.score(docs, "text", model, ["doc_id", "score", "label"]).columns == ["doc_id", "label", "score", "offending"]
+
+
+def test_empty_tables(spark):
+    import corpus_pipeline as P
+
+    none = spark.createDataFrame([], DOC)
+    stash = storage.Stash(spark, "test")
+    docs = none
+    for _, stage in P.STAGES[:-1]:
+        docs = stash.put(stage(spark, docs, SF))
+        assert docs.count() == 0 and docs.columns == none.columns
+    assert P.STAGES[-1][1](spark, docs, SF).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract_main_text(pages, ["page_id"]).count() == 0
+    talk = spark.createDataFrame([], "conv_id long, turn long, text string")
+    assert chat.link_quotes(talk).count() == 0
+    members, found = chroma.align(chroma.fingerprints(spark.createDataFrame([], "id long, audio binary"), "id", "audio"), spark.createDataFrame([], "id long"))
+    assert members.count() == found.count() == 0
+
+
+def test_deep_pages_stay_small():
+    page = "<div>" * 5000 + "<p>deep text of the page</p>" + "</div>" * 5000
+    assert html_extract.extract(page, None) == "deep text of the page"
+
+
 # HTML
 
 
