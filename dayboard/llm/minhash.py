@@ -6,10 +6,11 @@ hash; a dart counts where it lies below the shingle's weight, and each of the si
 dart of smallest rank.  Two texts agree in a coordinate with the probability of their weighted Jaccard
 similarity, and a signature costs time in proportion to the shingles plus k log k.
 
-Bands of coordinates are joined: every member of a bucket is compared with one member of it (a star), not with all
-others.  In buckets that still hold more than one class, members are sorted by the coordinates after the band's, as
-in a prefix tree, so that the most alike stand together, and neighbours of different classes are compared.  Work
-grows with the rows of buckets, not with their squares.  Every link is checked exactly on the shingles themselves.
+Bands of coordinates are joined: every member of a bucket is first compared with one member of it (a star).  In
+buckets that still hold more than one class, all pairs across classes are compared on the shingles themselves, in
+blocks of bounded size; a block gives only the links that join its classes, fewer than it has rows.  So every pair
+that shares a bucket and is similar enough ends in one class, however the rows are dealt.  The comparisons in a
+bucket of many classes that do not join grow with their square.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .ann import groups
 from .components import connected_components
 from .storage import Stash
 
@@ -117,26 +119,43 @@ def _near_size(threshold: float) -> Column:
     return F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], window: int, least: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes among rows of a bucket that stand close in the order of the rows."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-        n, old = t.num_rows, 0 if rest is None else rest.num_rows
-        key, ids, size, label = (t.column(c).to_numpy() for c in ("key", "id", "size", "label"))
-        low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(n, -1) if n else np.zeros((0, 1), np.uint8)
-        found = []
-        for step in range(1, window + 1):
-            j = np.arange(max(old, step), n)  # pairs of two rows that were carried over have been seen
-            i = j - step
-            ok = (key[i] == key[j]) & (label[i] != label[j]) & (np.minimum(size[i], size[j]) >= np.maximum(size[i], size[j]) * threshold - 1e-9)
-            i, j = i[ok], j[ok]
-            near = (low[i] == low[j]).sum(axis=1) >= least
-            found.append((ids[i[near]], ids[j[near]]))
-        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-        rest = t.slice(max(0, n - window))
+def _block_links(ids: np.ndarray, label: np.ndarray, off: np.ndarray, values: np.ndarray, part: np.ndarray, lo: np.ndarray, hi: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links that join the classes of a block as all its pairs at the threshold would: pairs inside one class are skipped."""
+    n, size = len(ids), np.diff(off)
+    comp = np.unique(label, return_inverse=True)[1]
+    _, code, often = np.unique(values[off[0] : off[-1]], return_inverse=True, return_counts=True)
+    holder = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+    first, off = np.cumsum(often) - often, off - off[0]
+    a, b = [], []
+    for i in np.flatnonzero(part == hi):
+        if (comp == comp[i]).all():
+            break
+        mine = code[off[i] : off[i + 1]]
+        mine = mine[often[mine] > 1]
+        many = often[mine]
+        common = np.bincount(holder[np.repeat(first[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
+        ok = (common >= (size[i] + size - common) * threshold - 1e-9) & (comp != comp[i])
+        if lo[i] != hi[i]:
+            ok &= part != part[i]  # pairs inside a part are compared in the part's own block
+        for j in np.flatnonzero(ok):
+            if comp[j] != comp[i]:
+                a.append(int(min(ids[i], ids[j]))), b.append(int(max(ids[i], ids[j])))
+                comp[comp == comp[j]] = comp[i]
+    return a, b
+
+
+def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links between classes inside each block of rows."""
+    for t, starts in groups(batches, "block"):
+        ids, label, part, lo, hi = (t.column(c).to_numpy() for c in ("id", "label", "part", "lo", "hi"))
+        items = t.column("items").combine_chunks()
+        off, values = items.offsets.to_numpy(), items.values.to_numpy()
+        a, b = [], []
+        for x, y in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            found = _block_links(ids[x:y], label[x:y], off[x : y + 1], values, part[x:y], lo[x:y], hi[x:y], threshold)
+            a += found[0]
+            b += found[1]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 class _Verifier:
@@ -159,7 +178,7 @@ class _Verifier:
         return self.stash.put(both.where(F.col("common") >= union * self.threshold - 1e-9).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 6, window: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n_words: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 6, block_rows: int = 1024, block_items: int = 1 << 20) -> DataFrame:
     """One row ``(id_col, class_id, n_shingles)`` per input row; ``class_id`` is the smallest id of its class.
 
     Texts with the same words in order are copies and share a class; so do texts joined by a chain of pairs whose
@@ -175,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = known.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stash.put(known.join(first.withColumnRenamed("rep", "id"), ["digest", "id"]).select("id", "size", "keys", "low").dropDuplicates(["id"]))
 
-    members = reps.select("id", F.posexplode("keys").alias("band", "key"))
+    members = reps.select("id", "size", F.posexplode("keys").alias("band", "key"))
     # the center of a bucket: the least hash, which near copies mostly share whatever the band
     draw = F.struct(F.xxhash64("id").alias("draw"), F.col("id").alias("id"))
     centers = members.groupBy("key").agg(F.min(draw).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("center"))
@@ -187,16 +206,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = check.links(check.plausible(stars))
     labels = connected_components(links, stash)
 
-    # buckets that still hold several classes: in the order of the coordinates that follow the band's, texts that
-    # agree in most of them stand close, and only those are compared
+    # buckets that still hold several classes: all pairs across classes.  Large buckets are dealt into parts by hash,
+    # and each pair of parts is a block of its own
     named = shared.drop("center").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    after = F.substr(F.concat("low", "low"), (F.col("band") + 1) * rows + 1, F.lit(32))
-    open_ = named.join(split, "key").join(reps.select("id", "size", "low"), "id").withColumn("order", after)
-    ordered = open_.repartitionByRange("key", "order", "id").sortWithinPartitions("key", "order", "id").select("key", "id", "size", "label", "low")
-    least = check.least
-    across = ordered.mapInArrow(lambda it: _neighbours(it, window, least, threshold), "a long, b long").distinct()
-    more = check.links(across)
+    parts = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_items)).cast("int")
+    split = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), parts.alias("parts")).where("least < most and n > 2").select("key", "parts")
+    dealt = named.join(split, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("id", "label", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key")
+    dealt = dealt.withColumn("block", F.xxhash64("key", "lo", "hi")).drop("key").join(items, "id")
+    across = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _across(it, threshold), "a long, b long")
+    more = stash.put(across.distinct())
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), stash)
 

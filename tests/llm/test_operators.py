@@ -110,6 +110,49 @@ def test_near_duplicates_against_all_pairs(spark, odd_rows):
     assert got == brute_classes(rows)
 
 
+def template_rows(rng, n):
+    """Texts of one template, mostly below the threshold to each other, and some pairs above it."""
+    base, rows = words(rng, 150), []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(150), 5):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+        if i % 8 == 0:
+            text[rng.randrange(150)] = "other"
+            text[rng.randrange(150)] = "another"
+            rows.append((10_000 + i, " ".join(text)))
+    return rows
+
+
+def bucket_classes(rows, bands, rows_a_band):
+    """Classes by all pairs that share a bucket, of texts that have words."""
+    sigs, sets = {}, {}
+    for i, t in rows:
+        el, w = minhash.weighted_shingles(t, 5)
+        sigs[i] = minhash.dart_signature(el, w, bands * rows_a_band).reshape(bands, rows_a_band)
+        sets[i] = collections.Counter(dict(zip(el.tolist(), w.tolist(), strict=True)))
+    label = {i: i for i in sigs}
+    for a in sorted(sigs):
+        for b in sorted(sigs):
+            if a < b and label[a] != label[b] and (sigs[a] == sigs[b]).all(axis=1).any():
+                common = (sets[a] & sets[b]).total()
+                if common >= 0.8 * (sets[a].total() + sets[b].total() - common):
+                    low, high = sorted((label[a], label[b]))
+                    label = {i: low if x == high else x for i, x in label.items()}
+    return label, max(collections.Counter(tuple(s[0]) for s in sigs.values()).values())
+
+
+def test_bucket_of_several_hundred_classes_against_all_pairs(spark):
+    rows = template_rows(random.Random(21), 400)
+    want, largest = bucket_classes(rows, 2, 1)
+    assert largest > 300 and 300 < len(set(want.values())) < len(rows) - 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for options in ({}, {"block_rows": 50}):  # one block a bucket, and many
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, bands=2, rows=1, **options).collect()}
+        assert got == want
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     el = rng.integers(1, 2**63, 300).astype(np.uint64)
