@@ -153,6 +153,23 @@ def test_bucket_of_several_hundred_classes_against_all_pairs(spark):
         assert got == want
 
 
+def test_small_buckets_are_whole_however_rows_are_dealt(spark):
+    rng = random.Random(22)
+    rows = [(100 * g + i, t) for g in range(30) for i, t in template_rows(rng, 12)]
+    want, largest = bucket_classes(rows, 1, 1)
+    assert largest < 32 and len(set(want.values())) < len(rows) - 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, bands=1, rows=1).collect()} == want, n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_signature_agreement_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     el = rng.integers(1, 2**63, 300).astype(np.uint64)
