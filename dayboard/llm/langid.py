@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .sampling import labelled_sample
+from .storage import small_batches
 
 DIM = 1 << 12
 _BLOCK = 1 << 20
@@ -179,6 +180,7 @@ def identify(docs: DataFrame, text_col: str, model: LanguageModel, keep: list[st
     fitted on no rows.  Whole texts are read, whatever their length; repeated rows give equal rows.  Kept columns of
     the results' names give way to them.
     """
+    small_batches(docs.sparkSession)
     keep = [k for k in keep if k not in ("lang_pred", "score", "_text")]
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string", "score double"])

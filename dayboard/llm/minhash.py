@@ -85,9 +85,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n_words: int, bands: int, row
                 digest.append(None), size.append(0), keys.append([]), low.append(None)
                 continue
             sig = dart_signature(el, w, bands * rows)
-            # the words in order say whether texts are copies; a text without a word is its only element
-            h, _, _ = T.words(T.codes(text))
-            digest.append(hashlib.blake2b((h if len(h) else el).tobytes(), digest_size=16).digest())
+            digest.append(_digest(text, el))
             size.append(int(w.sum()))
             part = np.zeros(bands, U64)
             for column in sig.reshape(bands, rows).T:
@@ -97,15 +95,24 @@ def _signatures(batches: Iterator[pa.RecordBatch], n_words: int, bands: int, row
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["id", "digest", "size", "keys", "low"])
 
 
+def _digest(text: str, elements: np.ndarray) -> bytes:
+    """The words in order say whether texts are copies; a text without a word is its only element."""
+    h, _, _ = T.words(T.codes(text))
+    return hashlib.blake2b((h if len(h) else elements).tobytes(), digest_size=16).digest()
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa.RecordBatch]:
     """Each shingle with its ordinal among equal ones: sets of these have the weighted similarity of the texts."""
     for batch in T.slices(batches):
-        out = []
-        for text in batch.column("text").to_pylist():
+        ids, out = [], []
+        for i, text, digest in zip(*(batch.column(n).to_pylist() for n in ("id", "text", "digest")), strict=True):
             el, w = weighted_shingles(text or "", n_words)
-            nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            out.append(T.mix(np.repeat(el, w) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "items"])
+            if len(el) and _digest(text, el) == digest:  # not another text under the same id
+                nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                ids.append(i), out.append(T.mix(np.repeat(el, w) + nth.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64))
+        off = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), items], names=["id", "items"])
 
 
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -123,15 +130,22 @@ def _block_links(ids: np.ndarray, label: np.ndarray, off: np.ndarray, values: np
     """Links that join the classes of a block as all its pairs at the threshold would: pairs inside one class are skipped."""
     n, size = len(ids), np.diff(off)
     comp = np.unique(label, return_inverse=True)[1]
+    if not comp.any():
+        return [], []
     _, code, often = np.unique(values[off[0] : off[-1]], return_inverse=True, return_counts=True)
-    holder = np.repeat(np.arange(n), size)[np.argsort(code, kind="stable")]
+    order = np.argsort(code, kind="stable")
+    holder = np.repeat(np.arange(n), size)[order]
     first, off = np.cumsum(often) - often, off - off[0]
+    # items that rows of one class hold alone link no classes
+    crosses = np.maximum.reduceat(comp[holder], first) != np.minimum.reduceat(comp[holder], first)
     a, b = [], []
     for i in np.flatnonzero(part == hi):
         if (comp == comp[i]).all():
             break
         mine = code[off[i] : off[i + 1]]
-        mine = mine[often[mine] > 1]
+        mine = mine[crosses[mine]]
+        if len(mine) < size[i] * threshold - 1e-9:  # what both hold is that share of either
+            continue
         many = often[mine]
         common = np.bincount(holder[np.repeat(first[mine] - np.cumsum(many) + many, many) + np.arange(many.sum())], minlength=n)
         ok = (common >= (size[i] + size - common) * threshold - 1e-9) & (comp != comp[i])
@@ -183,7 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with the same words in order are copies and share a class; so do texts joined by a chain of pairs whose
     weighted Jaccard similarity is at least ``threshold``.  Null and blank texts are each a class of their own; a
-    null id gives a null class.  Rows that repeat an id give one row each, with the class of that id.
+    null id gives a null class.  Rows that repeat an id give one row each; if their texts differ, each row has the
+    class of its own text, and of those texts that no smaller id has, the one of least digest stands for the id.
     Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
@@ -192,15 +207,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = stash.put(texts.mapInArrow(lambda it: _signatures(it, n_words, bands, rows), "id long, digest binary, size long, keys array<long>, low binary"))
     known = sigs.where("id is not null and digest is not null")
     first = known.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = stash.put(known.join(first.withColumnRenamed("rep", "id"), ["digest", "id"]).select("id", "size", "keys", "low").dropDuplicates(["id"]))
+    of_rep = known.join(first.withColumnRenamed("rep", "id"), ["digest", "id"])
+    reps = stash.put(of_rep.groupBy("id").agg(F.min(F.struct("digest", "size", "keys", "low")).alias("r")).select("id", "r.*"))
 
     members = reps.select("id", "size", F.posexplode("keys").alias("band", "key"))
     # the center of a bucket: the least hash, which near copies mostly share whatever the band
     draw = F.struct(F.xxhash64("id").alias("draw"), F.col("id").alias("id"))
     centers = members.groupBy("key").agg(F.min(draw).alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.id").alias("center"))
     shared = stash.put(members.join(centers, "key"))
-    ids = shared.select("id").distinct()
-    items = stash.put(texts.join(ids, "id", "left_semi").mapInArrow(lambda it: _occurrences(it, n_words), "id long, items array<long>").dropDuplicates(["id"]))
+    ids = reps.select("id", "digest").join(shared.select("id").distinct(), "id", "left_semi")
+    items = stash.put(texts.join(ids, "id").mapInArrow(lambda it: _occurrences(it, n_words), "id long, items array<long>").dropDuplicates(["id"]))
     check = _Verifier(reps, items, stash, threshold, bands * rows)
     stars = shared.where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
     links = check.links(check.plausible(stars))

@@ -141,5 +141,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     runs = np.array(plan(histogram, capacity) or [(0, 0, 0, 1, 0)], np.int64)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).drop("nth", "base", "part")
+    # one row a length and task, so it grows with the corpus and must not be broadcast: pieces are narrow rows to deal
+    ranked = pieces.join(base.hint("merge"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base")).drop("nth", "base", "part")
     return ranked.mapInArrow(lambda it: _place(it, runs), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

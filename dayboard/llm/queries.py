@@ -61,7 +61,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(labels.where(~langid.held_out("doc_id", 4, 2)), docs)
     rows = docs.select("doc_id", "text", langid.held_out("doc_id", 4, 2).alias("held_out"))
     out = toxicity.score(rows, "text", model, ["doc_id", "held_out"])
-    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int")).select("doc_id", "held_out", "score", "predicted", F.size("offending.start").alias("n_offending"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int")).select("doc_id", "held_out", "score", "predicted", F.col("offending.start").alias("offending_start"), F.col("offending.end").alias("offending_end"), F.col("offending.score").alias("offending_score"))
 
 
 def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,16 +121,21 @@ OP1_SQL = r"""
 WITH parts AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+[ \t]*\n?|\n)|[^.!?\n]+') AS us FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 a AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM parts),
 b AS (SELECT *, sum(length(u)) OVER w - length(u) AS s, sum(length(u)) OVER w AS e, coalesce(sum(CASE WHEN u LIKE '%' || chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line,
-  trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS n FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-lines AS (SELECT doc_id, line, min(s) AS s, max(e) AS e, count(*) AS parts, trim(regexp_replace(string_agg(n, ' ' ORDER BY k), ' +', ' ', 'g')) AS n FROM b GROUP BY doc_id, line),
-units AS (SELECT doc_id, s, e, n FROM lines WHERE n <> '' AND length(n) - length(replace(n, ' ', '')) + 1 >= 5
-  UNION ALL SELECT b.doc_id, b.s, b.e, b.n FROM b JOIN lines l USING (doc_id, line) WHERE l.parts > 1 AND b.n <> '' AND length(b.n) - length(replace(b.n, ' ', '')) + 1 >= 8),
-ranked AS (SELECT *, min(struct_pack(i := doc_id, s := s)) OVER (PARTITION BY n) AS f FROM units),
-gone AS (SELECT DISTINCT doc_id, s, e FROM ranked WHERE struct_pack(i := doc_id, s := s) > f),
+  trim(regexp_replace(u, '\s+', ' ', 'g')) AS n FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+c AS (SELECT *, CASE WHEN n = '' THEN 0 ELSE length(n) - length(replace(n, ' ', '')) + 1 END AS words FROM b),
+lines AS (SELECT doc_id, line, sum(words) = 0 AS empty FROM c GROUP BY doc_id, line),
+paras AS (SELECT doc_id, line, coalesce(sum(empty::INT) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para FROM lines),
+said AS (SELECT c.*, p.para, sum(words) OVER (PARTITION BY doc_id, para ORDER BY k) AS total FROM c JOIN paras p USING (doc_id, line) WHERE words > 0),
+spans AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM said GROUP BY doc_id, line HAVING sum(words) >= 20
+  UNION SELECT doc_id, min(s), max(e) FROM said GROUP BY doc_id, para HAVING sum(words) >= 20
+  UNION SELECT x.doc_id, x.s, y.e FROM (SELECT *, total - words + 20 AS target FROM said) x ASOF JOIN said y ON x.doc_id = y.doc_id AND x.para = y.para AND x.target <= y.total),
+units AS (SELECT doc_id, s, e, trim(regexp_replace(lower(regexp_replace(substring(text, (s + 1)::BIGINT, (e - s)::BIGINT), '([.!?]+)', '\1 ', 'g')), '\s+', ' ', 'g')) AS n FROM spans JOIN parts USING (doc_id)),
+ranked AS (SELECT *, min(struct_pack(i := doc_id, s := s, e := e)) OVER (PARTITION BY n) AS f FROM units),
+gone AS (SELECT DISTINCT doc_id, s, e FROM ranked WHERE doc_id > f.i OR s >= f.e),
 marked AS (SELECT b.doc_id, b.k, b.u, b.s, b.e, EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = b.doc_id AND g.s <= b.s AND b.e <= g.e) AS out FROM b),
 islands AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, out ORDER BY k) AS island FROM marked),
-spans AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands WHERE out GROUP BY doc_id, island),
-r AS (SELECT doc_id, string_agg(concat(s, '-', e), ',' ORDER BY s) AS removed, sum(e - s) AS chars FROM spans GROUP BY doc_id),
+cut AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM islands WHERE out GROUP BY doc_id, island),
+r AS (SELECT doc_id, string_agg(concat(s, '-', e), ',' ORDER BY s) AS removed, sum(e - s) AS chars FROM cut GROUP BY doc_id),
 t AS (SELECT doc_id, string_agg(u, '' ORDER BY k) FILTER (WHERE NOT out) AS text FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text, coalesce(r.removed, '') AS removed, coalesce(r.chars, 0)::BIGINT AS chars_removed
 FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)

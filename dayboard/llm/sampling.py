@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 
-def labelled_sample(rows: DataFrame, label_col: str, id_col: str, per_class: int) -> tuple[DataFrame, dict]:
+
+def labelled_sample(rows: DataFrame, label_col: str, id_col: str, per_class: int, most_labels: int = 256) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each label, drawn by a hash of the id, and the count of every label.
 
-    The draw is a filter on the scan: no shuffle of texts.  All rows of rarer labels are taken.
+    The draw is a filter on the scan: no shuffle of texts.  All rows of rarer labels are taken.  A model learns the
+    ``most_labels`` most frequent labels, so that a dirty label column cannot make it or the sample large.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
+    small_batches(rows.sparkSession)
+    most = rows.groupBy(label_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label_col).limit(most_labels)
+    counts = {r[0]: r[1] for r in most.collect()}
     if not counts:
         return rows.limit(0), counts
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_class / n))])

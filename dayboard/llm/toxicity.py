@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .sampling import labelled_texts
+from .storage import small_batches
 
 DIM = 1 << 18
 #: Signs that end a sentence.
@@ -149,5 +150,6 @@ def score(docs: DataFrame, text_col: str, model: ToxicityModel, keep: list[str])
     keep = [k for k in keep if k not in ("score", "offending", "_text")]
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "score double, offending struct<start:array<int>,end:array<int>,score:array<double>>"])
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
     return rows.mapInArrow(lambda it: _score(it, model.value, keep), schema)

@@ -31,20 +31,43 @@ def odd_rows():
 # substring dedup
 
 
+def plain_units(text, least=20):
+    """Lines, paragraphs and shortest runs of sentences from each sentence on, by trying every range of sentences."""
+    parts, line, para, empty = [], 0, 0, True
+    for m in substring._UNIT.finditer(text):
+        said = m[0].lower().encode("utf-8", "surrogatepass").split()
+        if said:
+            parts.append((m.start(), m.end(), said, line, para))
+            empty = False
+        if m[0].endswith("\n"):
+            line, para, empty = line + 1, para + empty, True
+    out = set()
+    for i in range(len(parts)):
+        for j in range(i, len(parts)):
+            if parts[j][4] != parts[i][4]:
+                break
+            words = [w for p in parts[i : j + 1] for w in p[2]]
+            if len(words) >= least:
+                whole = [(i == 0 or parts[i - 1][k] != parts[i][k]) and (j + 1 == len(parts) or parts[j + 1][k] != parts[j][k]) and parts[i][k] == parts[j][k] for k in (3, 4)]
+                if any(whole) or len(words) - len(parts[j][2]) < least:
+                    out.add((parts[i][0], parts[j][1], b" ".join(words)))
+    return out
+
+
 def brute_units(rows):
     first, spans = {}, collections.defaultdict(set)
-    units = [(i, a, b, d) for i, t in rows if i is not None and t is not None for a, b, d in substring.units(t, 5, 8)]
-    for i, a, _, d in units:
-        first[d] = min(first.get(d, (i, a)), (i, a))
+    units = [(i, a, b, d) for i, t in rows if i is not None and t is not None for a, b, d in plain_units(t)]
     for i, a, b, d in units:
-        if (i, a) > first[d]:
+        first[d] = min(first.get(d, (i, a, b)), (i, a, b))
+    for i, a, b, d in units:
+        if i > first[d][0] or a >= first[d][2]:
             spans[i].add((a, b))
     return {i: substring.merge(list(s)) for i, s in spans.items()}
 
 
 def test_substring_against_brute_force(spark, odd_rows):
     rng = random.Random(1)
-    pool = [" ".join(words(rng, rng.randint(2, 14))) + rng.choice([". ", "! ", "\n", ".\n", ""]) for _ in range(60)]
+    pool = [" ".join(words(rng, rng.randint(2, 14))) + rng.choice([". ", "! ", "\n", ".\n", ".\n\n", ""]) for _ in range(30)]
     rows = odd_rows + [(100 + k, "".join(rng.choice(pool) for _ in range(rng.randint(1, 15)))) for k in range(60)]
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     want = brute_units(rows)
@@ -57,6 +80,24 @@ def test_substring_against_brute_force(spark, odd_rows):
         assert r.deduped.text == (None if r.text is None else kept + r.text[at:])
 
 
+def test_passage_inside_a_line_goes_whole_and_lone_sentences_stay(spark):
+    rng = random.Random(15)
+    short = [" ".join(words(rng, 4)) + "." for _ in range(15)]  # sixty words in short sentences
+    lone = "Nobody said anything about this before."
+    rows = [(i, f"{lone} {' '.join(words(rng, 30))}. {' '.join(short)} {' '.join(words(rng, 30))}.") for i in range(3)]
+    got = {r.doc_id: r.deduped for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1]
+    for i in (1, 2):
+        assert not any(s in got[i].text for s in short) and lone in got[i].text
+        assert rows[i][1][got[i].start[0] : got[i].end[0]].split() == " ".join(short).split()
+
+
+def test_equal_neighbours_keep_one_whole_unit(spark):
+    same = " ".join(f"w{k}" for k in range(10)) + ". "
+    got = substring.remove_repeats(spark.createDataFrame([(1, same * 4)], "doc_id long, text string").withColumn("spans", F.lit(0)).withColumn("_repeat", F.lit(1))).first()
+    assert got.deduped.text == same * 2 and got.spans == 0
+
+
 def test_shared_passage_goes_and_the_rest_stays(spark):
     rng = random.Random(2)
     passage = ". ".join(" ".join(words(rng, 12)) for _ in range(5)) + "."
@@ -377,16 +418,14 @@ def test_rates_meet_targets_and_match_a_plain_loop(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_equal_the_tokenizers(tokenizer):
     import pyarrow.parquet as pq
 
     rng = random.Random(10)
-    texts = ["", " ", "it's don't've 'tis \"'s ''s", "a  b\n\n c \t d", "İ ʼ 12 3१ 😀", "<|endoftext|> x"] + ["".join(rng.choice(" '\nabst re12.é!s　") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    texts = ["", " ", "it's don't've 'tis \"'s ''s", "a  b\n\n c \t d", "İ ʼ 12 3१ 😀", "<|endoftext|> x", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>", "<|endoftext| > don't<|endoftext|>'s"] + ["".join(rng.choice(" '\nabst re12.é!s　") for _ in range(rng.randint(1, 60))) for _ in range(2000)]
     texts += pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist()
     texts.append("word and another word " * 60000)  # split into blocks
     coder = bpe.FastIds(open(PATH, encoding="utf-8").read())
