@@ -3,8 +3,9 @@
 Equal vectors are one node.  Nodes start with neighbours from blocks of random projections; then each round joins
 every node's neighbours and reverse neighbours with each other (a neighbour of a neighbour is likely one too) and
 keeps the closest, until few lists change.  A search starts at the query's own neighbours and expands the nearest
-nodes not yet expanded, a batch a round, until its beam holds no more of them.  Rounds use vectors in bytes with a
-scale each; the distances returned are computed on the original vectors.
+nodes not yet expanded, a batch a round, until its beam holds no more of them.  Rounds use vectors in 16-bit integers
+with a scale each, which tell apart what differs by a 30,000th of a vector's largest component; the whole beam is
+then ranked by distances of the original vectors.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ _GRAPH = "node long, code binary, ids binary, ds binary, new binary, n_new int"
 
 
 def encode(x: np.ndarray) -> list[bytes]:
-    """Signed bytes of each vector after its scale; vectors are not zero."""
-    scale = np.abs(x).max(axis=1, keepdims=True) / 127
-    body = np.rint(x / scale).astype(np.int8)
-    return [s.tobytes() + b.tobytes() for s, b in zip(scale.astype("<f4"), body, strict=True)]
+    """16-bit integers of each vector after its scale; vectors are not zero."""
+    scale = (np.abs(x).max(axis=1, keepdims=True) / 32767).astype("<f4")
+    body = np.clip(np.rint(x / np.maximum(scale, np.float32(1e-38))), -32768, 32767).astype("<i2")
+    return [s.tobytes() + b.tobytes() for s, b in zip(scale, body, strict=True)]
 
 
 def decode(codes: list[bytes] | bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(codes if isinstance(codes, bytes) else b"".join(codes), np.uint8).reshape(n, -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view("<f4")
+    return raw[:, 4:].copy().view("<i2").astype(np.float32) * raw[:, :4].copy().view("<f4")
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def _adjacency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class NeighbourGraph:
     """NN-descent over ``nodes(node long, vec array<double>)``: distinct vectors, finite and not zero, of one length."""
 
-    def __init__(self, nodes: DataFrame, dim: int, stash: Stash, *, k: int = 40, block: int = 1024, projections: int = 3, rounds: int = 6, found_per_group: int = 12, enough: float = 0.02):
+    def __init__(self, nodes: DataFrame, dim: int, stash: Stash, *, k: int = 40, block: int = 1024, projections: int = 3, found_per_group: int = 12, enough: float = 0.02):
         self.stash, self.k = stash, k
         cols = ", ".join(f"p{i} double" for i in range(projections))
         base = stash.put(nodes.mapInArrow(lambda it: _nodes(it, dim, projections), f"node long, code binary, {cols}"))
@@ -169,12 +170,12 @@ class NeighbourGraph:
         graph = stash.put(start.mapInArrow(lambda it: _merge(it, k), _GRAPH))
         n = graph.count()
         stash.drop(base)
-        for _ in range(rounds if n > block else 0):
+        fresh = n * k if n > block else 0
+        while fresh > enough * n * k:  # lists only get nearer, so this ends
             after = stash.put(self._round(graph, found_per_group))
             stash.drop(graph)
             graph = after
-            if (graph.agg(F.sum("n_new")).first()[0] or 0) <= enough * n * k:
-                break
+            fresh = graph.agg(F.sum("n_new")).first()[0] or 0
         self.graph = graph
 
     def _pairs(self, graph: DataFrame) -> DataFrame:
@@ -245,17 +246,17 @@ def _advance(batches: Iterator[pa.RecordBatch], beam: int, width: int) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("code"), *(pa.array(c, pa.binary()) for c in cols[:3]), pa.array(cols[3], pa.int32())], names=["q", "code", "ids", "ds", "done", "open"])
 
 
-def _beam_nodes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _beam_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        q, ids = batch.column("q").to_numpy(), [np.frombuffer(x, "<i8")[:n] for x in batch.column("ids").to_pylist()]
+        q, ids = batch.column("q").to_numpy(), [np.frombuffer(x, "<i8") for x in batch.column("ids").to_pylist()]
         # a query's own node is near it too: its equals are candidates
         ids = [np.append(x, i) for i, x in zip(q, ids, strict=True)]
         if len(q):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in ids])), pa.array(np.concatenate(ids))], names=["q", "node"])
 
 
-def greedy_search(graph: NeighbourGraph, asked: DataFrame, *, beam: int = 300, width: int = 64, keep: int = 64) -> DataFrame:
-    """``asked(q)`` nodes -> ``(q, node)``: each query's ``keep`` nearest nodes found, and itself."""
+def greedy_search(graph: NeighbourGraph, asked: DataFrame, *, beam: int = 300, width: int = 64) -> DataFrame:
+    """``asked(q)`` nodes -> ``(q, node)``: the nodes of each query's beam, and itself."""
     stash = graph.stash
     near = graph.adjacency()
     mine = graph.graph.join(asked.select(F.col("q").alias("node")), "node", "left_semi")
@@ -269,7 +270,7 @@ def greedy_search(graph: NeighbourGraph, asked: DataFrame, *, beam: int = 300, w
         after = stash.put(state.join(met, "q", "left").mapInArrow(lambda it: _advance(it, beam, width), schema))
         stash.drop(state), stash.drop(front)
         state = after
-    return state.mapInArrow(lambda it: _beam_nodes(it, keep), "q long, node long")
+    return state.mapInArrow(_beam_nodes, "q long, node long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str, vec_col: str, *, top: int = 10, **graph_options) -> DataFrame:

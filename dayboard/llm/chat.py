@@ -28,6 +28,14 @@ def _own(text: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
+def _place(turn: Column) -> Column:
+    """A turn as text that sorts like the number: ten digits, longer ones after a letter for their length, negative
+    ones before all."""
+    digits = F.abs(turn).cast("string")
+    wide = F.when(F.length(digits) > 10, F.concat(F.chr(F.lit(86) + F.length(digits)), digits)).otherwise(F.lpad(digits, 10, "0"))
+    return F.when(turn < 0, F.concat(F.lit("-"), F.lpad((turn + F.lit(1 << 62)).cast("string"), 19, "0"))).otherwise(wide)
+
+
 def _key(conv: str, hashed: Column) -> list[Column]:
     return [F.col(conv), hashed.alias("hash")]
 
@@ -46,6 +54,10 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     return runs.select("conv", "turn", F.struct("digest", "run").alias("passage"), "level", F.col("lines.body").alias("lines"))
 
 
+def _turn(place: Column) -> Column:
+    return F.when(place.startswith("-"), F.substr(place, F.lit(2)).cast("long") - F.lit(1 << 62)).otherwise(F.regexp_replace(place, "^[a-z]", "").cast("long"))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """``messages`` with ``reply``: a struct of the text without quotes, the counts of quoted passages and of those
     that were linked, the turn answered, the depth and root of the answer path, and the path as a string that sorts
@@ -73,25 +85,25 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     links = stash.put(linked.groupBy("conv", "turn").agg(F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"), best.alias("parent")))
 
     # the path to the root, doubled in length by each round
-    step = F.lpad(F.col("turn").cast("string"), 10, "0")
+    step = _place(F.col("turn"))
     paths = stash.put(links.where("parent is not null").select("conv", "turn", F.col("parent").alias("up"), step.alias("path")))
     while not paths.where("up is not null").isEmpty():
         above = paths.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
         longer = paths.join(above, ["conv", "up"], "left")
         # what answers nothing ends the path
-        head = F.coalesce("head", F.lpad(F.col("up").cast("string"), 10, "0"))
+        head = F.coalesce("head", _place(F.col("up")))
         paths = stash.put(longer.select("conv", "turn", F.col("next").alias("up"), F.when(F.col("up").isNotNull(), F.concat_ws("/", head, "path")).otherwise(F.col("path")).alias("path")))
 
     found = links.join(paths.select("conv", "turn", "path"), ["conv", "turn"], "left").select(F.col("conv").alias("_link_conv"), F.col("turn").alias("_link_turn"), F.struct("n_quotes", "n_linked", "parent", "path").alias("_link"))
     joined = messages.join(found, (messages[conv_col] == found["_link_conv"]) & (messages[turn_col] == found["_link_turn"]), "left")
-    path = F.coalesce("_link.path", F.when(messages[conv_col].isNotNull(), F.lpad(messages[turn_col].cast("string"), 10, "0")))
+    path = F.coalesce("_link.path", F.when(messages[conv_col].isNotNull(), _place(messages[turn_col])))
     reply = F.struct(
         _own(messages[text_col]).alias("text"),
         F.coalesce("_link.n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("_link.n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("_link.parent").cast("long").alias("parent_turn"),
         (F.size(F.split(path, "/")) - 1).cast("long").alias("depth"),
-        F.split(path, "/")[0].cast("long").alias("root_turn"),
+        _turn(F.split(path, "/")[0]).alias("root_turn"),
         path.alias("path"),
     )
     return joined.withColumn("reply", reply).drop("_link_conv", "_link_turn", "_link")

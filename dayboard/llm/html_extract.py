@@ -1,8 +1,14 @@
 """Main text of web pages by consensus of the pages of a host.
 
-Every page scores its containers by the text of their paragraphs that is not in links.  The pages of a host vote
-on generalised tag-class paths, in Spark, and each page is then extracted from the containers on its host's
-winning path; a page that has none of them falls back to its own best container.
+Every page scores its containers by the text below them that is not in links, and finds the smallest one that holds
+the article: from the body down, as long as one element holds nearly all and no heading, lead or section is left
+beside it.  The pages of a host vote on generalised tag-class paths, in Spark, and each page is then extracted from
+the containers on its host's winning path.  A page that has none of them, or less than half of its article in them,
+keeps its own choice.
+
+Elements that are never text (scripts, menus, footers and the like) go by their tag.  Marks in class, id or role only
+weigh: all words of a mark must speak of what is not the article, a mark that speaks of content outweighs them, and
+so does a main heading inside.  Headers of articles stay, those of sites go.
 """
 
 from __future__ import annotations
@@ -23,14 +29,17 @@ from .storage import Stash
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript template nav footer aside form button select iframe object svg canvas audio video dialog menu textarea title input option fieldset".split())
-CONTAINERS = frozenset("body main article section div td center html".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select iframe object svg canvas audio video dialog menu textarea title input option fieldset".split())
+CONTAINERS = frozenset("body main article section div td center html form".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus feedback footer form login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus feedback footer form login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
+NEUTRAL = frozenset("area bar block bottom box center col column container global group holder inner item items js left list link links outer page panel post posts primary region right row secondary section site slot top unit wrap wrapper zone".split())
+CONTENT = frozenset("article articlebody body content entry main story text".split())
+PAGE = frozenset(("#root", "html", "body"))
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -47,56 +56,62 @@ def _path(parent: str, step: str) -> str:
 
 
 class Element:
-    __slots__ = ("article", "children", "dropped", "linked", "parent", "path", "plain", "score", "tag")
+    __slots__ = ("children", "heading", "kind", "parent", "path", "plain", "score", "tag", "top")
 
-    def __init__(self, tag: str, parent: Element | None, path: str, dropped: bool, article: bool):
-        self.tag, self.parent, self.path, self.dropped, self.article = tag, parent, path, dropped, article
+    def __init__(self, tag: str, parent: Element | None, path: str, kind: str):
+        self.tag, self.parent, self.path = tag, parent, path
+        self.kind = kind  # "gone" by its tag or what it is in, "soft" or "header" by its marks, or ""
         self.children: list[Element | str] = []
-        self.plain = self.linked = 0
-        self.score = 0.0
+        self.plain = self.score = 0
+        self.heading = False  # whether a main heading or an article is inside
+        self.top = tag in PAGE  # whether it lays out a page: menus, footers or the like are its children
 
 
-def _boilerplate(tag: str, marks: list[tuple[str, str]], inside: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
+def _kind(tag: str, marks: list[tuple[str, str]]) -> str:
+    if tag in DROPPED:
+        return "gone"
+    if tag == "header":
+        return "header"
     if tag in ("body", "html", "article", "main"):
-        return False
+        return ""
+    found = "soft" if tag == "form" else ""
     for _, value in marks:
-        for w in _WORD.findall(_CAMEL.sub(" ", value).lower()):
-            if w in BOILERPLATE or w in HEADERS and not inside:
-                return True
-    return False
+        for token in value.split():
+            words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+            words = {w for w in words if not w.isdigit()}
+            if words & CONTENT and not words & BOILERPLATE:
+                return ""
+            if words & BOILERPLATE and words <= BOILERPLATE | NEUTRAL | HEADERS | CONTENT:
+                found = "soft"
+            elif words & HEADERS and words <= HEADERS | NEUTRAL and not found:
+                found = "header"
+    return found
 
 
 def parse(page: str) -> tuple[Element, list[Element]]:
-    """The root and all elements in page order; dropped elements keep no text."""
-    root = Element("#root", None, "", False, False)
-    every, now, at = [root], root, 0
-
-    def text(raw: str, linked: bool) -> None:
-        if now.dropped or not raw:
-            return
-        now.children.append(raw)
-        n = len(raw.strip())
-        if linked:
-            now.linked += n
-        else:
-            now.plain += n
-
-    links = 0
+    """The root and all elements in page order."""
+    root = Element("#root", None, "", "")
+    every, now, at, links = [root], root, 0, 0
     page_lower = None
+
+    def text(raw: str) -> None:
+        if now.kind != "gone" and raw:
+            now.children.append(raw)
+            if not links:
+                now.plain += len(raw.strip())
+
     while m := _TAG.search(page, at):
         if m.start() > at:
-            text(_html.unescape(page[at : m.start()]) if "&" in page[at : m.start()] else page[at : m.start()], links > 0)
+            text(_html.unescape(page[at : m.start()]) if "&" in page[at : m.start()] else page[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             up = now
-            while up is not root and up.tag != tag:
+            while up is not root and up.tag != tag and not (tag in INLINE and up.tag not in INLINE):
                 up = up.parent
-            if up is not root:
+            if up is not root and up.tag == tag:
                 now = up.parent
             if tag == "a":
                 links = max(0, links - 1)
@@ -111,57 +126,83 @@ def parse(page: str) -> tuple[Element, list[Element]]:
                 up = up.parent
             if up is not root and up.tag in wanted:
                 now, links = up.parent, 0
+        if tag in ("br", "wbr", "img"):
+            text(" ")
+            continue
+        if tag == "a":
+            links += 1
+        marks = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])] if "=" in m[3] else []
+        kind = "gone" if now.kind == "gone" else _kind(tag, marks)
         if tag in INLINE:
-            if tag == "a":
-                links += 1
-                continue
-            if tag in ("br", "wbr", "img"):
-                text(" ", False)
-                continue
-            if not (marks := [(a[0], a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])]) or not _boilerplate(tag, marks, now.article):
-                continue
+            path = now.path
         else:
-            marks = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])] if "=" in m[3] else []
-        classes = sorted({_DIGITS.sub("#", c) for k, v in marks if k == "class" for c in v.split()})[:2]
-        el = Element(tag, now, _path(now.path, ".".join([tag[:40], *(c[:40] for c in classes)])), now.dropped or _boilerplate(tag, marks, now.article), now.article or tag in ("article", "main"))
-        if tag not in VOID:
-            now.children.append(el)
-            every.append(el)
-            if tag in RAW:
-                if page_lower is None:
-                    page_lower = page.lower()
-                    if len(page_lower) != len(page):
-                        page_lower = re.sub(r"</[A-Za-z]+", lambda t: t[0].lower(), page)
-                end = page_lower.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
-            if not m[3].endswith("/") or tag not in RAW:
-                now = el
+            classes = sorted({_DIGITS.sub("#", c) for k, v in marks if k == "class" for c in v.split()})[:2]
+            path = _path(now.path, ".".join([tag[:40], *(c[:40] for c in classes)]))
+        if tag in VOID:
+            continue
+        el = Element(tag, now, path, kind)
+        now.children.append(el)
+        every.append(el)
+        if kind == "gone" and now.kind != "gone" and tag in ("nav", "footer", "aside"):
+            now.top = True
+        if tag in ("h1", "article", "main") and kind != "gone":
+            up = el
+            while up is not None and not up.heading:
+                up.heading = True
+                up = up.parent
+        if tag in RAW:
+            if page_lower is None:
+                page_lower = page.lower()
+                if len(page_lower) != len(page):
+                    page_lower = re.sub(r"</[A-Za-z]+", lambda t: t[0].lower(), page)
+            end = page_lower.find(f"</{tag}", at)
+            at = len(page) if end < 0 else end
+        if not m[3].endswith("/") or tag not in RAW:
+            now = el
     if at < len(page):
-        text(_html.unescape(page[at:]), links > 0)
+        text(_html.unescape(page[at:]))
+    for el in every:  # parents come before their children
+        if el.parent is not None and el.parent.kind == "gone":
+            el.kind = "gone"
+        elif el.kind == "soft" and el.heading:
+            el.kind = ""
+        elif el.kind == "soft":
+            el.kind = "gone"
+            el.parent.top = el.parent.top or el.tag not in INLINE and el.tag != "form"
     return root, every
 
 
 def rate(every: list[Element]) -> list[Element]:
-    """Give every container its score; containers with any, in page order.
-
-    Paragraphs count for the container they stand in, its containers for half.
-    """
-    for el in reversed(every):  # children come after their parents
-        if el.dropped:
-            continue
-        own = max(0, el.plain - el.linked)
-        up = el.parent
-        if el.tag in CONTAINERS:
-            el.score += own
-            if up is not None:
-                up.score += el.score / 2
-        elif up is not None:
-            up.score += el.score + own
-    return [el for el in every if el.tag in CONTAINERS and el.score > 0 and not el.dropped]
+    """Give every element the text below it that is not in links; containers with any, in page order."""
+    for el in reversed(every):
+        if el.kind != "gone":
+            el.score += el.plain
+            if el.parent is not None and el.kind != "header":
+                el.parent.score += el.score
+    return [el for el in every if el.tag in CONTAINERS and el.score > 0 and el.kind == ""]
+
+
+def article_of(root: Element) -> Element:
+    """The smallest container that holds the article."""
+    now = best = root
+    while True:
+        if now.tag in CONTAINERS:
+            best = now
+        kids = [c for c in now.children if isinstance(c, Element) and c.kind != "gone"]
+        main = max((c for c in kids if c.kind == ""), key=lambda c: c.score, default=None)
+        if now.tag == "article" or main is None or not main.score or main.tag in ("p", "ul", "ol", "dl", "li", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"):
+            return best
+        # what would be lost: headings, text and sections beside the child weigh, other elements only if they are large
+        beside = [c for c in kids if c is not main]
+        title = any(c.tag in ("h1", "h2") or c.kind == "header" and c.heading and not now.top for c in beside) and not main.heading
+        bare = now.plain + sum(c.score for c in beside if c.tag not in ("div", "center", "table", "td", "tr", "tbody"))
+        if title or bare > (0.3 * now.score if now.top else 0) or main.score < (0.6 if now.top else 0.9) * now.score:
+            return best
+        now = main
 
 
 def blocks(el: Element) -> list[str]:
-    """Text of each block below an element, in page order, with single spaces."""
+    """Text of each block below an element, in page order, with single spaces.  A site's header has none."""
     out: list[str] = []
     part: list[str] = []
 
@@ -178,7 +219,12 @@ def blocks(el: Element) -> list[str]:
             part.append(x)
         elif x is None:
             close()
-        elif not x.dropped:
+        elif x.kind == "gone" or x.kind == "header" and (x.parent.top or not x.heading and x.parent.tag in PAGE):
+            if x.tag not in INLINE:
+                close()
+        elif x.tag in INLINE:
+            todo.extend(reversed(x.children))
+        else:
             close()
             todo.append(None)
             todo.extend(reversed(x.children))
@@ -187,13 +233,12 @@ def blocks(el: Element) -> list[str]:
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """Text of the containers on ``path``, or else of the page's best container, or of all that is not dropped."""
+    """Text of the containers on ``path``, or of the page's own choice if they hold less than half as much."""
     if not page:
         return ""
     root, every = parse(page)
-    rated = rate(every)
-    best = max(rated, key=lambda e: e.score, default=root)
-    chosen = [e for e in rated if e.path == path]
+    chosen = [e for e in rate(every) if e.path == path]
+    own = article_of(root)
     outer: list[Element] = []
     for e in chosen:
         up = e.parent
@@ -201,7 +246,23 @@ def extract(page: str | None, path: str | None) -> str:
             up = up.parent
         if up is None:
             outer.append(e)
-    return "\n".join(b for e in outer or [best] for b in blocks(e))
+    if 2 * sum(e.score for e in outer) < own.score or not outer:
+        outer = [own]
+    return "\n".join(b for e in outer for b in blocks(e))
+
+
+def votes(page: str) -> dict[str, float]:
+    """A page's votes by path: 1 for its choice, half of its share for each container with half of all text."""
+    root, every = parse(page)
+    rated = rate(every)
+    out: dict[str, float] = {}
+    for e in rated:
+        if 2 * e.score >= root.score:
+            out[e.path] = max(out.get(e.path, 0), e.score / root.score / 2)
+    own = article_of(root)
+    if own.score and own is not root:
+        out[own.path] = 1.0
+    return out
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +270,10 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, paths, shares = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if page:
-                rated = rate(parse(page)[1])
-                top = max((e.score for e in rated), default=0)
-                best: dict[str, float] = {}
-                for e in rated:
-                    if e.score >= top / 2:
-                        best[e.path] = max(best.get(e.path, 0), e.score / top)
-                hosts += [host] * len(best)
-                paths += best.keys()
-                shares += best.values()
+                mine = votes(page)
+                hosts += [host] * len(mine)
+                paths += mine.keys()
+                shares += mine.values()
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "share"])
 
 

@@ -79,9 +79,12 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of ``conversations`` as a recording; turns of conversations divisible by 50 are the queries."""
+    """Every turn of ``conversations`` as a recording; turns of conversations divisible by 50 are the queries.
+
+    A recording's number is the conversation's times 2^32 and the turn's, for numbers below 2^31.
+    """
     turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
-    key = F.shiftleft(F.col("conv_id"), 20) + F.col("turn")
+    key = F.shiftleft(F.col("conv_id").cast("long"), 32) + F.col("turn")
     prints = chroma.fingerprints(chroma.sonify(turns.select(key.alias("id"), "text")), "id", "audio")
     queries = turns.where("conv_id % 50 = 0").select(key.alias("id"))
     members, matches = chroma.align(prints, queries)

@@ -310,6 +310,20 @@ def test_neighbours_against_brute_force(spark):
     assert [f[0] for f in got[700]] == [5, *range(701, 710)]
 
 
+def test_cluster_of_jittered_copies(spark):
+    """A third of all vectors differ by less than a hundredth of a byte's step of their components."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1800, 16))
+    x[::3] = x[0] + rng.standard_normal((600, 16)) * 2e-4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("node", F.lit("x")).repartition(3)
+    hits = total = 0
+    for r in ann.search(df, df.where("vec_id % 100 = 0").select("vec_id"), "vec_id", "embedding", block=256).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect():
+        d = np.sqrt(((x - x[r.query_id]) ** 2).sum(1))
+        d[r.query_id] = np.inf
+        hits, total = hits + len(set(np.argsort(d)[:10].tolist()) & set(r.v)), total + 10
+    assert total == 180 and hits >= 0.95 * total
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = ann.search(df, df.select("vec_id").where("vec_id % 100 = 0"), "vec_id", "embedding").orderBy("query_id", "rank").collect()
@@ -380,6 +394,49 @@ def test_extraction_by_host(spark):
     assert {r.host: r.path for r in html_extract.host_paths(pages).collect()}["a.example.com"] == ">html>body>div.post.post-#"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class=content><h1>Title</h1><p>The lead says it.</p><div class=text><p>%s</p><p>More.</p></div></div>", "Title\nThe lead says it.\n{}\nMore."),
+        ("<article><section class=intro><p>Short intro.</p></section><section class=rest><p>%s</p></section></article>", "Short intro.\n{}"),
+        ("<article><p>%s</p><p class='share-price'>Shares rose.</p><div class='feature-tags-explained'>Tags are these.</div></article>", "{}\nShares rose.\nTags are these."),
+        ("<div class=post><header><h1>Title</h1></header><div class=b><p>%s</p></div></div>", "Title\n{}"),
+        ("<p>%s <span class=ad>A<span>B</span>LEAK</span> end</p>", "{} end"),
+        ("<div id=wrap><header><h1>Site</h1></header><nav><a href=x>Menu</a></nav><div class=story><h2>Title</h2><p>%s</p></div><div class='side-bar'><p>Other things</p></div><footer>Foot</footer></div>", "Title\n{}"),
+        ("<form id=aspnet><div class=top-menu><a href=x>Menu</a></div><div><h1>Title</h1><p>%s</p><input value=x></div></form>", "Title\n{}"),
+        ("<main><div class='entry-content sidebar-left'><p>%s</p></div><div class='comment-list'><p>A reader writes.</p></div></main>", "{}"),
+        ("<body><div class=cookie-notice>We use cookies</div>%s<br>second<div class='ad ad-slot-3'>Buy</div></body>", "{} second"),
+        ("<div><b>Bold <i>both</i> text</b>, %s</div>", "Bold both text, {}"),
+    ],
+)
+def test_article_is_whole_and_alone(page, text):
+    said = "It was a long day and much was said about it by all who had come to see it end."
+    page, text = page.replace("%s", said), text.replace("{}", said)
+    page = f"<html><head><title>T</title></head><body>{page}</body></html>"
+    assert html_extract.extract(page, None) == text
+    path = max(html_extract.votes(page).items(), key=lambda v: v[1])[0]
+    assert html_extract.extract(page, path) == text
+
+
+def test_registered_pages_hold_their_articles(spark):
+    """The tables' articles stand in <article> elements: what is in them, and nothing else, comes out; hosts vote as a plain loop does."""
+    import html
+    import re
+
+    from dayboard.llm import queries as Q
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.text for r in Q.op8_html_extraction(spark, SF).collect()}
+    plain = collections.defaultdict(collections.Counter)
+    for r in pages.collect():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", part)).split()) for part in re.split(r"</?(?:p|h1|h2|ul|li)>", body)]
+        assert got[r.page_id].split() == " ".join(want).split()
+        plain[re.match(r"\w+://([^/]+)", r.url)[1].lower()].update(html_extract.votes(r.html))
+    won = {r.host: r.path for r in html_extract.host_paths(pages).collect()}
+    assert won == {h: max(c, key=lambda p: (round(c[p], 6), p)) for h, c in plain.items()}
+
+
 # mixing
 
 
@@ -503,6 +560,17 @@ def test_quotes_are_linked(spark):
     assert got[2, 0].text is None and got[None, 1].text == "y" and got[None, 1].path is None
 
 
+def test_long_and_negative_turns_sort_as_numbers(spark):
+    turns = [-(10**12), -3, 0, 7, 10**9, 10**10, 10**10 + 1, 10**15]
+    rows = [(1, t, f"line {t}" if k == 0 else f"> line {turns[k - 1]}\nline {t}") for k, t in enumerate(turns)]
+    rows += [(2, t, f"said {t}") for t in turns]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    out = chat.reply_order(chat.link_quotes(df)).select("conv_id", "turn", "reply.*").collect()
+    assert [r.turn for r in out if r.conv_id == 1] == turns == [r.turn for r in out if r.conv_id == 2]
+    assert [r.parent_turn for r in out if r.conv_id == 1] == [None, *turns[:-1]]
+    assert all(r.root_turn == (turns[0] if r.conv_id == 1 else r.turn) for r in out)
+
+
 def test_chat_runs_no_python(spark):
     plan = chat.link_quotes(spark.createDataFrame([(1, 0, "> a\nb")], "conv_id long, turn long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -529,10 +597,41 @@ def test_alignment_finds_the_offset(spark):
     assert (0, 2) not in got
 
 
+def test_matches_against_all_alignments(spark):
+    """Cut-outs and noisy copies: what aligning every pair at every offset finds under the error bound is found."""
+    rng = np.random.default_rng(14)
+    t = np.arange(chroma.HOP) / chroma.RATE
+    notes = np.stack([np.sin(2 * np.pi * 110 * 2 ** (k / 12) * t) for k in range(24)]) * np.hanning(chroma.HOP)
+    tunes = [notes[rng.integers(0, 24, int(n))].ravel() * 12000 for n in rng.integers(50, 120, 20)]
+    rows = list(enumerate(tunes))
+    for k, x in enumerate(tunes):
+        a = int(rng.integers(0, 15)) * chroma.HOP
+        cut = x[a : a + (30, 45, 1000)[k % 3] * chroma.HOP]
+        rows.append((100 + k, cut + rng.standard_normal(len(cut)) * (0, 200, 600)[k % 3]))
+    rows += [(200, tunes[0]), (201, tunes[0][: 19 * chroma.HOP]), (202, tunes[0][: 5 * chroma.HOP])]
+    media = spark.createDataFrame([(i, bytearray(chroma.wav_bytes(x))) for i, x in rows], "id long, audio binary").withColumn("key", F.lit(1)).repartition(5)
+    prints = chroma.fingerprints(media, "id", "audio")
+    members, found = chroma.align(prints, spark.createDataFrame([(i,) for i in range(20)], "id long"))
+    got = {(r.query_class, r.match_class) for r in found.collect()}
+    assert {r.id: r.class_id for r in members.collect()}[200] == 0
+    p = {r.id: np.frombuffer(r.prints, "<u4") for r in prints.collect()}
+    want = set()
+    for q in range(20):
+        for m in p:
+            if m not in (q, 200):
+                for off in range(4 - len(p[q]), len(p[m]) - 3):
+                    x, y = p[q][max(0, -off) : len(p[m]) - off], p[m][max(0, off) : len(p[q]) + off]
+                    if np.bitwise_count(x ^ y).sum() <= 0.1 * 32 * len(x) and len(x) > 8:
+                        want.add((q, m))
+    assert len(want) >= 20 and len(want & got) >= 0.9 * len(want)
+
+
 def test_fingerprint_equals_direct_sums():
     rng = np.random.default_rng(13)
     frames = rng.random((40, 12))
-    got = chroma.fingerprint(frames)
+    got, weak = chroma.fingerprint([np.zeros((3, 12)), frames, np.zeros((0, 12))])[1]
+    assert len(weak) == len(got) == 40 - chroma.SPAN + 1
+    frames = np.rint(frames * 4096) / 4096
     for at in (0, 7, len(got) - 1):
         shape, p, high, wide = chroma.filters()[0]
         win = frames[at : at + wide]
