@@ -31,7 +31,7 @@ def encode(x: np.ndarray) -> list[bytes]:
 
 def decode(codes: list[bytes] | bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(codes if isinstance(codes, bytes) else b"".join(codes), np.uint8).reshape(n, -1)
-    return raw[:, 4:].copy().view("<i2").astype(np.float32) * raw[:, :4].copy().view("<f4")
+    return raw[:, 4:].copy().view("<i2") * raw[:, :4].copy().view("<f4").astype(float)
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
