@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .storage import small_batches
+from .storage import Stash
 
 #: A sentence with its line end, or what is left of a line; these cover a text without gaps.
 UNIT = r"[^.!?\n]*(?:[.!?]+[ \t]*\n?|\n)|[^.!?\n]+"
@@ -114,12 +114,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed.  Null texts stay null, empty ones empty; rows with a null id are returned as they are and count as no
     occurrence.  An existing column named ``out_col`` is replaced; columns named like inner ones do not matter.
     """
-    small_batches(docs.sparkSession)
+    stash = Stash(docs.sparkSession, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     # computed twice, as texts are read again in less space and time than all units are written and read
     found = rows.mapInArrow(lambda it: _units(it, least_words), "id long, start int, end int, digest binary")
     first = found.groupBy("digest").agg(F.min(F.struct("id", "start", "end")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("digest", F.col("first.id").alias("first_id"), F.col("first.end").alias("first_end"))
+    # a table of its own, so that the join's other side can be split where a digest is frequent
+    first = stash.put(first.select("digest", F.col("first.id").alias("first_id"), F.col("first.end").alias("first_end")))
     gone = found.join(first, "digest").where("id > first_id or start >= first_end").select("id", "start", "end")
     spans = _merged(gone).select(F.col("id").alias("_repeat_id"), F.col("spans.start").alias("_repeat_start"), F.col("spans.end").alias("_repeat_end"))
     joined = docs.join(spans, docs[id_col].cast("long") == spans["_repeat_id"], "left")
