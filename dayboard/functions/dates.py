@@ -65,9 +65,10 @@ def normalize_date_text(text: Column, *, drop_parens: bool = False, range_words:
 
 
 def date_parts(text: Column) -> Column:
-    """Every date of a text as ``YYYY-M-D`` or ``M-D``: those with a year first, wherever they stand."""
-    full = r"\d{4}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日"
-    with_year = F.transform(F.regexp_extract_all(text, F.lit(f"({full})"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s日]", ""), "[年月]", "-"))
+    """Every date of a text as ``YYYY-M-D`` or ``M-D``: those with a year first, wherever they stand.  A year's date may
+    have slashes or dots for its signs."""
+    full = r"\d{4}\s*[年/.]\s*\d{1,2}\s*[月/.]\s*\d{1,2}\s*日?"
+    with_year = F.transform(F.regexp_extract_all(text, F.lit(f"({full})"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s日]", ""), "[年月/.]", "-"))
     rest = F.regexp_replace(text, full, " ")
     short = F.transform(F.regexp_extract_all(rest, F.lit(r"(\d{1,2}\s*月\s*\d{1,2}\s*日)"), F.lit(1)), lambda x: F.regexp_replace(F.regexp_replace(x, r"[\s日]", ""), "月", "-"))
     return F.concat(with_year, short)
@@ -87,6 +88,12 @@ def completed_date(text: Column, as_of: dt.date, months_ahead: int = 6) -> Colum
     return F.when(y != "", make_date(y, m, d)).otherwise(short)
 
 
+def this_year(text: Column, as_of: dt.date) -> Column:
+    """Month and day of a text in the year of ``as_of``, without rolling over."""
+    month, day = (F.regexp_extract(text, r"(\d{1,2})\s*[月/.]\s*(\d{1,2})", i) for i in (1, 2))
+    return F.when(month != "", make_date(F.lit(as_of.year), month, day))
+
+
 def target_year(month: Column, as_of: dt.date) -> Column:
     """The year a listing in spring or autumn means: next from October on for January to March, and the reverse."""
     return F.lit(as_of.year) + F.when((F.lit(as_of.month) >= 10) & (month <= 3), 1).when((F.lit(as_of.month) <= 3) & (month >= 10), -1).otherwise(0)

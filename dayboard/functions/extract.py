@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import clock, make_date
-from .text import contains_any, normalize_space, plain_text, tag_text, truncate
+from .text import contains_any, normalize_space, plain_newlines, plain_text, tag_text, truncate
 
 # Words around titles and organisers.
 STATUS_PREFIX = r"^[\[【(（](?:終了|開催中|中止|延期|受付中|満席)[\]】)）]\s*"
@@ -85,13 +85,34 @@ def auto_links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"'）)」]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?。、]+$", ""))
 
 
-def organizer(lines: Column) -> Column:
-    """The value beside or below 主催; addresses of any kind are none."""
-    from .text import labeled_value
+def _named(text: Column, label: str, stops: str, bad: list[str]) -> Column:
+    """The value beside or below a label at the start of a line, up to the next label; null if it is a bad one."""
+    t = plain_newlines(text)
 
-    value = labeled_value(lines, ["主催", "主催者"])
-    bad = value.rlike(r"https?://|@|\d{2,4}-\d{2,4}-\d{3,4}")
-    return F.nullif(F.when(~bad, value), F.lit(""))
+    def clean(x: Column) -> Column:
+        v = normalize_space(F.get(F.split(x, rf"\s*(?:{stops})\s*[：:]"), 0))
+        for pattern in bad:
+            v = F.when(~v.rlike(pattern), v)
+        return F.nullif(v, F.lit(""))
+
+    beside = F.regexp_extract(t, rf"(?:^|\n)\s*(?:{label})\s*[：:]\s*([^\n]+)", 1)
+    below = F.regexp_extract(t, rf"(?:^|\n)\s*(?:{label})\s*\n\s*([^\n]+)", 1)
+    return F.coalesce(clean(beside), clean(below))
+
+
+# Labels of organisers and performers, labels that end their values, and what is no name.
+CONTACT_STOPS = "お問合せ先|お問い合わせ先|問い合わせ先|連絡先"
+NO_NAME = [r"(?i)^(https?://|www\.)", r"^\S+@\S+\.\S+$", r"^[\d\-()＋+\s]+$"]
+
+
+def organizer(text: Column) -> Column:
+    """Who organises, from a description: neither an address nor a number."""
+    return _named(text, "企画・主催|主催者|主催", f"{CONTACT_STOPS}|出演者|出演|場所|日時", NO_NAME)
+
+
+def performer(text: Column) -> Column:
+    """Who performs, from a description: not a web address."""
+    return _named(text, "出演者|出演", f"主催|{CONTACT_STOPS}|場所|日時", NO_NAME[:1])
 
 
 def description(text: Column, name: Column) -> Column:
@@ -104,3 +125,23 @@ def description(text: Column, name: Column) -> Column:
 def is_excluded(title: Column) -> Column:
     """Closed days, what is not public, and rows without a title."""
     return title.isNull() | (normalize_space(title) == "") | contains_any(title, ["休館日", "非公開", "関係者のみ"])
+
+
+def implied_end_range_of_list(text: Column) -> Column:
+    """``struct(date_from, date_to)``: the first and last of several full dates; else the first one and the month and
+    day after it, in the next year if that comes before it."""
+    full = r"\d{4}\s*[年/.]\s*\d{1,2}\s*[月/.]\s*\d{1,2}\s*日?"
+    found = F.regexp_extract_all(text, F.lit(f"({full})"), F.lit(1))
+    day = lambda x: make_date(*(F.regexp_extract(x, r"(\d{4})\s*[年/.]\s*(\d{1,2})\s*[月/.]\s*(\d{1,2})", i) for i in (1, 2, 3)))
+    start, last = day(F.get(found, 0)), day(F.get(found, F.size(found) - 1))
+    rest = F.get(F.split(text, full, 2), 1)
+    m, d = (F.regexp_extract(rest, r"(\d{1,2})\s*[月/.]\s*(\d{1,2})", i) for i in (1, 2))
+    end = F.when(m != "", make_date(F.year(start), m, d))
+    end = F.when(end < start, F.add_months(end, 12)).otherwise(end)
+    return F.when(start.isNotNull(), F.struct(start.alias("date_from"), F.when(F.size(found) > 1, last).otherwise(F.coalesce(end, start)).alias("date_to")))
+
+
+def is_title_candidate(text: Column, keywords: list[str]) -> Column:
+    """Two signs at least, with a keyword but more than it alone."""
+    t = normalize_space(text)
+    return F.coalesce((F.length(t) >= 2) & contains_any(t, keywords) & ~t.isin(keywords), F.lit(False))

@@ -62,10 +62,33 @@ def matching_rules(hits: dict[str, Column], most: int = 2) -> Column:
 
 
 def event_type(title: Column, venue_category: Column) -> Column:
-    text = tag_search_text(F.concat_ws(" ", title, venue_category))
+    text = tag_search_text(search_text(title, venue_category))
     return first_rule(text, TYPE_RULES)
 
 
+def search_text(title: Column, venue_category: Column) -> Column:
+    """What rules look at: the title and the venue's category, nothing else."""
+    return F.concat_ws(" ", title, venue_category)
+
+
+def unless_tagged(old: Column, new: Column, *, overwrite: bool) -> Column:
+    """The new tags; without ``overwrite`` those rows keep theirs whose type is not blank."""
+    if overwrite:
+        return new
+    return F.when(F.coalesce(F.trim(old["type"]), F.lit("")) != "", old).otherwise(new)
+
+
+def labels_of(keys: Column, labels: dict[str, str]) -> Column:
+    """Labels of an array of keys; a key without a label stays."""
+    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.transform(keys, lambda k: F.coalesce(F.try_element_at(table, k), k))
+
+
+def unlabelled(keys: Column, labels: dict[str, str]) -> Column:
+    """Keys that have no label."""
+    return F.filter(keys, lambda k: ~k.isin(list(labels)))
+
+
 def genres(text: Column, rules: dict[str, list[str]] = GENRE_RULES) -> Column:
     t = tag_search_text(text)
     return matching_rules({k: contains_any(t, [w.lower() for w in words]) for k, words in rules.items()})

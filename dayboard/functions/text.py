@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,16 +83,18 @@ def heading_title(text: Column) -> Column:
 
 
 def labeled_value(lines: Column, labels: list[str]) -> Column:
-    """Value of the first labelled line: after the label, or in the next line if the label stands alone."""
-    import re
+    """Value of the first line that has a label, wherever in it, trying labels in their order: what follows the label,
+    or the next line if the label stands alone."""
+    pairs = F.arrays_zip(lines.alias("line"), F.concat(F.slice(lines, 2, F.size(lines)), F.array(F.lit(""))).alias("next"))
+
+    def value(p: Column) -> Column:
+        found = []
+        for label in labels:
+            same = F.regexp_extract(p["line"], rf"{re.escape(label)}\s*[:：]?\s*(.+)", 1)
+            found += [F.nullif(trim_space(same), F.lit("")), F.when(trim_space(p["line"]) == label, F.nullif(trim_space(p["next"]), F.lit("")))]
+        return F.coalesce(*found)
 
-    any_label = "|".join(map(re.escape, labels))
-    hits = F.filter(
-        F.transform(lines, lambda x, i: F.struct(F.regexp_extract(x, rf"^(?:{any_label})[:：]?\s*(.+)$", 1).alias("same"), x.rlike(rf"^(?:{any_label})[:：]?$").alias("alone"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("next"))),
-        lambda s: (s.same != "") | (s.alone & (s.next != "")),
-    )
-    first = F.get(hits, 0)
-    return F.coalesce(F.when(first.same != "", first.same).otherwise(first.next), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(pairs, value), lambda x: x.isNotNull()), 0), F.lit(""))
 
 
 def first_capture(html: Column, pattern: str, group: int = 1) -> Column:
@@ -106,7 +110,7 @@ def event_title(html: Column) -> Column:
     """Title of a detail page: a titled h1, else the first h1 of the article, else the first h2; generic ones are ''."""
     found = [
         first_capture(html, r"""(?is)<h1[^>]*class=["'][^"']*(?:entry-title|post-title)[^"']*["'][^>]*>(.*?)</h1>"""),
-        first_capture(html, r"(?is)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>"),
+        first_capture(first_capture(html, r"(?is)<article\b[^>]*>(.*?)</article>"), r"(?is)<h1[^>]*>(.*?)</h1>"),
         first_capture(html, r"(?is)<h2[^>]*>(.*?)</h2>"),
     ]
     ok = [F.when(~contains_any(t, GENERIC_TITLES) & (t != ""), t) for t in (plain_text(x) for x in found)]
@@ -165,6 +169,12 @@ def unify_newlines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n{3,}", "\n\n")
 
 
+def plain_newlines(text: Column) -> Column:
+    """Line feeds only, and tabs, ideographic and no-break spaces as spaces."""
+    out = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[\t\x{3000}]+", " ")
+    return F.translate(out, "\u00a0", " ")
+
+
 def remove_zero_width(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x{200B}-\x{200D}\x{FEFF}]", "")
 
@@ -181,7 +191,8 @@ def label_map(html: Column) -> Column:
     """Map of dt to dd texts; a repeated label keeps its last value."""
     pairs = F.arrays_zip(F.regexp_extract_all(html, F.lit(r"(?is)<dt[^>]*>(.*?)</dt>\s*<dd[^>]*>.*?</dd>"), F.lit(1)).alias("k"), F.regexp_extract_all(html, F.lit(r"(?is)<dt[^>]*>.*?</dt>\s*<dd[^>]*>(.*?)</dd>"), F.lit(1)).alias("v"))
     clean = F.transform(pairs, lambda p: F.struct(plain_text(p["k"]).alias("k"), plain_text(p["v"]).alias("v")))
-    last = F.filter(clean, lambda p, i: ~F.exists(F.slice(clean, i + 2, F.size(clean)), lambda q: q.k == p.k))
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    last = F.aggregate(clean, none, lambda done, p: F.concat(F.filter(done, lambda q: q.k != p.k), F.array(p)))
     return F.map_from_entries(last)
 
 

@@ -17,6 +17,29 @@ def is_event_detail(url: Column) -> Column:
     return F.coalesce(p.contains("/event/") & ~p.contains("/event_cat/") & ~p.contains("/event/page/") & ~p.endswith("/event/") & p.rlike(r"/\d+/?$"), F.lit(False))
 
 
+# Paths of detail pages of some sources, and what is none.
+DETAIL_PATHS = {
+    "named": (r"/event/event-[^/]+", None),
+    "folder": (r"07event", r"#|^mailto:|^tel:|index\.html?$"),
+    "museum": (r"/(?:detail|exhibition)/", None),
+    "numbered": (r"/event/\d+", r"/feed/?$|/date/"),
+}
+
+
+def is_detail(url: Column, kind: str) -> Column:
+    """Whether a URL is a detail page of a kind of source."""
+    yes, no = DETAIL_PATHS[kind]
+    out = url.rlike(yes)
+    return F.coalesce(out & ~url.rlike(no) if no else out, F.lit(False))
+
+
+def month_url(url: Column, host: str) -> Column:
+    """``https://host/YYYY/MM/`` of a URL whose path is exactly a year and a month, null otherwise."""
+    p = F.coalesce(path(url), F.regexp_extract(url, r"^(/[^?#]*)", 1))
+    y, m = (F.regexp_extract(p, r"^(?:/event)?/(\d{4})/(\d{1,2})/?$", i) for i in (1, 2))
+    return F.when(y != "", F.concat(F.lit(f"https://{host}/"), y, F.lit("/"), F.lpad(m, 2, "0"), F.lit("/")))
+
+
 def normalise(url: Column) -> Column:
     """Without fragment, query and trailing slash; host in lower case."""
     bare = F.regexp_replace(url, r"[?#].*$", "")
@@ -43,8 +66,15 @@ def month_of(url: Column) -> Column:
     return F.when(y != "", F.struct(y.cast("int").alias("year"), m.cast("int").alias("month")))
 
 
+# Signs that a browser leaves as they are, and a form does not.
+LEFT_ALONE = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+
 def encode_component(text: Column) -> Column:
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, sign in LEFT_ALONE.items():
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
 
 
 def maps_link(lat: Column, lng: Column, name: Column) -> Column:
@@ -54,10 +84,20 @@ def maps_link(lat: Column, lng: Column, name: Column) -> Column:
 
 
 def resolve(url: Column, base: Column) -> Column:
-    """Relative URLs against a base; absolute ones need no Python."""
+    """Relative URLs against a base.  Absolute ones and those from the root need no Python; if every row is one of
+    these, use :func:`resolve_root`."""
     from urllib.parse import urljoin
 
     def join(u: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([urljoin(y, x) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(u, b, strict=True)], dtype=object)
 
-    return F.when(url.rlike("^https?://"), url).otherwise(F.pandas_udf(join, "string")(url, base))
+    relative = F.when(resolve_root(url, base).isNull(), url)
+    return F.coalesce(resolve_root(url, base), F.pandas_udf(join, "string")(relative, base))
+
+
+def resolve_root(url: Column, base: Column) -> Column:
+    """URLs with a scheme, a host or a path from the root, against a base; null for all others."""
+    scheme = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*:)//", 1)
+    origin = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
+    plain = ~url.rlike(r"/\.{1,2}(/|$)")
+    return F.when(url.rlike("^https?://"), url).when(plain & url.startswith("//"), F.concat(scheme, url)).when(plain & url.startswith("/"), F.concat(origin, url))

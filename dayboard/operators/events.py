@@ -39,7 +39,7 @@ def retention_reason(first: Column, last: Column, as_of: dt.date, days: int = 36
     return F.when(text.isNull(), "missing_date").when(d.isNull(), "invalid_date").when(d < F.lit(as_of - dt.timedelta(days)), "expired").otherwise("in_range")
 
 
-def keep_reason(reason: Column, *, keep_missing: bool = True, keep_invalid: bool = True) -> Column:
+def keep_reason(reason: Column, *, keep_missing: bool = False, keep_invalid: bool = False) -> Column:
     return (reason == "in_range") | (F.lit(keep_missing) & (reason == "missing_date")) | (F.lit(keep_invalid) & (reason == "invalid_date"))
 
 
@@ -87,6 +87,23 @@ def month_overlaps(month_start: Column, first: dt.date, last: dt.date) -> Column
     return (month_start <= F.lit(last)) & (F.last_day(month_start) >= F.lit(first))
 
 
+def within_days(d: Column, as_of: dt.date, days: int = 365) -> Column:
+    """Later than so many days ago and no later than so many days ahead."""
+    return (d > F.lit(as_of - dt.timedelta(days))) & (d <= F.lit(as_of + dt.timedelta(days)))
+
+
+def with_required(events: DataFrame, *columns: str) -> DataFrame:
+    """Events in which none of the columns is null or blank."""
+    for c in columns:
+        events = events.where(~is_blank(F.col(c).cast("string")))
+    return events
+
+
+def needs_body(*columns: Column) -> Column:
+    """Whether the body has to stand in, as every structured field is empty."""
+    return ~has_details(*columns)
+
+
 def has_details(*columns: Column) -> Column:
     out = F.lit(False)
     for c in columns:

@@ -1,39 +1,49 @@
-"""Crawls over landed links and the order of dependent tasks, as bounded recursive queries."""
+"""Crawls over landed links: bounded rounds of joins, each round's rows written so that no round is computed again."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in the shared folder of ``spark.checkpoint.dir``; a folder of its own in local mode."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="dayboard-"))
+    return df.checkpoint()
+
+
 def crawl(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """``(node, depth)`` of nodes within so many links of ``start(node)``; each node once, at its least depth.
 
-    The frontier is a join and an anti-join a round, so a node that was seen is never expanded again.
+    The frontier is a join and an anti-join a round, so a node that was seen is never expanded again; rounds end when
+    nothing new is found.
     """
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = frontier = _cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+        frontier = _cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
-class CyclicTasks(ValueError):
-    """Raised when tasks depend on each other in a circle, or on tasks that do not exist."""
-
-
-def task_order(tasks: list[tuple[str, list[str]]]) -> list[str]:
-    """Tasks so that each comes after what it needs, otherwise in the order given.  A task list is configuration."""
-    names = [t for t, _ in tasks]
-    lacking = [(t, d) for t, deps in tasks for d in deps if d not in names]
-    if lacking:
-        raise CyclicTasks(f"unknown dependency: {lacking[0][1]} of {lacking[0][0]}")
-    needs, out = {t: set(deps) for t, deps in tasks}, []
-    while len(out) < len(names):
-        ready = next((t for t in names if t not in out and not needs[t] - set(out)), None)
-        if ready is None:
-            raise CyclicTasks("tasks depend on each other: " + ", ".join(t for t in names if t not in out))
-        out.append(ready)
-    return out
+def next_links(start: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """``(start, depth, node)``: the pages that each ``start(node)`` leads to, following ``links(src, dst)`` of one next
+    page each, at most ``most`` pages with the first; a chain stops before a page that it has visited."""
+    at = _cut(start.select(F.col("node").alias("start"), F.lit(1).alias("depth"), "node", F.array("node").alias("seen")))
+    out = at
+    for d in range(2, most + 1):
+        step = at.join(links, at["node"] == links["src"]).where(~F.array_contains("seen", F.col("dst")))
+        at = _cut(step.select("start", F.lit(d).alias("depth"), F.col("dst").alias("node"), F.concat("seen", F.array("dst")).alias("seen")))
+        if at.isEmpty():
+            break
+        out = out.unionByName(at)
+    return out.drop("seen")

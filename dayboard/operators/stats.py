@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank
+from ..functions.text import attribute, is_blank
 from ..functions.values import rate_status
 
 
@@ -29,11 +29,12 @@ def histogram(rows: DataFrame, key: str, first_seen: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(first_seen).alias("first_seen")).orderBy(F.desc("n"), "first_seen")
 
 
-def top_tokens(rows: DataFrame, group: str, tokens: Column, least: int = 3, top: int = 30) -> DataFrame:
-    """The most frequent tokens of each group that occur ``least`` times; ties in token order."""
-    counts = rows.select(group, F.explode(tokens).alias("token")).groupBy(group, "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    w = Window.partitionBy(group).orderBy(F.desc("n"), "token")
-    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+def top_tokens(rows: DataFrame, group: str, tokens: Column, ordinal: str, least: int = 3, top: int = 30) -> DataFrame:
+    """The most frequent tokens of each group that occur ``least`` times; ties in order of first appearance."""
+    each = rows.select(group, ordinal, F.posexplode(tokens).alias("at", "token"))
+    counts = each.groupBy(group, "token").agg(F.count("*").alias("n"), F.min(F.struct(ordinal, "at")).alias("seen")).where(F.col("n") >= least)
+    w = Window.partitionBy(group).orderBy(F.desc("n"), "seen")
+    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).drop("seen")
 
 
 def over_fixed_list(spark, names: list[str], key: str, counts: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,7 +51,7 @@ def date_bag(dates: Column) -> Column:
 
 def violations(events: DataFrame, ordinal: str) -> DataFrame:
     """The first rule that each bad row breaks."""
-    why = F.when(F.col("title").isNull() | (F.length(F.trim("title")) < 2), "title").when(F.col("date_from").isNull() | ~F.col("date_from").rlike(r"^\d{4}-\d{2}-\d{2}$"), "date_from")
+    why = F.when(F.col("title").isNull() | (F.length("title") < 2), "title").when(F.col("date_from").isNull() | ~F.col("date_from").rlike(r"^\d{4}-\d{2}-\d{2}$"), "date_from")
     return events.select(ordinal, why.alias("violation")).where("violation is not null")
 
 
@@ -87,7 +88,30 @@ SEO_MARKERS = {
 }
 
 
-def seo_problems(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """One row for each marker that a page lacks."""
-    lacking = F.array_compact(F.array(*(F.when(~F.col(html).rlike(p), F.lit(k)) for k, p in SEO_MARKERS.items())))
-    return pages.select(key, F.explode(lacking).alias("problem"))
+# Tags of which two must hold the same address, if both are there.
+SAME_ADDRESS = {
+    "canonical <> og:url": ((r"""(?i)<link\s+rel=["']canonical["'][^>]*>""", "href"), (r"""(?i)<meta\s+property=["']og:url["'][^>]*>""", "content")),
+    "og:image <> twitter:image": ((r"""(?i)<meta\s+property=["']og:image["'][^>]*>""", "content"), (r"""(?i)<meta\s+name=["']twitter:image["'][^>]*>""", "content")),
+}
+
+
+def seo_problems(pages: DataFrame, key: str, html: str, hub: Column | None = None) -> DataFrame:
+    """One row for each marker that a page lacks, each pair of addresses that differ, and for hubs without JSON-LD."""
+    page = F.col(html)
+    found = [F.when(~page.rlike(p), F.lit(k)) for k, p in SEO_MARKERS.items()]
+    for k, (a, b) in SAME_ADDRESS.items():
+        found.append(F.when(attribute(page, *a) != attribute(page, *b), F.lit(k)))
+    if hub is not None:
+        found.append(F.when(hub & ~page.rlike(r"""(?i)<script[^>]+type=["']application/ld\+json["']"""), F.lit("application/ld+json")))
+    return pages.select(key, F.explode(F.array_compact(F.array(*found))).alias("problem"))
+
+
+def missing_references(texts: DataFrame, key: str, text: str, existing: DataFrame, path: str) -> DataFrame:
+    """``(key, reference)``: paths between backticks in a text, each once, for which there is no file."""
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"`([\w./-]+\.[a-z]+)`"), F.lit(1)))
+    return texts.select(key, F.explode(found).alias("reference")).join(existing.select(F.col(path).alias("reference")), "reference", "left_anti").select(key, "reference")
+
+
+def column_widths(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the length of the longest cell of each column."""
+    return rows.agg(*(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)).alias(c) for c in columns))

@@ -20,7 +20,7 @@ def silver_events(docs: DataFrame, *, as_of: dt.date) -> DataFrame:
     keep = [c for c in rows.columns if c != "event"]
     events = rows.select(*keep, *create_event(F.col("event")))
     events = events.where(keep_reason(retention_reason(F.col("date_from"), F.col("date_to"), as_of)))
-    text = F.concat_ws(" ", "title", "description", "body", "venue_category")
+    text = tags.search_text(F.col("title"), F.col("venue_category"))
     tagged = F.struct(tags.event_type(F.col("title"), F.col("venue_category")).alias("type"), tags.genres(text).alias("genres"), tags.flags(text, F.col("price"), F.col("start_time"), F.col("end_time"), F.col("date_from"), F.col("date_to")).alias("flags"))
     events = events.withColumn("tags", tagged)
     with_url = keep_first(events.where("source_url is not null and source_url <> ''"), ["venue_id", "source_url"], "ord")

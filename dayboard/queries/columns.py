@@ -98,7 +98,7 @@ def newline_unification(spark, sf):
 
 
 def token_top_by_type(spark, sf):
-    return stats.top_tokens(table(spark, sf, "part"), "p_brand", text.title_tokens(F.col("p_name"))).select("p_brand", "token", "n", "place")
+    return stats.top_tokens(table(spark, sf, "part"), "p_brand", text.title_tokens(F.col("p_name")), "p_partkey").select("p_brand", "token", "n", "place")
 
 
 def _title(n="o_orderkey"):
@@ -148,7 +148,7 @@ def jsonld_event(spark, sf):
 def day_cards(spark, sf):
     from ..operators.render import event_card
 
-    o = order_events(spark, sf).where("o_orderkey <= 400")
+    o = order_events(spark, sf)
     card = event_card(F.concat(F.lit("A & B "), F.col("o_orderkey").cast("string")), F.col("date_from").cast("string"), F.concat(F.lit("/e/"), F.col("o_orderkey").cast("string")))
     cards = o.groupBy("date_from").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", card.alias("card")))).alias("cards"))
     return cards.select("date_from", F.array_join("cards.card", "").alias("html"))
@@ -197,7 +197,7 @@ SQL = {
     "html_noise_removed": f"SELECT page_id, length(c)::BIGINT AS n, md5(c) AS digest FROM (SELECT page_id, {_clean('html')} AS c FROM pages)",
     "html_links": f"SELECT page_id, len(l)::BIGINT AS n_links, array_to_string(l, ' ') AS links FROM (SELECT page_id, {_LINKS} AS l FROM pages)",
     "union_distinct_links": f"SELECT link, count(DISTINCT s) AS n_sources FROM (SELECT page_id % 2 AS s, unnest({_LINKS}) AS link FROM pages) GROUP BY 1",
-    "html_event_title": rf"""WITH t AS (SELECT page_id, {_plain(r"regexp_extract(html, '(?is)<h1[^>]*class=[""''][^""'']*(?:entry-title|post-title)[^""'']*[""''][^>]*>(.*?)</h1>', 1)".replace('""', '"'))} AS a, {_plain("regexp_extract(html, '(?is)<article[^>]*>.*?<h1[^>]*>(.*?)</h1>', 1)")} AS b, {_plain("regexp_extract(html, '(?is)<h2[^>]*>(.*?)</h2>', 1)")} AS c FROM pages) SELECT page_id, coalesce({', '.join(f"CASE WHEN {x} <> '' AND NOT (contains({x}, 'Event') OR contains({x}, 'イベント')) THEN {x} END" for x in 'abc')}, '') AS title FROM t""",
+    "html_event_title": rf"""WITH t AS (SELECT page_id, {_plain(r"regexp_extract(html, '(?is)<h1[^>]*class=[""''][^""'']*(?:entry-title|post-title)[^""'']*[""''][^>]*>(.*?)</h1>', 1)".replace('""', '"'))} AS a, {_plain("regexp_extract(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS b, {_plain("regexp_extract(html, '(?is)<h2[^>]*>(.*?)</h2>', 1)")} AS c FROM pages) SELECT page_id, coalesce({', '.join(f"CASE WHEN {x} <> '' AND NOT (contains({x}, 'Event') OR contains({x}, 'イベント')) THEN {x} END" for x in 'abc')}, '') AS title FROM t""",
     "entity_decoding": f"SELECT page_id, md5({_decode('html')}) AS digest FROM pages",
     "url_category": "SELECT page_id, ['date', 'spot', 'facility', 'other'][(page_id % 4) + 1] AS category FROM pages",
     "url_normalise": r"SELECT page_id, regexp_replace(concat(lower(regexp_extract(b, '^([a-z]+://[^/]+)', 1)), substr(b, length(regexp_extract(b, '^([a-z]+://[^/]+)', 1)) + 1)), '/$', '') AS normal FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS b FROM pages)",
@@ -209,13 +209,13 @@ SQL = {
     "truncate_body": "SELECT doc_id, CASE WHEN length(text) > 300 THEN concat(left(text, 300), '…') ELSE text END AS short FROM documents",
     "escape_texts": f"SELECT doc_id, md5({_esc('text', '&#39;')}) AS html, md5({_esc('text', '&apos;')}) AS xml, md5(replace(text, '<', '\\u003c')) AS json_ld FROM documents",
     "newline_unification": r"SELECT doc_id, md5(regexp_replace(regexp_replace(concat(text, chr(13), chr(10), chr(13), chr(10), chr(10), chr(10), 'end'), '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents",
-    "token_top_by_type": r"WITH t AS (SELECT p_brand, unnest(regexp_split_to_array(lower(p_name), '\s+')) AS token FROM part), c AS (SELECT p_brand, token, count(*) AS n FROM t WHERE length(token) >= 2 AND NOT regexp_matches(token, '^[0-9-]+$') GROUP BY 1, 2 HAVING count(*) >= 3) SELECT p_brand, token, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, token) AS place FROM c) WHERE place <= 30",
+    "token_top_by_type": r"WITH t AS (SELECT p_brand, p_partkey, unnest(regexp_split_to_array(lower(p_name), '\s+')) AS token, generate_subscripts(regexp_split_to_array(lower(p_name), '\s+'), 1) AS pos FROM part), c AS (SELECT p_brand, token, count(*) AS n, min(struct_pack(i := p_partkey, pos := pos)) AS seen FROM t WHERE length(token) >= 2 AND NOT regexp_matches(token, '^[0-9-]+$') GROUP BY 1, 2 HAVING count(*) >= 3) SELECT p_brand, token, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, seen) AS place FROM c) WHERE place <= 30",
     "classify_type": "SELECT ['exhibition', 'sports', 'performance', 'workshop', 'lecture', 'screening', 'special_open', 'lecture', 'lecture', 'other'][(o_orderkey % 10) + 1] AS type, count(*) AS n FROM orders GROUP BY 1",
     "classify_genres": "SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(t, 'blue') THEN 'blue' END, CASE WHEN contains(t, 'red') OR contains(t, 'rose') THEN 'red' END, CASE WHEN contains(t, 'green') OR contains(t, 'lime') THEN 'green' END, CASE WHEN contains(t, 'steel') THEN 'steel' END, CASE WHEN contains(t, 'large') OR contains(t, 'big') THEN 'big' END], lambda x: x IS NOT NULL)[1:2], ',') AS genres FROM (SELECT p_partkey, lower(replace(concat(p_name, p_type), ' ', '')) AS t FROM part)",
     "classify_flags": "SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN 'free' END, CASE WHEN event_id % 5 = 1 THEN 'paid' END, CASE WHEN hour(ts) >= 18 THEN 'night' END, CASE WHEN dayofweek(ts) IN (0, 6) THEN 'weekend' END], lambda x: x IS NOT NULL)[1:2], ',') AS flags FROM events",
     "error_kinds": "SELECT kind, count(*) AS n, kind = 'NETWORK' AS retry FROM (SELECT ['VALIDATION', 'NETWORK', 'PARSE', 'EMPTY_RESULT', 'NETWORK', 'UNKNOWN'][(event_id % 6) + 1] AS kind FROM events) GROUP BY 1",
     "json_props": "SELECT event_id, coalesce((props::JSON->>'k')::INT, -1) AS k FROM events",
     "jsonld_event": r"""SELECT o_orderkey, concat('{"@context":"https://schema.org","@type":"Event","name":"\u003corder> ', o_orderkey, '","startDate":"', o_orderdate::DATE, '","endDate":"', o_orderdate::DATE + (o_orderkey % 30)::INT, '","eventStatus":"https://schema.org/', CASE WHEN o_orderstatus = 'O' THEN 'EventPostponed' ELSE 'EventScheduled' END, '"', CASE WHEN o_orderkey % 2 = 0 THEN ',"location":{"@type":"Place","name":"Hall"}' ELSE '' END, '}') AS json_ld FROM orders""",
-    "day_cards": """SELECT o_orderdate::DATE AS date_from, string_agg(concat('<li class="event-card"><a href="/e/', o_orderkey, '"><span class="event-card__title">A &amp; B ', o_orderkey, '</span><span class="event-card__date">', o_orderdate::DATE, '</span></a></li>'), '' ORDER BY o_orderkey) AS html FROM orders WHERE o_orderkey <= 400 GROUP BY 1""",
+    "day_cards": """SELECT o_orderdate::DATE AS date_from, string_agg(concat('<li class="event-card"><a href="/e/', o_orderkey, '"><span class="event-card__title">A &amp; B ', o_orderkey, '</span><span class="event-card__date">', o_orderdate::DATE, '</span></a></li>'), '' ORDER BY o_orderkey) AS html FROM orders GROUP BY 1""",
     "clamp_and_percent": "SELECT l_orderkey, l_linenumber, least(greatest(trunc(l_quantity)::INT, 1), 8) AS workers, printf('%.2f%%', l_discount * 100) AS rate, CASE WHEN l_discount > 0.03 THEN 'fail' WHEN l_discount > 0.01 THEN 'warn' ELSE 'ok' END AS status FROM lineitem",
 }

@@ -56,7 +56,7 @@ def past_cutoff_reason(spark, sf):
     o = order_events(spark, sf)
     text = F.when(F.col("o_orderkey") % 10 == 0, "").when(F.col("o_orderkey") % 10 == 1, "1998-13-01").otherwise(F.date_format("date_to", "yyyy-MM-dd"))
     reason = ev.retention_reason(F.lit(""), text, AS_OF)
-    return o.select("o_orderkey", reason.alias("reason"), ev.keep_reason(reason).alias("keep"))
+    return o.select("o_orderkey", reason.alias("reason"), ev.keep_reason(reason, keep_missing=True, keep_invalid=True).alias("keep"))
 
 
 def held_on_day(spark, sf):

@@ -60,8 +60,9 @@ def auto_links(spark, sf):
 
 
 def organizers(spark, sf):
-    lines = F.array(F.lit("日時"), F.concat(F.lit("主催："), F.when(F.col("p_partkey") % 3 == 0, "a@b.jp").otherwise(F.col("p_brand"))))
-    return table(spark, sf, "part").select("p_partkey", extract.organizer(lines).alias("organizer"))
+    """Organisers beside or below their label, up to the next label; addresses are none."""
+    t = F.concat(F.lit("日時：6月\n"), F.when(F.col("p_partkey") % 2 == 0, "企画・主催：").otherwise("主催者\n"), F.when(F.col("p_partkey") % 3 == 0, "a@b.jp").otherwise(F.concat("p_brand", F.lit("　連絡先：x"))), F.lit("\n出演\n"), F.when(F.col("p_partkey") % 5 == 0, "www.x.jp").otherwise(F.col("p_name")))
+    return table(spark, sf, "part").select("p_partkey", extract.organizer(t).alias("organizer"), extract.performer(t).alias("performer"))
 
 
 def descriptions(spark, sf):
@@ -78,7 +79,7 @@ def list_with_details(spark, sf):
     """A list joined to details: titles from the list first, dates from the details first."""
     o = order_events(spark, sf)
     listed = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("title"), "date_from")
-    detail = o.where("o_orderkey % 4 > 0").select("o_orderkey", F.lower("o_orderpriority").alias("d_title"), F.when(F.col("o_orderkey") % 5 > 0, F.col("date_to")).alias("d_date"))
+    detail = o.select(F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lower("o_orderpriority").alias("d_title"), F.when(F.col("o_orderkey") % 5 > 0, F.col("date_to")).alias("d_date"))
     return listed.join(detail, "o_orderkey", "left").select("o_orderkey", F.coalesce("title", "d_title").alias("title"), F.coalesce("d_date", "date_from").alias("day"))
 
 
@@ -93,7 +94,7 @@ def spot_events(spark, sf):
 def latest_change(spark, sf):
     """Pages with the later of their own change and that of their events."""
     own = table(spark, sf, "pages").select("page_id", F.date_add(F.lit("2024-01-05").cast("date"), (F.col("page_id") % 20).cast("int")).alias("own"))
-    seen = table(spark, sf, "events").where("user_id % 3 = 0").groupBy((F.col("user_id") % 250).alias("page_id")).agg(F.max(F.to_date("ts")).alias("seen"))
+    seen = table(spark, sf, "events").groupBy(F.col("user_id").alias("page_id")).agg(F.max(F.to_date("ts")).alias("seen"))
     return own.join(seen, "page_id", "left").select("page_id", F.greatest("own", "seen").alias("lastmod"))
 
 
@@ -139,12 +140,12 @@ SQL = {
     "page_sections": "SELECT page_id, md5(string_split(string_split(substr(html, strpos(html, '<article>') + 9), '</article>')[1], '<footer>')[1]) AS digest, substr(html, strpos(html, '<h1>') - 30, 70) AS around FROM pages",
     "fallback_titles": f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('L', page_id) ELSE coalesce({_TAGS}, CASE WHEN length({_plain('html')}) > 60 THEN concat(left({_plain('html')}, 60), '…') ELSE {_plain('html')} END) END AS title FROM pages",
     "auto_links": r"SELECT page_id, concat(regexp_replace(url, '[.,;:!?。、]+$', ''), ' https://e.org/x') AS links FROM pages",
-    "organizers": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS organizer FROM part",
+    "organizers": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS organizer, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS performer FROM part",
     "descriptions": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, 'のイベント情報です。') WHEN 1 THEN concat(p_name, '。', p_brand, 'のイベント情報を掲載しています。') ELSE repeat(p_name, 10) END AS description FROM part",
     "exclusion_filter": "SELECT count(*) FILTER (WHERE o_orderkey % 5 <> 2) AS excluded, count(*) FILTER (WHERE o_orderkey % 5 = 2) AS kept FROM orders",
     "list_with_details": ORDERS + " SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority WHEN o_orderkey % 4 > 0 THEN lower(o_orderpriority) END AS title, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 5 > 0 THEN date_to ELSE date_from END AS day FROM ev",
     "spot_events": ORDERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY date_from, o_orderkey) AS p FROM ev), g AS (SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY p) AS e FROM r WHERE p <= 3 GROUP BY 1) SELECT c_name, coalesce(e, '') AS events FROM customer LEFT JOIN g ON o_custkey = c_custkey",
-    "latest_change": "WITH s AS (SELECT user_id % 250 AS page_id, max(ts::DATE) AS seen FROM events WHERE user_id % 3 = 0 GROUP BY 1) SELECT page_id, greatest(DATE '2024-01-05' + (page_id % 20)::INT, coalesce(seen, DATE '2000-01-01')) AS lastmod FROM pages LEFT JOIN s USING (page_id)",
+    "latest_change": "WITH s AS (SELECT user_id AS page_id, max(ts::DATE) AS seen FROM events GROUP BY 1) SELECT page_id, greatest(DATE '2024-01-05' + (page_id % 20)::INT, coalesce(seen, DATE '2000-01-01')) AS lastmod FROM pages LEFT JOIN s USING (page_id)",
     "grand_total": "SELECT count(DISTINCT s_nationkey) AS n_nations, (SELECT count(*) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)::BIGINT AS total FROM supplier",
     "bucket_pivot": "SELECT ts::DATE AS day, count(*) FILTER (WHERE event_type = 'view') AS \"view\", count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'purchase') AS purchase, 0::BIGINT AS absent FROM events GROUP BY 1",
     "first_rule_order": "SELECT CASE WHEN contains(t, 'steel') THEN 'steel' WHEN contains(t, 'blue') THEN 'blue' WHEN contains(t, 'e') THEN 'any' ELSE 'other' END AS rule, count(*) AS n FROM (SELECT lower(concat(p_name, ' ', p_type)) AS t FROM part) GROUP BY 1",

@@ -22,7 +22,7 @@ def validation_violations(spark, sf):
 
 def seo_problems(spark, sf):
     p = table(spark, sf, "pages")
-    head = F.when(F.col("page_id") % 2 == 0, '<meta name="description" content="x"><link rel="canonical" href="y">').otherwise('<meta property="og:url" content="z">')
+    head = F.when(F.col("page_id") % 2 == 0, '<meta name="description" content="x"><link rel="canonical" href="y">').otherwise('<link rel="canonical" href="y"><meta property="og:url" content="z">')
     return stats.seo_problems(p.select("page_id", F.concat(head, F.col("html")).alias("html")), "page_id", "html")
 
 
@@ -33,7 +33,7 @@ def conflict_lines(spark, sf):
 
 def sitemap_entries(spark, sf):
     p = table(spark, sf, "pages").select("page_id", urls.normalise(F.col("url")).alias("loc"), F.when(F.col("page_id") % 2 == 0, "date").otherwise("spot").alias("category"))
-    e = table(spark, sf, "events").groupBy((F.col("user_id") % 250).alias("page_id")).agg(F.max(F.to_date("ts")).alias("lastmod"))
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("page_id")).agg(F.max(F.to_date("ts")).alias("lastmod"))
     rows = p.join(e, "page_id", "left").withColumn("lastmod", F.coalesce("lastmod", F.lit("2024-01-01").cast("date")))
     out = render.sitemap_entries(rows, "loc", "lastmod", "category")
     return out.select("category", "loc", render.sitemap_xml(F.col("loc"), F.col("lastmod").cast("string")).alias("xml"))
@@ -92,9 +92,9 @@ _MARK = {"title": r"<title>[^<]+</title>", "description": r"<meta\s+name=[\"'']d
 SQL = {
     "quality_gate": r"WITH d AS (SELECT lang, count(*) AS total, count(*) FILTER (WHERE NOT (n_chars > 100) OR text IS NULL OR trim(regexp_replace(text, '\s+', ' ', 'g')) = '') AS missing_title, count(*) FILTER (WHERE quality IS NULL) AS missing_date FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1) SELECT lang, total, missing_title, missing_date, missing_title / total AS title_rate, missing_date / total AS date_rate, CASE WHEN greatest(missing_title, missing_date) / total > 0.03 THEN 'fail' WHEN greatest(missing_title, missing_date) / total > 0.01 THEN 'warn' ELSE 'ok' END AS status FROM d",
     "validation_violations": "SELECT doc_id, CASE WHEN doc_id % 9 IN (0, 1) THEN 'title' ELSE 'date_from' END AS violation FROM documents WHERE doc_id % 9 IN (0, 1) OR doc_id % 7 IN (0, 1)",
-    "seo_problems": "WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<meta name=\"description\" content=\"x\"><link rel=\"canonical\" href=\"y\">' ELSE '<meta property=\"og:url\" content=\"z\">' END || html AS html FROM pages) " + " UNION ALL ".join(f"SELECT page_id, '{k}' AS problem FROM p WHERE NOT regexp_matches(html, '(?i){v}')" for k, v in _MARK.items()),
+    "seo_problems": "WITH p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<meta name=\"description\" content=\"x\"><link rel=\"canonical\" href=\"y\">' ELSE '<link rel=\"canonical\" href=\"y\"><meta property=\"og:url\" content=\"z\">' END || html AS html FROM pages) " + " UNION ALL ".join(f"SELECT page_id, '{k}' AS problem FROM p WHERE NOT regexp_matches(html, '(?i){v}')" for k, v in _MARK.items()) + " UNION ALL SELECT page_id, 'canonical <> og:url' FROM p WHERE page_id % 2 <> 0",
     "conflict_lines": r"""WITH t AS (SELECT p_partkey, string_split(concat('a', chr(10), CASE WHEN p_partkey % 5 = 0 THEN concat('<<<<<<< HEAD', chr(10), 'b', chr(10), '=======', chr(10)) ELSE concat('<<<<<<<x', chr(10)) END, '  >>>>>>> c', chr(10), CASE WHEN p_partkey % 3 = 0 THEN '>>>>>>>' ELSE 'z' END), chr(10)) AS l FROM part), u AS (SELECT p_partkey, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM t) SELECT p_partkey, n::INT AS line_no, line FROM u WHERE regexp_matches(line, '^(<{7}|={7}|>{7})(\s|$)')""",
-    "sitemap_entries": f"WITH e AS (SELECT user_id % 250 AS page_id, max(ts::DATE) AS lastmod FROM events GROUP BY 1), r AS (SELECT {_NORMAL} AS loc, CASE WHEN page_id % 2 = 0 THEN 'date' ELSE 'spot' END AS category, max(coalesce(lastmod, DATE '2024-01-01')) AS lastmod FROM pages LEFT JOIN e USING (page_id) GROUP BY 1, 2) SELECT category, loc, concat('<url><loc>', loc, '</loc><lastmod>', lastmod, '</lastmod></url>') AS xml FROM r",
+    "sitemap_entries": f"WITH e AS (SELECT user_id AS page_id, max(ts::DATE) AS lastmod FROM events GROUP BY 1), r AS (SELECT {_NORMAL} AS loc, CASE WHEN page_id % 2 = 0 THEN 'date' ELSE 'spot' END AS category, max(coalesce(lastmod, DATE '2024-01-01')) AS lastmod FROM pages LEFT JOIN e USING (page_id) GROUP BY 1, 2) SELECT category, loc, concat('<url><loc>', loc, '</loc><lastmod>', lastmod, '</lastmod></url>') AS xml FROM r",
     "changed_pages": "SELECT url AS path, sha256(html) AS digest FROM pages WHERE page_id % 3 = 0",
     "marker_splice": "SELECT p_partkey, concat(p_name, '<!--A-->new $1<!--B-->tail') AS t FROM part",
     "csv_cells": "SELECT p_partkey, concat(p_name, ', x') AS c0, p_brand AS c1, p_size::VARCHAR AS c2 FROM part",

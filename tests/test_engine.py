@@ -75,14 +75,6 @@ def test_survivors(spark):
     assert {tuple(r) for r in dedupe.keep_last_at_first(rows, ["k"], "o").collect()} == {("a", 0, 3), ("b", 1, 2)}
 
 
-def test_task_order():
-    assert graph.task_order([("c", ["a"]), ("a", []), ("b", ["a"])]) == ["a", "c", "b"]
-    with pytest.raises(graph.CyclicTasks):
-        graph.task_order([("a", ["b"]), ("b", ["a"])])
-    with pytest.raises(graph.CyclicTasks):
-        graph.task_order([("a", ["x"])])
-
-
 def test_validation(spark):
     good = spark.createDataFrame([(0, "ab", "2026-01-01")], "o int, title string, date_from string")
     assert stats.require_valid(good, "o").count() == 1
