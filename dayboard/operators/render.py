@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html, escape_json_ld, escape_xml
+from .events import noindex
+from .joins import with_counts
+from .ranking import ja, neighbours, top_per_group
 
 
 def event_card(title: Column, label: Column, url: Column) -> Column:
@@ -30,3 +35,41 @@ def sitemap_xml(loc: Column, lastmod: Column) -> Column:
 def report_line(cells: list[tuple[Column, int]]) -> Column:
     """A line of left-aligned cells; longer ones are not cut."""
     return F.concat_ws("  ", *(F.when(F.length(c) < w, F.rpad(c, w, " ")).otherwise(c) for c, w in cells))
+
+
+def day_documents(days: DataFrame, as_of: dt.date) -> DataFrame:
+    """``(day, n_events, noindex, html)``: the page of every day of ``days(day, ord, title, url, date_from)``.
+
+    A page has its day and count as title, links to the days before and after that have events, a card and a block of
+    structured data for each event in the order of ``ord``; days outside the index window are not to be indexed.
+    """
+    card = event_card(F.col("title"), F.col("date_from").cast("string"), F.col("url"))
+    data = escape_json_ld(F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), F.col("title").alias("name"), F.col("date_from").cast("string").alias("startDate"), F.col("url").alias("url"))))
+    shown = F.col("date_from").isNotNull() & (F.coalesce(F.col("title"), F.lit("")) != "")  # what has no date or title has no data
+    rows = days.groupBy("day").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_list(F.struct("ord", card.alias("card"), F.when(shown, data).alias("data")))).alias("rows"))
+    pages = rows.join(neighbours(rows.select("day"), "day"), "day").withColumn("noindex", noindex(F.col("day"), F.col("n_events"), as_of))
+    link = lambda rel: F.when(F.col(f"{rel}_day").isNotNull(), F.concat(F.lit(f'<a rel="{rel}" href="/date/'), F.col(f"{rel}_day").cast("string"), F.lit('/">'), F.col(f"{rel}_day").cast("string"), F.lit("</a>"))).otherwise("")
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html lang="ja"><head><title>'), F.col("day").cast("string"), F.lit("のイベント（"), F.col("n_events").cast("string"), F.lit("件）</title>"),
+        F.when(F.col("noindex"), F.lit('<meta name="robots" content="noindex">')).otherwise(""),
+        F.lit('<script type="application/ld+json">['), F.array_join(F.col("rows.data"), ","), F.lit("]</script></head><body><nav>"), link("prev"), link("next"), F.lit("</nav><ul>"), F.array_join(F.col("rows.card"), ""), F.lit("</ul></body></html>"),
+    )
+    return pages.select("day", "n_events", "noindex", html.alias("html"))
+
+
+def index_sections(days: DataFrame, most: int) -> DataFrame:
+    """``(day, n_events, section)``: for every day its first titles in the order of ``ord``, and how many more there are."""
+    day = F.col("day").cast("string")
+    top = top_per_group(days, ["day"], [F.asc("ord")], most).groupBy("day").agg(F.array_sort(F.collect_list(F.struct("position", "title"))).alias("top"))
+    rows = days.groupBy("day").agg(F.count("*").alias("n_events")).join(top, "day")
+    items = F.array_join(F.transform("top.title", lambda t: F.concat(F.lit("<li>"), escape_html(t), F.lit("</li>"))), "")
+    more = F.when(F.col("n_events") > most, F.concat(F.lit("<p>ほか"), (F.col("n_events") - most).cast("string"), F.lit("件</p>"))).otherwise("")
+    return rows.select("day", "n_events", F.concat(F.lit('<section><h2><a href="/date/'), day, F.lit('/">'), day, F.lit("</a></h2><ul>"), items, F.lit("</ul>"), more, F.lit("</section>")).alias("section"))
+
+
+def venue_pages(venues: DataFrame, events: DataFrame, key: str, name: str, region: str) -> DataFrame:
+    """``(region, n_venues, n_events, html)``: a page of each region with its venues in Japanese order and their counts."""
+    counted = with_counts(venues.select(key, name, region), events.select(key), key)
+    rows = counted.groupBy(region).agg(F.count("*").alias("n_venues"), F.sum("n_events").alias("n_events"), F.array_sort(F.collect_list(F.struct(ja(name).alias("place"), F.col(key), F.col("n_events").alias("n"), F.col(name).alias("name")))).alias("v"))
+    items = F.array_join(F.transform("v", lambda x: F.concat(F.lit("<li>"), escape_html(x["name"]), F.lit("（"), x["n"].cast("string"), F.lit("件）</li>"))), "")
+    return rows.select(region, "n_venues", "n_events", F.concat(F.lit("<h1>"), escape_html(F.coalesce(F.col(region), F.lit("その他"))), F.lit("</h1><ul>"), items, F.lit("</ul>")).alias("html"))
