@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from ..functions import dates, extract, tags, text, urls, values
 from ..operators import events as ev
 from ..operators import render, stats
+from ..plans import venues
 from .base import AS_OF, F, order_events, table
 
 LABELS = {"sports": "スポーツ", "exhibition": "展覧会", "performance": "公演"}
@@ -158,12 +157,39 @@ def venue_pages(spark, sf):
     return render.venue_pages(venues, facts, "s_suppkey", "s_name", "n_name")
 
 
-QUERIES = {f.__name__: f for f in (venue_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
+def _pages_of_orders(spark, sf, before, item, after=""):
+    """A page for each customer, with an item for each order."""
+    o = order_events(spark, sf).groupBy(F.col("o_custkey").cast("string").alias("c")).agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
+    return o.select(F.concat(F.lit("https://v.jp/"), F.col("c"), F.lit("/")).alias("url"), F.concat(F.lit(before), F.col("items"), F.lit(after)).alias("html"))
+
+
+def listed_events(spark, sf):
+    k = F.col("o_orderkey").cast("string")
+    item = F.concat(F.lit("<p><a class=x href='"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/e/"), k)).otherwise(F.concat(F.lit("e/"), k)), F.lit("'>Event <b>"), k, F.lit("</b> "), F.when(F.col("o_orderkey") % 3 > 0, F.date_format("date_from", "yyyy年M月d日")).otherwise(F.lit("未定")), F.lit("</a></p>"))
+    return venues.listing(_pages_of_orders(spark, sf, "<body>", item), AS_OF).select("source_url", "title", "date_from", "date_to")
+
+
+def card_events(spark, sf):
+    k = F.col("o_orderkey").cast("string")
+    item = F.concat(F.lit('<div class="event-wrap"><a href="/e/'), k, F.lit('"></a><p class="event-name">A &amp; '), k, F.lit("</p><p>"), F.date_format("date_from", "yyyy/M/d"), F.lit('</p><p class="event-time">9:30開場 10:00～12:00</p><div class="event-info1">'), F.when(F.col("o_orderkey") % 2 == 0, "無料").otherwise("500円"), F.lit('</div><div class="event-info2"></div></div>'))
+    return venues.cards(_pages_of_orders(spark, sf, "", item), AS_OF).select("source_url", "title", "date_from", "open_time", "start_time", "end_time", "price")
+
+
+def box_events(spark, sf):
+    k = F.col("o_orderkey").cast("string")
+    item = F.concat(F.lit('<div class="box"><div class="mid">B '), k, F.lit("</div><dl><dt>開催日</dt><dd>"), F.date_format("date_from", "yyyy年M月d日"), F.lit("～"), F.date_format("date_to", "yyyy年M月d日"), F.lit("</dd><dt>営業時間</dt><dd>10：30</dd></dl></div>"))
+    return venues.boxes(_pages_of_orders(spark, sf, "", item), AS_OF).select("source_url", "title", "date_from", "date_to", "start_time")
+
+
+QUERIES = {f.__name__: f for f in (listed_events, card_events, box_events, venue_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
 
 _EV = "WITH ev AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS b, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)"
 _CARD = """concat('<li class="event-card"><a href="/e/', o_orderkey, '"><span class="event-card__title">E&lt;', o_orderkey, '</span><span class="event-card__date">', a, '</span></a></li>')"""
 _LD = """concat('{"@context":"https://schema.org","@type":"Event","name":"E\\u003c', o_orderkey, '","startDate":"', a, '","url":"/e/', o_orderkey, '"}')"""
 SQL = {
+    "listed_events": _EV + " SELECT CASE WHEN o_orderkey % 2 = 0 THEN concat('https://v.jp/e/', o_orderkey) ELSE concat('https://v.jp/', o_custkey, '/e/', o_orderkey) END AS source_url, concat('Event ', o_orderkey, ' ', y, '年', m, '月', d, '日') AS title, a::VARCHAR AS date_from, a::VARCHAR AS date_to FROM ev WHERE o_orderkey % 3 > 0",
+    "card_events": _EV + " SELECT concat('https://v.jp/e/', o_orderkey) AS source_url, concat('A & ', o_orderkey) AS title, a::VARCHAR AS date_from, '9:30' AS open_time, '10:00' AS start_time, '12:00' AS end_time, CASE WHEN o_orderkey % 2 = 0 THEN '無料' ELSE '500円' END AS price FROM ev",
+    "box_events": _EV + " SELECT concat('https://v.jp/', o_custkey, '/') AS source_url, concat('B ', o_orderkey) AS title, a::VARCHAR AS date_from, b::VARCHAR AS date_to, '10:30' AS start_time FROM ev",
     "venue_pages": "WITH c AS (SELECT s_suppkey, s_name, n_name, count(l_suppkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2, 3) SELECT n_name, count(*) AS n_venues, sum(n)::BIGINT AS n_events, concat('<h1>', n_name, '</h1><ul>', string_agg(concat('<li>', s_name, '（', n, '件）</li>'), '' ORDER BY lower(s_name), s_suppkey), '</ul>') AS html FROM c GROUP BY 1",
     "detail_urls": "SELECT page_id, page_id % 6 = 0 AS named, page_id % 6 = 1 AS folder, page_id % 6 = 3 AS museum, page_id % 6 = 4 AS numbered FROM pages",
     "month_urls": _EV + " SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN concat('https://new.example/', y, '/', lpad(m::VARCHAR, 2, '0'), '/') END AS u, m::INT AS month FROM ev",
