@@ -141,6 +141,35 @@ def truncate(text: Column, n: int, suffix: str = "…") -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(suffix))).otherwise(text)
 
 
+def line_budget(lines: Column, most: int, suffix: str = "…", *, cut_first: bool = True, within: bool = False) -> Column:
+    """Lines joined while they fit into so many signs, the last kept one marked if more were left out.
+
+    A first line that is too long alone is cut, or gives nothing without ``cut_first``.  With ``within``, the mark takes
+    the place of the last sign where it would not fit.
+    """
+
+    def step(done: Column, line: Column) -> Column:
+        kept = done["kept"]
+        more = F.when(kept == "", line).otherwise(F.concat(kept, F.lit("\n"), line))
+        marked = F.concat(F.when(F.length(kept) + len(suffix) > most, F.left(kept, F.length(kept) - len(suffix))).otherwise(kept) if within else kept, F.lit(suffix))
+        first = F.concat(F.left(line, F.lit(most - len(suffix))), F.lit(suffix)) if cut_first else F.lit("")
+        full = F.struct(F.when(kept == "", first).otherwise(marked).alias("kept"), F.lit(True).alias("full"))
+        return F.when(done["full"], done).when(F.length(more) <= most, F.struct(more.alias("kept"), F.lit(False).alias("full"))).otherwise(full)
+
+    return F.aggregate(lines, F.struct(F.lit("").alias("kept"), F.lit(False).alias("full")), step, lambda done: done["kept"])
+
+
+def lines_at(html: Column, ends: str = "") -> Column:
+    """Array of the lines between line breaks and ends of the named elements, without tags, trimmed, none empty."""
+    broken = F.regexp_replace(decode_entities(html), r"(?i)<br\s*/?>" + (rf"|</(?:{ends})>" if ends else ""), "\n")
+    return F.filter(F.transform(F.split(strip_tags_compact(broken), r"\r?\n"), normalize_space), lambda x: x != "")
+
+
+def pieces(html: Column, head: str) -> Column:
+    """Array of the parts of a page that begin with a match of ``head``, each up to the next one."""
+    return F.filter(F.split(html, rf"(?is)(?={head})"), lambda x: x.rlike(rf"(?is)^{head}"))
+
+
 def tag_search_text(text: Column) -> Column:
     """What tag rules are looked up in: no numeric entities, no white space, lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"&#\d+;", ""), f"{SPACE}+", ""))

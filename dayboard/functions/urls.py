@@ -40,6 +40,15 @@ def month_url(url: Column, host: str) -> Column:
     return F.when(y != "", F.concat(F.lit(f"https://{host}/"), y, F.lit("/"), F.lpad(m, 2, "0"), F.lit("/")))
 
 
+def month_page(url: Column) -> Column:
+    """``struct(url, month)`` of the page of a month's events, ``/event/date/YYYY/M/`` below its host without query and
+    fragment, and the first of that month; null for all other URLs."""
+    host = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    y, m = (F.regexp_extract(path(url), r"^/event/date/(\d{4})/(\d{1,2})/?$", i) for i in (1, 2))
+    first = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lit("01")), "yyyy-MM-dd")
+    return F.when(first.isNotNull(), F.struct(F.concat(host, F.lit("/event/date/"), y, F.lit("/"), F.lpad(m, 2, "0"), F.lit("/")).alias("url"), first.alias("month")))
+
+
 def normalise(url: Column) -> Column:
     """Without fragment, query and trailing slash; host in lower case."""
     bare = F.regexp_replace(url, r"[?#].*$", "")

@@ -15,13 +15,14 @@ from ..functions import dates, extract, text, urls
 from ..operators.dedupe import keep_last_at_first
 from ..sources.readers import csv_cells
 
-COLUMNS = ["source_url", "title", "date_from", "date_to", "open_time", "start_time", "end_time", "price", "contact", "venue_name", "body"]
+COLUMNS = ["source_url", "title", "date_from", "date_to", "open_time", "start_time", "end_time", "price", "contact", "venue_name", "body", "description", "image_url", "status"]
 _RANGE = "[~～－−-]"
 
 
 def _events(rows: DataFrame, **columns: Column) -> DataFrame:
     none = F.lit(None).cast("string")
-    out = rows.select(*[columns.get(c, none).cast("string").alias(c) for c in COLUMNS])
+    # As one generated row, so that the filter below reads the columns instead of computing all of them once more.
+    out = rows.select(F.inline(F.array(F.struct(*[columns.get(c, none).cast("string").alias(c) for c in COLUMNS]))))
     out = out.withColumn("date_to", F.coalesce("date_to", "date_from"))
     return out.where(~text.is_blank(F.col("title")) & F.col("date_from").isNotNull())
 
