@@ -68,6 +68,11 @@ def _terms(html: Column, label: str) -> Column:
     return text.first_capture(html, rf"(?is){label}</dt>\s*<dd[^>]*>(.*?)</dd>")
 
 
+def _once(df: DataFrame, *columns) -> DataFrame:
+    """Like ``select``, but as one generated row: later filters read the columns and do not compute them again."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def _hrefs(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` of all links of pages, resolved."""
     rows = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
@@ -98,13 +103,17 @@ def windowed_links(lists: DataFrame, details: DataFrame) -> DataFrame:
     """Links to events with what stands around them (500 signs before, 1500 after): the first heading there names the
     event, and its first day counts where the detail's table has none."""
     link = r"""<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""
-    around = rf"(?is)(?=<a\b)(?<=(^.{{0,499}}|.{{500}}))(?=({link}).{{0,1500}})(?=({link}.{{0,1500}}))"
-    side = lambda i: F.regexp_extract_all("html", F.lit(around), F.lit(i))
-    rows = lists.select("url", F.posexplode(F.arrays_zip(side(1).alias("before"), side(2).alias("a"), side(3).alias("after"))).alias("n", "x")).select("url", "n", "x.*")
+    # The last 500 signs so far go from one piece of the page to the next.
+    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<before:string,a:string>>").alias("out"))
+    grow = lambda done, p: F.struct(F.right(F.concat(done["tail"], p), F.lit(500)).alias("tail"), F.concat(done["out"], F.array(F.struct(done["tail"].alias("before"), p.alias("a")))).alias("out"))
+    linked = F.filter(F.aggregate(F.split("html", rf"(?is)(?={link})"), start, grow, lambda done: done["out"]), lambda x: x["a"].rlike(rf"(?is)^{link}"))
+    after = F.regexp_extract_all("html", F.lit(rf"(?is)(?=({link}.{{0,1500}}))(?=<a\b)"), F.lit(1))
+    rows = lists.select("url", F.posexplode(F.arrays_zip(linked.alias("x"), after.alias("after"))).alias("n", "z")).select("url", "n", "z.x.before", "z.x.a", "z.after")
     clean = lambda t: text.trim_space(F.regexp_replace(F.regexp_replace(text.normalize_space(text.strip_tags(text.decode_entities(t))), r"^(開催日|会期|日時)\s*[:：]?\s*", ""), r"\s*開催日\s*[:：]?.*$", ""))
     window = F.concat("before", "after")
     plain = text.normalize_space(text.decode_entities(text.strip_tags_with_breaks(F.col("window"))))
-    rows = rows.withColumn("window", window).select(
+    rows = _once(
+        _once(rows, "n", "url", "a", window.alias("window")),
         "n",
         "url",
         urls.resolve(text.first_capture(F.col("a"), HREF), F.col("url")).alias("source_url"),
@@ -425,15 +434,15 @@ def special_and_lines(pages: DataFrame) -> DataFrame:
     """The linked exhibitions of a page's special section, and elsewhere lines that name one with a range of days below;
     of equal ones the one with its own page stays."""
     page = F.regexp_replace(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", ""), "(?s)<!--.*?-->", "")
-    rows = pages.select("url", page.alias("html")).where("html <> ''").withColumn("parts", F.split("html", r"(?is)(?=<h[1-6][^>]*>)"))
+    rows = _once(pages, "url", page.alias("html")).where("html <> ''").withColumn("parts", F.split("html", r"(?is)(?=<h[1-6][^>]*>)"))
     titled = F.transform("parts", lambda p: F.coalesce(_compact(text.first_capture(p, r"(?is)^(<h[1-6][^>]*>.*?</h[1-6]>)")).contains(SPECIAL), F.lit(False)))
-    rows = rows.withColumn("at", F.array_position(titled, True).cast("int"))
+    rows = _once(rows, "url", "html", "parts", F.array_position(titled, True).cast("int").alias("at"))
     start = F.instr("html", SPECIAL)
     after = F.substr(F.col("html"), start + len(SPECIAL))
     stop = F.least(F.length(after) + 1, *(F.when(F.instr(after, e) > 0, F.instr(after, e)) for e in AFTER_SPECIAL))
     loose = F.when(start > 0, F.concat(F.lit(SPECIAL), F.substr(after, F.lit(1), stop - 1))).otherwise("")
     unheaded = F.when(start > 0, F.concat(F.substr(F.col("html"), F.lit(1), start - 1), F.substr(after, stop))).otherwise(F.col("html"))
-    rows = rows.select("url", F.when(F.col("at") > 0, F.expr("parts[at - 1]")).otherwise(loose).alias("special"), F.when(F.col("at") > 0, F.array_join(F.filter("parts", lambda p, i: i + 1 != F.col("at")), "")).otherwise(unheaded).alias("others"))
+    rows = _once(rows, "url", F.when(F.col("at") > 0, F.expr("parts[at - 1]")).otherwise(loose).alias("special"), F.when(F.col("at") > 0, F.array_join(F.filter("parts", lambda p, i: i + 1 != F.col("at")), "")).otherwise(unheaded).alias("others"))
     plain = lambda t: dates.normalize_date_text(text.normalize_space(t), drop_parens=True, commas=True)
 
     ahead = _parts(F.col("special"), r"""(?is)(?=<a[^>]*href=["'][^"']+["'])(?=(.{1,900}))""")
@@ -441,11 +450,13 @@ def special_and_lines(pages: DataFrame) -> DataFrame:
     link = r"""(?is)^<a[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
     name = F.regexp_replace(F.regexp_replace(_compact(text.first_capture(F.col("w"), link, 2)), r"^(特別展)\s*(開催予定|開催中)\s*", "$1 "), r"^(開催予定|開催中)\s*", "")
     dated = F.get(F.filter(F.transform(text.lines_at(F.col("w"), _BREAKS), plain), lambda x: x.rlike(JP_DATE)), 0)
-    linked = linked.select("url", F.lit(0).alias("kind"), "n", urls.resolve(text.first_capture(F.col("w"), link), F.col("url")).alias("address"), text.trim_space(name).alias("title"), _date_span(dated).alias("span"))
+    linked = _once(linked, "url", F.lit(0).alias("kind"), "n", text.first_capture(F.col("w"), link).alias("href"), text.trim_space(name).alias("title"), dated.alias("dated"))
+    linked = linked.select("url", "kind", "n", urls.resolve(F.col("href"), F.col("url")).alias("address"), "title", "dated")
 
     lines = F.transform(text.lines_at(F.col("others"), _BREAKS), plain)
     paired = rows.select("url", lines.alias("l")).select("url", F.posexplode(F.arrays_zip(F.col("l").alias("t"), F.slice("l", 2, 1 << 30).alias("below"))).alias("n", "x")).select("url", "n", "x.*")
-    paired = paired.where(extract.is_title_candidate(F.col("t"), SHOWS)).select("url", F.lit(1).alias("kind"), "n", F.col("url").alias("address"), F.col("t").alias("title"), _date_span(F.col("below")).alias("span"))
-    both = linked.unionByName(paired).where("span is not null and title <> ''").select("*", "span.*", F.struct("kind", "n").alias("ord"))
+    paired = paired.where(extract.is_title_candidate(F.col("t"), SHOWS)).select("url", F.lit(1).alias("kind"), "n", F.col("url").alias("address"), F.col("t").alias("title"), F.col("below").alias("dated"))
+    both = _once(linked.unionByName(paired), "url", "address", "title", F.struct("kind", "n").alias("ord"), _date_span(F.col("dated")).alias("span"))
+    both = both.where("span is not null and title <> ''").select("*", "span.*")
     kept = dedupe.keep_preferred(both, ["url", "title", "first", "last"], F.coalesce(F.col("address"), "url") == F.col("url"), "ord")
     return _events(kept, source_url=F.coalesce("address", "url"), title=F.col("title"), date_from=F.col("first"), date_to=F.col("last"))
