@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import clock, make_date
-from .text import contains_any, normalize_space, plain_newlines, plain_text, tag_text, truncate
+from .text import contains_any, normalize_space, plain_newlines, plain_text, tag_text, trim_space, truncate
 
 # Words around titles and organisers.
 STATUS_PREFIX = r"^[\[【(（](?:終了|開催中|中止|延期|受付中|満席)[\]】)）]\s*"
@@ -115,11 +115,19 @@ def performer(text: Column) -> Column:
     return _named(text, "出演者|出演", f"主催|{CONTACT_STOPS}|場所|日時", NO_NAME[:1])
 
 
-def description(text: Column, name: Column) -> Column:
-    """A description that ends well: short or missing ones are completed."""
-    t = normalize_space(F.coalesce(text, F.lit("")))
-    ended = F.when(t.rlike("[、。]$"), F.regexp_replace(t, "[、。]+$", "。")).otherwise(F.concat(t, F.lit("。")))
-    return F.when(t == "", F.concat(name, F.lit("のイベント情報です。"))).when(F.length(t) < 60, F.concat(ended, name, F.lit("のイベント情報を掲載しています。"))).otherwise(t)
+# The texts that complete a venue's description.
+DESCRIPTION_REGION, DESCRIPTION_TEXT, DESCRIPTION_TAIL = "四国", "の施設詳細ページです。開催予定のイベントやアクセス情報を確認できます。", " 公式サイトや開催予定イベント、アクセス情報への導線をこのページでまとめて確認できます。"
+
+
+def description(text: Column, name: Column, *, prefecture: Column | None = None, municipality: Column | None = None, category: Column | None = None) -> Column:
+    """A venue's description: a missing one is made of its area, category and name; one that is short or ends with a
+    stop has a sentence after it."""
+    none = F.lit(None).cast("string")
+    filled = lambda c: F.nullif(none if c is None else c, F.lit(""))
+    area = F.coalesce(F.nullif(F.concat_ws(" ", filled(prefecture), filled(municipality)), F.lit("")), F.lit(DESCRIPTION_REGION))
+    made = F.concat(area, F.lit("にある"), F.coalesce(F.concat(filled(category), F.lit("の")), F.lit("")), F.coalesce(name, F.lit("")), F.lit(DESCRIPTION_TEXT))
+    t = F.coalesce(F.nullif(trim_space(text), F.lit("")), made)
+    return F.when(t.rlike("[、。]$") | (F.length(t) < 60), F.concat(t, F.lit(DESCRIPTION_TAIL))).otherwise(t)
 
 
 def is_excluded(title: Column) -> Column:

@@ -59,3 +59,9 @@ def seconds(ms: Column) -> Column:
 def parse_json(text: Column, schema: str, default: Column) -> Column:
     """Parsed JSON, or a default where it cannot be parsed."""
     return F.coalesce(F.from_json(text, schema), default)
+
+
+def require_json(text: Column, schema: str, what: str = "JSON") -> Column:
+    """Parsed JSON; what cannot be parsed is an error of the kind PARSE."""
+    parsed = F.from_json(text, schema)
+    return F.when(text.isNotNull() & F.try_parse_json(text).isNull(), F.raise_error(F.lit(f"{what} の JSON パースに失敗しました。"))).otherwise(parsed)

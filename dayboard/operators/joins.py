@@ -44,9 +44,12 @@ def stale(existing: DataFrame, active: DataFrame, key: str) -> DataFrame:
     return existing.join(active.select(key), key, "left_anti")
 
 
-def owner_conflicts(owned: DataFrame, output: str, owner: str) -> DataFrame:
-    """Outputs with more than one owner, and how many."""
-    return owned.groupBy(output).agg(F.count_distinct(owner).alias("owners")).where("owners > 1")
+def owner_conflicts(owned: DataFrame, output: str, owner: str, allowed: DataFrame | None = None) -> DataFrame:
+    """Outputs with more than one owner, and how many; not those all of whose owners are in ``allowed(output, owner)``."""
+    if allowed is None:
+        return owned.groupBy(output).agg(F.count_distinct(owner).alias("owners")).where("owners > 1")
+    pairs = owned.select(output, owner).distinct().join(allowed.select(output, owner, F.lit(True).alias("_allowed")).distinct(), [output, owner], "left")
+    return pairs.groupBy(output).agg(F.count("*").alias("owners"), F.count("_allowed").alias("_allowed")).where("owners > 1 AND _allowed < owners").drop("_allowed")
 
 
 def stat_changes(before: DataFrame, after: DataFrame, key: str, values: list[str]) -> DataFrame:

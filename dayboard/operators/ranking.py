@@ -30,6 +30,17 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFram
     return df.orderBy(*order).offset(offset).limit(size)
 
 
+def search(df: DataFrame, name: str, keyword: str) -> DataFrame:
+    """Rows whose name contains the keyword, its case as it is; an empty one finds all."""
+    return df.where(F.contains(F.col(name), F.lit(keyword.strip())))
+
+
+def suggestions(df: DataFrame, name: str, keyword: str, ordinal: str, most: int = 5) -> DataFrame:
+    """The first rows in the order of ``ordinal`` whose name contains the keyword; an empty one suggests nothing."""
+    found = search(df, name, keyword)
+    return found.orderBy(ordinal).limit(most) if keyword.strip() else found.limit(0)
+
+
 def carry_forward(df: DataFrame, partition: list[str], order: list[str], reset: Column, columns: list[str]) -> DataFrame:
     """Last value of each column so far that is not null, forgotten at each reset."""
     so_far = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,7 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dates import range_label
+from ..functions.extract import description
 from ..functions.text import escape_html, escape_json_ld, escape_xml
+from ..functions.urls import encode_component
 from .events import noindex
 from .joins import with_counts
 from .ranking import ja, neighbours, top_per_group
@@ -73,3 +76,38 @@ def venue_pages(venues: DataFrame, events: DataFrame, key: str, name: str, regio
     rows = counted.groupBy(region).agg(F.count("*").alias("n_venues"), F.sum("n_events").alias("n_events"), F.array_sort(F.collect_list(F.struct(ja(name).alias("place"), F.col(key), F.col("n_events").alias("n"), F.col(name).alias("name")))).alias("v"))
     items = F.array_join(F.transform("v", lambda x: F.concat(F.lit("<li>"), escape_html(x["name"]), F.lit("（"), x["n"].cast("string"), F.lit("件）</li>"))), "")
     return rows.select(region, "n_venues", "n_events", F.concat(F.lit("<h1>"), escape_html(F.coalesce(F.col(region), F.lit("その他"))), F.lit("</h1><ul>"), items, F.lit("</ul>")).alias("html"))
+
+
+def spot_pages(spots: DataFrame, events: DataFrame, site: str, most: int = 10) -> DataFrame:
+    """``(spot_id, n_events, html)``: the page of every spot ``(spot_id, name, category, prefecture, municipality,
+    description)`` with its first ``most`` events ``(spot_id, ord, title, url, date_from, date_to)`` by day and ``ord``.
+
+    Structured data holds the spot as a place, the list of its events and each event that has a day and a title.  A
+    spot without events has a page that says so.
+    """
+    day = lambda c: F.col(c).cast("string")
+    first = top_per_group(events, ["spot_id"], [F.col("date_from").asc_nulls_first(), F.asc("ord")], most)
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("イベント名未定"))
+    shown = F.struct("position", title.alias("title"), F.col("title").alias("name"), F.col("url"), day("date_from").alias("start"), F.coalesce(day("date_to"), day("date_from")).alias("end"), F.coalesce(range_label(F.col("date_from"), F.col("date_to")), F.lit("日程未定")).alias("label"))
+    listed = first.groupBy("spot_id").agg(F.array_sort(F.collect_list(shown)).alias("e"))
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit("施設詳細"))
+    page = F.concat(F.lit(site + "/spot/"), encode_component(F.col("spot_id").cast("string")), F.lit("/"))
+    rows = spots.join(listed, "spot_id", "left").withColumn("e", F.coalesce("e", F.array().cast(listed.schema["e"].dataType)))
+    about = description(F.col("description"), name, prefecture=F.col("prefecture"), municipality=F.col("municipality"), category=F.col("category"))
+    rows = rows.select("spot_id", "e", F.size("e").alias("n_events"), name.alias("name"), page.alias("page"), about.alias("about"), F.col("prefecture").alias("region"), F.col("municipality").alias("town"))
+    kind = lambda k: F.lit(k).alias("@type")
+    context = F.lit("https://schema.org").alias("@context")
+    address = F.struct(kind("PostalAddress"), F.coalesce("region", F.lit("")).alias("addressRegion"), F.coalesce("town", F.lit("")).alias("addressLocality")).alias("address")
+    place = F.to_json(F.struct(context, kind("Place"), F.col("name"), F.col("page").alias("url"), F.col("about").alias("description"), address))
+    entry = F.transform("e", lambda x: F.struct(kind("ListItem"), x["position"].alias("position"), x["title"].alias("name"), F.coalesce(x["url"], F.col("page")).alias("url")))
+    listing = F.to_json(F.struct(context, kind("ItemList"), F.concat("name", F.lit("の開催予定イベント")).alias("name"), F.col("n_events").alias("numberOfItems"), entry.alias("itemListElement")))
+    dated = F.filter("e", lambda x: x["start"].isNotNull() & (F.coalesce(x["name"], F.lit("")) != ""))
+    each = F.transform(dated, lambda x: F.to_json(F.struct(context, kind("Event"), x["name"].alias("name"), x["start"].alias("startDate"), x["end"].alias("endDate"), F.struct(kind("Place"), F.col("name"), address).alias("location"), F.coalesce(x["url"], F.col("page")).alias("url"), F.lit("https://schema.org/EventScheduled").alias("eventStatus"))))
+    data = F.array_join(F.concat(F.array(place), F.when(F.col("n_events") > 0, F.array(listing)).otherwise(F.array().cast("array<string>")), each), ",")
+    card = F.transform("e", lambda x: F.concat(F.lit("<li><p>"), escape_html(x["label"]), F.lit("</p><h4>"), escape_html(x["title"]), F.lit("</h4>"), F.coalesce(F.concat(F.lit('<a href="'), escape_html(x["url"]), F.lit('">'), escape_html(x["title"]), F.lit("</a>")), F.lit("")), F.lit("</li>")))
+    body = F.when(F.col("n_events") > 0, F.concat(F.lit("<ul>"), F.array_join(card, ""), F.lit("</ul>"))).otherwise("<p>現在公開中のイベント情報はありません。</p>")
+    html = F.concat(
+        F.lit('<!DOCTYPE html><html lang="ja"><head><title>'), escape_html(F.col("name")), F.lit("のイベント情報（"), F.col("n_events").cast("string"), F.lit('件）</title><meta name="description" content="'), escape_html(F.col("about")),
+        F.lit('"><link rel="canonical" href="'), escape_html(F.col("page")), F.lit('"><script type="application/ld+json">['), escape_json_ld(data), F.lit("]</script></head><body><h1>"), escape_html(F.col("name")), F.lit("</h1>"), body, F.lit("</body></html>"),
+    )
+    return rows.select("spot_id", "n_events", html.alias("html"))

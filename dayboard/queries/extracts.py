@@ -66,8 +66,10 @@ def organizers(spark, sf):
 
 
 def descriptions(spark, sf):
-    t = F.when(F.col("p_partkey") % 3 == 0, F.lit(None)).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("、"))).otherwise(F.repeat("p_name", 10))
-    return table(spark, sf, "part").select("p_partkey", extract.description(t, F.col("p_brand")).alias("description"))
+    k = F.col("p_partkey")
+    t = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.concat("p_name", F.lit("、"))).otherwise(F.repeat("p_name", 10))
+    area = F.when(k % 2 == 0, F.lit("香川県"))
+    return table(spark, sf, "part").select("p_partkey", extract.description(t, F.col("p_brand"), prefecture=area, municipality=F.when(k % 4 == 0, "高松市"), category=F.when(k % 5 > 0, F.col("p_type"))).alias("description"))
 
 
 def exclusion_filter(spark, sf):
@@ -141,7 +143,9 @@ SQL = {
     "fallback_titles": f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('L', page_id) ELSE coalesce({_TAGS}, CASE WHEN length({_plain('html')}) > 60 THEN concat(left({_plain('html')}, 60), '…') ELSE {_plain('html')} END) END AS title FROM pages",
     "auto_links": r"SELECT page_id, concat(regexp_replace(url, '[.,;:!?。、]+$', ''), ' https://e.org/x') AS links FROM pages",
     "organizers": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS organizer, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS performer FROM part",
-    "descriptions": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat(p_brand, 'のイベント情報です。') WHEN 1 THEN concat(p_name, '。', p_brand, 'のイベント情報を掲載しています。') ELSE repeat(p_name, 10) END AS description FROM part",
+    "descriptions": """WITH d AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 1 THEN concat(p_name, '、') WHEN 2 THEN repeat(p_name, 10)
+        ELSE concat(CASE WHEN p_partkey % 4 = 0 THEN '香川県 高松市' WHEN p_partkey % 2 = 0 THEN '香川県' ELSE '四国' END, 'にある', CASE WHEN p_partkey % 5 > 0 THEN concat(p_type, 'の') END, p_brand, 'の施設詳細ページです。開催予定のイベントやアクセス情報を確認できます。') END AS t FROM part)
+      SELECT p_partkey, CASE WHEN t LIKE '%、' OR t LIKE '%。' OR length(t) < 60 THEN concat(t, ' 公式サイトや開催予定イベント、アクセス情報への導線をこのページでまとめて確認できます。') ELSE t END AS description FROM d""",
     "exclusion_filter": "SELECT count(*) FILTER (WHERE o_orderkey % 5 <> 2) AS excluded, count(*) FILTER (WHERE o_orderkey % 5 = 2) AS kept FROM orders",
     "list_with_details": ORDERS + " SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority WHEN o_orderkey % 4 > 0 THEN lower(o_orderpriority) END AS title, CASE WHEN o_orderkey % 4 > 0 AND o_orderkey % 5 > 0 THEN date_to ELSE date_from END AS day FROM ev",
     "spot_events": ORDERS + ", r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY date_from, o_orderkey) AS p FROM ev), g AS (SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY p) AS e FROM r WHERE p <= 3 GROUP BY 1) SELECT c_name, coalesce(e, '') AS events FROM customer LEFT JOIN g ON o_custkey = c_custkey",

@@ -157,6 +157,14 @@ def venue_pages(spark, sf):
     return render.venue_pages(venues, facts, "s_suppkey", "s_name", "n_name")
 
 
+def spot_pages(spark, sf):
+    """A page of each customer as a spot, with the first of their orders as events."""
+    c, k = table(spark, sf, "customer"), F.col("o_orderkey")
+    spots = c.select(F.col("c_custkey").alias("spot_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.lit("香川県").alias("prefecture"), F.lit(None).cast("string").alias("municipality"), F.lit(None).cast("string").alias("description"))
+    o = order_events(spark, sf).select(F.col("o_custkey").alias("spot_id"), k.alias("ord"), F.when(k % 7 > 0, F.concat(F.lit("T<"), k.cast("string"))).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("https://v.jp/?a&b="), k.cast("string"))).alias("url"), "date_from", "date_to")
+    return render.spot_pages(spots, o, "https://v.jp")
+
+
 def _pages_of_orders(spark, sf, before, item, after=""):
     """A page for each customer, with an item for each order."""
     o = order_events(spark, sf).groupBy(F.col("o_custkey").cast("string").alias("c")).agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("items"))
@@ -181,7 +189,7 @@ def box_events(spark, sf):
     return venues.boxes(_pages_of_orders(spark, sf, "", item), AS_OF).select("source_url", "title", "date_from", "date_to", "start_time")
 
 
-QUERIES = {f.__name__: f for f in (listed_events, card_events, box_events, venue_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
+QUERIES = {f.__name__: f for f in (listed_events, card_events, box_events, venue_pages, spot_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
 
 _EV = "WITH ev AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS b, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)"
 _CARD = """concat('<li class="event-card"><a href="/e/', o_orderkey, '"><span class="event-card__title">E&lt;', o_orderkey, '</span><span class="event-card__date">', a, '</span></a></li>')"""
@@ -190,6 +198,16 @@ SQL = {
     "listed_events": _EV + " SELECT CASE WHEN o_orderkey % 2 = 0 THEN concat('https://v.jp/e/', o_orderkey) ELSE concat('https://v.jp/', o_custkey, '/e/', o_orderkey) END AS source_url, concat('Event ', o_orderkey, ' ', y, '年', m, '月', d, '日') AS title, a::VARCHAR AS date_from, a::VARCHAR AS date_to FROM ev WHERE o_orderkey % 3 > 0",
     "card_events": _EV + " SELECT concat('https://v.jp/e/', o_orderkey) AS source_url, concat('A & ', o_orderkey) AS title, a::VARCHAR AS date_from, '9:30' AS open_time, '10:00' AS start_time, '12:00' AS end_time, CASE WHEN o_orderkey % 2 = 0 THEN '無料' ELSE '500円' END AS price FROM ev",
     "box_events": _EV + " SELECT concat('https://v.jp/', o_custkey, '/') AS source_url, concat('B ', o_orderkey) AS title, a::VARCHAR AS date_from, b::VARCHAR AS date_to, '10:30' AS start_time FROM ev",
+    "spot_pages": r"""WITH o AS (SELECT *, o_custkey AS c, o_orderkey AS k, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey) AS n FROM orders),
+      s AS (SELECT c_custkey AS c, c_name AS name, concat('https://v.jp/spot/', c_custkey, '/') AS page, concat('香川県にある', c_mktsegment, 'の', c_name, 'の施設詳細ページです。開催予定のイベントやアクセス情報を確認できます。') AS t FROM customer),
+      q AS (SELECT *, concat(t, ' 公式サイトや開催予定イベント、アクセス情報への導線をこのページでまとめて確認できます。') AS about, '"address":{"@type":"PostalAddress","addressRegion":"香川県","addressLocality":""}' AS adr FROM s),
+      e AS (SELECT q.*, n, CASE WHEN k % 7 > 0 THEN concat('T<', k) END AS own, CASE WHEN k % 7 > 0 THEN concat('T<', k) ELSE 'イベント名未定' END AS title, CASE WHEN k % 2 = 0 THEN concat('https://v.jp/?a&b=', k) END AS url, a, b FROM o JOIN q USING (c) WHERE n <= 10),
+      g AS (SELECT c, count(*) AS m, string_agg(concat('{"@type":"ListItem","position":', n, ',"name":"', title, '","url":"', coalesce(url, page), '"}'), ',' ORDER BY n) AS items,
+        string_agg(concat(',{"@context":"https://schema.org","@type":"Event","name":"', own, '","startDate":"', a, '","endDate":"', b, '","location":{"@type":"Place","name":"', name, '",', adr, '},"url":"', coalesce(url, page), '","eventStatus":"https://schema.org/EventScheduled"}'), '' ORDER BY n) FILTER (WHERE own IS NOT NULL) AS each,
+        string_agg(concat('<li><p>', a, CASE WHEN a < b THEN concat('〜', b) END, '</p><h4>', replace(title, '<', '&lt;'), '</h4>', CASE WHEN url IS NOT NULL THEN concat('<a href="', replace(url, '&', '&amp;'), '">', replace(title, '<', '&lt;'), '</a>') END, '</li>'), '' ORDER BY n) AS cards FROM e GROUP BY c)
+      SELECT q.c AS spot_id, coalesce(m, 0)::INT AS n_events, concat('<!DOCTYPE html><html lang="ja"><head><title>', name, 'のイベント情報（', coalesce(m, 0), '件）</title><meta name="description" content="', about, '"><link rel="canonical" href="', page, '"><script type="application/ld+json">[',
+        replace(concat('{"@context":"https://schema.org","@type":"Place","name":"', name, '","url":"', page, '","description":"', about, '",', adr, '}', CASE WHEN m > 0 THEN concat(',{"@context":"https://schema.org","@type":"ItemList","name":"', name, 'の開催予定イベント","numberOfItems":', m, ',"itemListElement":[', items, ']}') END, each), '<', '\u003c'),
+        ']</script></head><body><h1>', name, '</h1>', CASE WHEN m > 0 THEN concat('<ul>', cards, '</ul>') ELSE '<p>現在公開中のイベント情報はありません。</p>' END, '</body></html>') AS html FROM q LEFT JOIN g USING (c)""",
     "venue_pages": "WITH c AS (SELECT s_suppkey, s_name, n_name, count(l_suppkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2, 3) SELECT n_name, count(*) AS n_venues, sum(n)::BIGINT AS n_events, concat('<h1>', n_name, '</h1><ul>', string_agg(concat('<li>', s_name, '（', n, '件）</li>'), '' ORDER BY lower(s_name), s_suppkey), '</ul>') AS html FROM c GROUP BY 1",
     "detail_urls": "SELECT page_id, page_id % 6 = 0 AS named, page_id % 6 = 1 AS folder, page_id % 6 = 3 AS museum, page_id % 6 = 4 AS numbered FROM pages",
     "month_urls": _EV + " SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN concat('https://new.example/', y, '/', lpad(m::VARCHAR, 2, '0'), '/') END AS u, m::INT AS month FROM ev",

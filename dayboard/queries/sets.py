@@ -101,7 +101,17 @@ def page_offset(spark, sf):
 
 
 def search_spots(spark, sf):
-    return table(spark, sf, "customer").where(F.col("c_name").contains("00001")).select("c_custkey", "c_name")
+    return ranking.search(table(spark, sf, "customer"), "c_name", "00001").select("c_custkey", "c_name")
+
+
+def search_suggestions(spark, sf):
+    return ranking.suggestions(table(spark, sf, "customer"), "c_name", " 1 ", "c_custkey").select("c_custkey", "c_name")
+
+
+def owners_not_allowed(spark, sf):
+    """Parts with several suppliers, unless their suppliers' numbers are all even."""
+    owned = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    return joins.owner_conflicts(owned, "l_partkey", "l_suppkey", owned.where("l_suppkey % 2 = 0"))
 
 
 def name_order_ja(spark, sf):
@@ -166,7 +176,7 @@ def date_bag(spark, sf):
     return bag.select("l_orderkey", stats.date_bag(F.col("ds.d")).alias("r")).select("l_orderkey", "r.date_from", "r.date_to")
 
 
-QUERIES = {f.__name__: f for f in (venue_event_count, prefecture_rollup, fixed_list_summary, dim_left_join_fallback, merge_sources_full_outer, owner_conflicts, adjacent_rows, stat_diff, dedupe_first, dedupe_last, dedupe_prefer, dedupe_composite_nulls, dedupe_texts, repeated_ids, union_sources, type_histogram, spot_top10, page_offset, search_spots, name_order_ja, carry_forward, phase_segments, length_budget, segment_ends, crawl_reach, next_link_chain, filter_summary_by_status, exclusion_counters, date_bag)}
+QUERIES = {f.__name__: f for f in (venue_event_count, prefecture_rollup, fixed_list_summary, dim_left_join_fallback, merge_sources_full_outer, owner_conflicts, adjacent_rows, stat_diff, dedupe_first, dedupe_last, dedupe_prefer, dedupe_composite_nulls, dedupe_texts, repeated_ids, union_sources, type_histogram, spot_top10, page_offset, search_spots, search_suggestions, owners_not_allowed, name_order_ja, carry_forward, phase_segments, length_budget, segment_ends, crawl_reach, next_link_chain, filter_summary_by_status, exclusion_counters, date_bag)}
 
 _FIRST = "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS k FROM ({rows})) WHERE k = 1"
 SQL = {
@@ -188,6 +198,8 @@ SQL = {
     "type_histogram": "SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1",
     "spot_top10": ORDERS + " SELECT o_custkey, position::INT AS position, o_orderkey, date_from FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY date_from, o_orderkey) AS position FROM ev) WHERE position <= 10",
     "page_offset": "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 20 OFFSET 20",
+    "search_suggestions": "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '1') ORDER BY c_custkey LIMIT 5",
+    "owners_not_allowed": "SELECT l_partkey, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1 AND bool_or(l_suppkey % 2 = 1)",
     "search_spots": "SELECT c_custkey, c_name FROM customer WHERE contains(c_name, '00001')",
     "name_order_ja": "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name), p_partkey",
     "carry_forward": "WITH s AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN value END AS v, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM events) SELECT user_id, event_id, segment::BIGINT AS segment, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id, segment ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS day_value_filled FROM s",

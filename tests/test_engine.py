@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from dayboard.operators import dedupe, events, graph, ranking, stats
+from dayboard.functions import values
+from dayboard.operators import dedupe, events, graph, ranking, render, stats
 from dayboard.plans import listing
 from dayboard.sources import readers, writers
 
@@ -117,3 +118,33 @@ def test_stream_of_documents(spark, corpus):
     q = landed_events(spark, corpus).writeStream.format("memory").queryName("landed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("landed").where("title like 'ピアノ%'").count() == 1
+
+
+def test_search(spark):
+    spots = spark.createDataFrame([(i, n) for i, n in enumerate(["Hall", "hall", None, "", "a hall", "hall b", "hall c", "hall d", "hall e"])], "id int, name string")
+    assert [r.id for r in ranking.search(spots, "name", " hall ").orderBy("id").collect()] == [1, 4, 5, 6, 7, 8]
+    assert ranking.search(spots, "name", " ").count() == 8
+    assert [r.id for r in ranking.suggestions(spots, "name", "hall", "id").collect()] == [1, 4, 5, 6, 7]
+    assert ranking.suggestions(spots, "name", " ", "id").count() == 0
+
+
+def test_spot_pages(spark):
+    spots = spark.createDataFrame([("a/b", "館 & 堂", None, None, None, "x" * 60), ("c", None, "公園", "愛媛県", "松山市", "短い。")], "spot_id string, name string, category string, prefecture string, municipality string, description string")
+    rows = [("a/b", 1, "later", None, dt.date(2026, 2, 2), dt.date(2026, 2, 3)), ("a/b", 2, "first </script>", "u", dt.date(2026, 2, 1), None), ("a/b", 3, None, "v", None, None)]
+    shows = spark.createDataFrame(rows, "spot_id string, ord int, title string, url string, date_from date, date_to date")
+    a, c = render.spot_pages(spots, shows, "https://s").orderBy("spot_id").collect()
+    assert (a.n_events, c.n_events) == (3, 0)
+    data = json.loads(a.html.split("ld+json\">")[1].split("</script>")[0])
+    assert [x["@type"] for x in data] == ["Place", "ItemList", "Event", "Event"]
+    assert [(x["position"], x["name"], x["url"]) for x in data[1]["itemListElement"]] == [(1, "イベント名未定", "v"), (2, "first </script>", "u"), (3, "later", "https://s/spot/a%2Fb/")]
+    assert [(x["startDate"], x["endDate"]) for x in data[2:]] == [("2026-02-01", "2026-02-01"), ("2026-02-02", "2026-02-03")]
+    assert "<h1>館 &amp; 堂</h1>" in a.html and "<p>日程未定</p>" in a.html and "<p>2026-02-02〜2026-02-03</p>" in a.html
+    assert "<h1>施設詳細</h1><p>現在公開中のイベント情報はありません。</p>" in c.html and 'content="短い。 公式サイト' in c.html
+    assert len(json.loads(c.html.split("ld+json\">")[1].split("</script>")[0])) == 1
+
+
+def test_strict_json(spark):
+    df = spark.createDataFrame([('{"a": 1}',), (None,)], "t string")
+    assert [r.v and r.v.a for r in df.select(values.require_json(F.col("t"), "a int").alias("v")).collect()] == [1, None]
+    with pytest.raises(Exception, match="パース"):
+        spark.createDataFrame([("{",)], "t string").select(values.require_json(F.col("t"), "a int").alias("v")).collect()
