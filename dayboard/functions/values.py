@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 # Patterns of error texts in the order in which they are tried, exit codes, region slugs.
 ERROR_PATTERNS = [
@@ -65,3 +68,18 @@ def require_json(text: Column, schema: str, what: str = "JSON") -> Column:
     """Parsed JSON; what cannot be parsed is an error of the kind PARSE."""
     parsed = F.from_json(text, schema)
     return F.when(text.isNotNull() & F.try_parse_json(text).isNull(), F.raise_error(F.lit(f"{what} の JSON パースに失敗しました。"))).otherwise(parsed)
+
+
+def pretty_json(value: Column, kind: DataType, depth: int = 0) -> Column:
+    """JSON of a value of the type ``kind`` with two spaces a level, nulls kept."""
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    if isinstance(kind, StructType) and kind.fields:
+        lines = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), pretty_json(value.getField(f.name), f.dataType, depth + 1)) for f in kind.fields]
+        out = F.concat(F.lit("{" + inner), F.concat_ws("," + inner, *lines), F.lit(outer + "}"))
+    elif isinstance(kind, ArrayType):
+        items = F.transform(value, lambda x: pretty_json(x, kind.elementType, depth + 1))
+        out = F.when(F.size(value) == 0, "[]").otherwise(F.concat(F.lit("[" + inner), F.array_join(items, "," + inner), F.lit(outer + "]")))
+    else:  # Spark writes structs and arrays only
+        one = F.to_json(F.array(value))
+        out = F.substr(one, F.lit(2), F.length(one) - 2)
+    return F.when(value.isNull(), "null").otherwise(out)

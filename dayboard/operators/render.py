@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import range_label
@@ -26,9 +26,31 @@ def json_ld_event(name: Column, start: Column, end: Column, status: Column, plac
     return escape_json_ld(F.to_json(body))
 
 
-def sitemap_entries(rows: DataFrame, loc: str, lastmod: str, category: str) -> DataFrame:
-    """One entry per address, with its last change; of repeated ones the latest."""
-    return rows.groupBy(category, loc).agg(F.max(lastmod).alias(lastmod))
+def sitemap_entries(rows: DataFrame, loc: str, lastmod: str, category: str, ordinal: str | None = None) -> DataFrame:
+    """One entry per address, with its last change; of repeated ones the last by ``ordinal``, or the latest without it."""
+    last = F.max(lastmod) if ordinal is None else F.max_by(lastmod, ordinal)
+    return rows.groupBy(category, loc).agg(last.alias(lastmod))
+
+
+def sitemap_files(entries: DataFrame, base: str, as_of: dt.date, most: int = 50_000) -> DataFrame:
+    """``(file, n_entries, xml)`` of entries ``(category, loc, lastmod)``: url sets of a category by address, with at most
+    ``most`` entries each as the protocol wants, and an index of all of them.
+
+    The first set of a category is called by it, further ones have a number too.  No entries give an empty index.
+    """
+    nth = F.row_number().over(Window.partitionBy("category").orderBy("loc")) - 1
+    rows = entries.select("category", F.col("loc"), F.col("lastmod").cast("string").alias("lastmod")).withColumn("part", F.floor(nth / most))
+    name = F.concat(F.lit("sitemap-"), F.col("category"), F.when(F.col("part") > 0, F.concat(F.lit("-"), (F.col("part") + 1).cast("string"))).otherwise(""), F.lit(".xml"))
+
+    def document(outer: str, inner: str, items: Column) -> Column:
+        lines = F.transform(items, lambda x: F.concat(F.lit(f"  <{inner}>\n    <loc>"), escape_xml(x["loc"]), F.lit("</loc>\n    <lastmod>"), escape_xml(x["lastmod"]), F.lit(f"</lastmod>\n  </{inner}>\n")))
+        head = f'<?xml version="1.0" encoding="UTF-8"?>\n<{outer} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n'
+        return F.concat(F.lit(head), F.array_join(lines, ""), F.lit(f"</{outer}>\n"))
+
+    files = rows.groupBy("category", "part").agg(F.array_sort(F.collect_list(F.struct("loc", "lastmod"))).alias("items")).select(name.alias("file"), "items")
+    index = rows.select(name.alias("file")).distinct().agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit(base + "/"), "file").alias("loc"), F.lit(as_of.isoformat()).alias("lastmod")))).alias("items"))
+    sets = files.select("file", F.size("items").alias("n_entries"), document("urlset", "url", F.col("items")).alias("xml"))
+    return sets.unionByName(index.select(F.lit("sitemap.xml").alias("file"), F.size("items").alias("n_entries"), document("sitemapindex", "sitemap", F.col("items")).alias("xml")))
 
 
 def sitemap_xml(loc: Column, lastmod: Column) -> Column:

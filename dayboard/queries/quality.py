@@ -39,6 +39,20 @@ def sitemap_entries(spark, sf):
     return out.select("category", "loc", render.sitemap_xml(F.col("loc"), F.col("lastmod").cast("string")).alias("xml"))
 
 
+def sitemap_files(spark, sf):
+    """Url sets of at most 400 parts each, of three categories, and their index; of repeated addresses the last stays."""
+    k = F.col("p_partkey")
+    p = table(spark, sf, "part").select(F.concat(F.lit("https://v.jp/?a&p="), F.lpad((k % 1500).cast("string"), 5, "0")).alias("loc"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("category"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 7).cast("int")).alias("lastmod"), k.alias("ord"))
+    return render.sitemap_files(render.sitemap_entries(p, "loc", "lastmod", "category", "ord"), "https://v.jp", AS_OF, 400)
+
+
+def venue_outputs(spark, sf):
+    """Documents of customers with their orders as events."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    e = table(spark, sf, "orders").select(c.cast("string").alias("venue_id"), F.when(c % 2 == 0, F.concat(F.lit('館"'), c.cast("string"))).alias("venue_name"), k.alias("ord"), F.concat(F.lit("P\n"), k.cast("string")).alias("title"), F.when(k % 2 == 0, F.array("o_orderpriority")).otherwise(F.array().cast("array<string>")).alias("tags"), F.lit(None).cast("string").alias("price"))
+    return writers.venue_outputs(e, AS_OF, "ord")
+
+
 def changed_pages(spark, sf):
     p = table(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").alias("content"), "page_id")
     old = p.select("path", F.sha2(F.when(F.col("page_id") % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")), 256).alias("digest"))
@@ -85,7 +99,7 @@ def report_lines(spark, sf):
     return n.select("n_nationkey", render.report_line([(F.col("n_name"), 12), (F.col("n_regionkey").cast("string"), 4)]).alias("line"))
 
 
-QUERIES = {f.__name__: f for f in (quality_gate, validation_violations, seo_problems, conflict_lines, sitemap_entries, changed_pages, marker_splice, csv_cells, table_cells, label_values, price_and_contact, seo_attributes, report_lines)}
+QUERIES = {f.__name__: f for f in (quality_gate, validation_violations, seo_problems, conflict_lines, sitemap_entries, sitemap_files, venue_outputs, changed_pages, marker_splice, csv_cells, table_cells, label_values, price_and_contact, seo_attributes, report_lines)}
 
 _NORMAL = r"regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '')"
 _MARK = {"title": r"<title>[^<]+</title>", "description": r"<meta\s+name=[\"'']description[\"''][^>]*>", "canonical": r"<link\s+rel=[\"'']canonical[\"''][^>]*>", "og:url": r"<meta\s+property=[\"'']og:url[\"''][^>]*>", "og:image": r"<meta\s+property=[\"'']og:image[\"''][^>]*>", "og:image:alt": r"<meta\s+property=[\"'']og:image:alt[\"''][^>]*>", "twitter:title": r"<meta\s+name=[\"'']twitter:title[\"''][^>]*>", "twitter:description": r"<meta\s+name=[\"'']twitter:description[\"''][^>]*>"}
@@ -97,6 +111,13 @@ SQL = {
     "sitemap_entries": f"WITH e AS (SELECT user_id AS page_id, max(ts::DATE) AS lastmod FROM events GROUP BY 1), r AS (SELECT {_NORMAL} AS loc, CASE WHEN page_id % 2 = 0 THEN 'date' ELSE 'spot' END AS category, max(coalesce(lastmod, DATE '2024-01-01')) AS lastmod FROM pages LEFT JOIN e USING (page_id) GROUP BY 1, 2) SELECT category, loc, concat('<url><loc>', loc, '</loc><lastmod>', lastmod, '</lastmod></url>') AS xml FROM r",
     "changed_pages": "SELECT url AS path, sha256(html) AS digest FROM pages WHERE page_id % 3 = 0",
     "marker_splice": "SELECT p_partkey, concat(p_name, '<!--A-->new $1<!--B-->tail') AS t FROM part",
+    "sitemap_files": """WITH e AS (SELECT concat('https://v.jp/?a&amp;p=', lpad((p_partkey % 1500)::VARCHAR, 5, '0')) AS loc, concat('c', p_partkey % 3) AS category, arg_max(DATE '2024-01-01' + (p_partkey % 7)::INT, p_partkey) AS lastmod FROM part GROUP BY 1, 2),
+      r AS (SELECT *, (row_number() OVER (PARTITION BY category ORDER BY loc) - 1) // 400 AS part FROM e),
+      f AS (SELECT concat('sitemap-', category, CASE WHEN part > 0 THEN concat('-', part + 1) END, '.xml') AS file, count(*)::INT AS n_entries, string_agg(concat('  <url>\n    <loc>', loc, '</loc>\n    <lastmod>', lastmod, '</lastmod>\n  </url>\n'), '' ORDER BY loc) AS body FROM r GROUP BY category, part),
+      d AS (SELECT file, n_entries, 'urlset' AS tag, body FROM f UNION ALL SELECT 'sitemap.xml', count(*)::INT, 'sitemapindex', string_agg(concat('  <sitemap>\n    <loc>https://v.jp/', file, '</loc>\n    <lastmod>1998-06-15</lastmod>\n  </sitemap>\n'), '' ORDER BY file) FROM f)
+      SELECT file, n_entries, concat('<?xml version="1.0" encoding="UTF-8"?>\n<', tag, ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">\n', body, '</', tag, '>\n') AS xml FROM d""",
+    "venue_outputs": r"""SELECT o_custkey::VARCHAR AS venue_id, concat(E'{\n  "venue_id": "', o_custkey, E'",\n', CASE WHEN o_custkey % 2 = 0 THEN concat('  "venue_name": "館\"', o_custkey, E'",\n') END, E'  "last_success_at": "1998-06-15",\n  "events": [\n',
+        string_agg(concat(E'    {\n      "title": "P\\n', o_orderkey, E'",\n      "tags": ', CASE WHEN o_orderkey % 2 = 0 THEN concat(E'[\n        "', o_orderpriority, E'"\n      ]') ELSE '[]' END, E',\n      "price": null\n    }'), E',\n' ORDER BY o_orderkey), E'\n  ]\n}') AS json FROM orders GROUP BY o_custkey""",
     "csv_cells": "SELECT p_partkey, concat(p_name, ', x') AS c0, p_brand AS c1, p_size::VARCHAR AS c2 FROM part",
     "table_cells": "SELECT p_partkey, concat('Name=', p_name, ';Brand=', p_brand) AS cells FROM part",
     "label_values": "SELECT p_partkey, 'last' AS name, p_type AS type, p_brand AS price, 'Hall' AS place, '' AS phone FROM part",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import pretty_json
+
 
 def write_events(events: DataFrame, path: str) -> bool:
     """Write one folder per venue; nothing is written, and nothing overwritten, if there are no rows."""
@@ -14,6 +18,19 @@ def write_events(events: DataFrame, path: str) -> bool:
     return True
 
 
+def venue_outputs(events: DataFrame, as_of: dt.date, ordinal: str) -> DataFrame:
+    """``(venue_id, json)``: each venue's document with its events, of any columns, in the order of ``ordinal``, ties in that of their
+    columns.  A venue without a name has no key for it.
+    """
+    kept = [c for c in events.columns if c not in ("venue_id", "venue_name", ordinal)]
+    row = F.struct(F.col(ordinal), F.struct(*kept).alias("event"))
+    docs = events.groupBy("venue_id").agg(F.max("venue_name").alias("venue_name"), F.array_sort(F.collect_list(row)).alias("rows"))
+    docs = docs.select("venue_id", F.nullif("venue_name", F.lit("")).alias("venue_name"), F.lit(as_of.isoformat()).alias("last_success_at"), F.col("rows.event").alias("events"))
+    named, bare = F.struct("venue_id", "venue_name", "last_success_at", "events"), F.struct("venue_id", "last_success_at", "events")
+    made = [pretty_json(x, docs.select(x.alias("x")).schema["x"].dataType) for x in (named, bare)]
+    return docs.select("venue_id", F.when(F.col("venue_name").isNotNull(), made[0]).otherwise(made[1]).alias("json"))
+
+
 def changed_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """Pages ``(path, content)`` whose content is not in the manifest ``(path, digest)`` of the last run."""
     return pages.withColumn("digest", F.sha2("content", 256)).join(manifest.select("path", "digest"), ["path", "digest"], "left_anti")

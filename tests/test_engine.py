@@ -148,3 +148,21 @@ def test_strict_json(spark):
     assert [r.v and r.v.a for r in df.select(values.require_json(F.col("t"), "a int").alias("v")).collect()] == [1, None]
     with pytest.raises(Exception, match="パース"):
         spark.createDataFrame([("{",)], "t string").select(values.require_json(F.col("t"), "a int").alias("v")).collect()
+
+
+def test_pretty_json(spark, tmp_path):
+    rows = [Row(venue_id="v", venue_name=None, ord=2, title='a "b"', tags=Row(type=None, genres=["x", "y"], flags=[])), Row(venue_id="v", venue_name=None, ord=1, title="あ", tags=None)]
+    df = spark.createDataFrame(rows, "venue_id string, venue_name string, ord int, title string, tags struct<type:string,genres:array<string>,flags:array<string>>")
+    want = {"venue_id": "v", "last_success_at": "2026-01-02", "events": [{"title": "あ", "tags": None}, {"title": 'a "b"', "tags": {"type": None, "genres": ["x", "y"], "flags": []}}]}
+    got = writers.venue_outputs(df, dt.date(2026, 1, 2), "ord")
+    assert got.first().json == json.dumps(want, indent=2, ensure_ascii=False)
+    assert writers.venue_outputs(df.limit(0), dt.date(2026, 1, 2), "ord").count() == 0
+
+
+def test_sitemap_files(spark):
+    empty = render.sitemap_files(spark.createDataFrame([], "category string, loc string, lastmod date"), "https://x", dt.date(2026, 1, 2)).collect()
+    assert [(r.file, r.n_entries) for r in empty] == [("sitemap.xml", 0)]
+    rows = spark.createDataFrame([("date", "b", dt.date(2026, 1, 1), 1), ("date", "b", dt.date(2025, 1, 1), 2), ("date", "a", dt.date(2026, 1, 1), 3), ("date", "c", dt.date(2026, 1, 1), 4)], "category string, loc string, lastmod date, n int")
+    files = {r.file: r for r in render.sitemap_files(render.sitemap_entries(rows, "loc", "lastmod", "category", "n"), "https://x", dt.date(2026, 1, 2), 2).collect()}
+    assert {k: r.n_entries for k, r in files.items()} == {"sitemap-date.xml": 2, "sitemap-date-2.xml": 1, "sitemap.xml": 2}
+    assert "<loc>b</loc>\n    <lastmod>2025-01-01</lastmod>" in files["sitemap-date.xml"].xml and "<loc>https://x/sitemap-date-2.xml</loc>" in files["sitemap.xml"].xml
