@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chroma, html_extract, langid, minhash, mixing, packing, substring, toxicity
+from . import ann, chat, chroma, fingerprint, html_extract, langid, minhash, mixing, packing, substring, toxicity
 from .data import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -94,6 +94,10 @@ def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_rows.unionByName(match_rows)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, md5(text) AS digest FROM conversations),
 d AS (SELECT DISTINCT conv_id, turn, text, digest FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
@@ -155,5 +159,6 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op12_fingerprints": op12_fingerprints,
 }
 SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL}
