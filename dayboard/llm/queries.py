@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chroma, fingerprint, html_extract, langid, minhash, mixing, packing, substring, toxicity
+from . import ann, chat, chroma, fingerprint, html_extract, langid, lexical, minhash, mixing, packing, substring, toxicity
 from .data import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -98,6 +98,10 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, md5(text) AS digest FROM conversations),
 d AS (SELECT DISTINCT conv_id, turn, text, digest FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
@@ -148,6 +152,19 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') EN
 FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT count(*) AS n_docs, sum(len(ts)) AS n_terms FROM d WHERE len(ts) > 0),
+w AS (SELECT k, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT k, doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, s GROUP BY term, n_docs),
+c AS (SELECT k, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * n_docs) // n_terms)))) AS part FROM tf JOIN df USING (term), s),
+r AS (SELECT item_id, k, doc_id, sum(part)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quotation_linking": op2_quotation_linking,
@@ -160,5 +177,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op12_fingerprints": op12_fingerprints,
+    "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL, "op13_lexical_search": OP13_SQL}
