@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, chroma, fingerprint, html_extract, langid, lexical, minhash, mixing, packing, substring, toxicity
+from . import ann, chat, chroma, fingerprint, html_extract, langid, lexical, minhash, mixing, packing, spelling, substring, toxicity
 from .data import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -94,6 +94,16 @@ def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return member_rows.unionByName(match_rows)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's runs one in 31, by a hash, loses a letter; a document without an id keeps its runs as they are."""
+    upper = "".join(map(chr, range(65, 91)))
+    runs = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))  # shorter ones make no word
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("run"))
+    rows = rows.withColumn("h", F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run"))))
+    cut = F.expr("concat(left(run, int(h % length(run))), substring(run, int(h % length(run)) + 2))")
+    return spelling.variants(spelling.vocabulary(rows.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("run")).alias("word")), "word"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -176,6 +186,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_fingerprints": op12_fingerprints,
     "op13_lexical_search": op13_lexical_search,
 }
