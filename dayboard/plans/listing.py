@@ -9,22 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..functions.dates import strict_date
-from ..operators.dedupe import keep_first
 from ..operators.events import create_event, expand_days, explode_documents, keep_reason, noindex, publish_window, retention_reason, sane_range
 from ..operators.ranking import neighbours
 
 
 def silver_events(docs: DataFrame, *, as_of: dt.date) -> DataFrame:
-    """Normalised, tagged events within the retention window, once per venue and address."""
+    """Normalised, tagged events within the retention window: all of them, as a venue may give all its events one
+    address; what is repeated on a page is the extractors' to remove."""
     rows = explode_documents(docs)
     keep = [c for c in rows.columns if c != "event"]
     events = rows.select(*keep, *create_event(F.col("event")))
     events = events.where(keep_reason(retention_reason(F.col("date_from"), F.col("date_to"), as_of)))
     text = tags.search_text(F.col("title"), F.col("venue_category"))
     tagged = F.struct(tags.event_type(F.col("title"), F.col("venue_category")).alias("type"), tags.genres(text).alias("genres"), tags.flags(text, F.col("price"), F.col("start_time"), F.col("end_time"), F.col("date_from"), F.col("date_to")).alias("flags"))
-    events = events.withColumn("tags", tagged)
-    with_url = keep_first(events.where("source_url is not null and source_url <> ''"), ["venue_id", "source_url"], "ord")
-    return with_url.unionByName(events.where("source_url is null or source_url = ''"))
+    return events.withColumn("tags", tagged)
 
 
 def gold_days(events: DataFrame, *, as_of: dt.date) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, text, urls
 from ..operators.dedupe import keep_last_at_first
+from ..sources import dom
 from ..sources.readers import csv_cells
+from ..sources.shared import keep
 
 COLUMNS = ["source_url", "title", "date_from", "date_to", "open_time", "start_time", "end_time", "price", "contact", "venue_name", "body", "description", "image_url", "status"]
 _RANGE = "[~～－−-]"
@@ -116,15 +118,21 @@ def month_tables(pages: DataFrame, as_of: dt.date, place: str = "") -> DataFrame
 
 
 def calendar(months: DataFrame, details: DataFrame) -> DataFrame:
-    """Cells of month calendars, each with its day's link and its events, joined to the events' own tables of labels.
+    """Events of month calendars, which have their day from the cell around them, joined to the events' own tables of
+    labels.
 
     Closed days are left out; of events of one day and title the last counts.  An event whose detail page did not
     land stays with what the calendar says.
     """
-    cells = months.select("url", F.posexplode(_parts(F.col("html"), r"(?is)<td[^>]*>(.*?)</td>")).alias("n", "cell"))
-    day = dates.compact_date(text.first_capture(F.col("cell"), r"""(?is)class=["']daily["'][^>]*>.*?href=["']([^"']+)["']"""))
-    rows = cells.select("url", "n", day.alias("date_from"), F.posexplode(_parts(F.col("cell"), r"""(?is)<(?:div|li|p|span) class=["']event["'][^>]*>(.*?)</(?:div|li|p|span)>""")).alias("k", "e"))
-    rows = rows.select(F.struct("url", "n", "k").alias("ord"), "date_from", _plain(F.col("e")).alias("title"), urls.resolve(text.first_capture(F.col("e"), r"""(?i)href=["']([^"']+)["']"""), F.col("url")).alias("source_url"))
+    tree = keep(dom.trees(months), "trees")
+    cells, links = dom.select(tree, "td").select("url", "node", "last"), dom.select(tree, "a", where=lambda x: x["attrs"]["href"].isNotNull())
+    links = links.select("url", "node", "parent", "nth", dom.attr(F.col("attrs"), "href").alias("href"))
+    marked = dom.select(tree, cls="event")
+    of = lambda found, outer: found.where(f"{outer} is not null").groupBy("url", outer).agg(F.min_by("href", "node").alias(f"{outer}_href"))
+    days = of(dom.closest(dom.inside(links, dom.select(tree, cls="daily")), cells, "cell"), "cell")
+    own = of(dom.closest(links, marked, "event"), "event")
+    rows = dom.closest(marked, cells, "cell").join(days, ["url", "cell"]).join(own.withColumnRenamed("event", "node"), ["url", "node"])
+    rows = rows.select(F.struct("url", "node").alias("ord"), dates.compact_date(F.col("cell_href")).alias("date_from"), text.normalize_space(F.col("text")).alias("title"), urls.resolve(F.col("event_href"), F.col("url")).alias("source_url"))
     rows = keep_last_at_first(rows.where("title <> '' and date_from is not null and source_url is not null and not contains(title, '休館日')"), ["date_from", "title"], "ord")
     row = lambda label: _cell(F.col("html"), label, "th", "td")
     found = details.select(F.col("url").alias("source_url"), row("日時").alias("when"), row("開催場所").alias("place"), row("入場料等").alias("fee"), row("イベント内容").alias("about"))

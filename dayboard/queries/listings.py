@@ -5,12 +5,28 @@ from __future__ import annotations
 from ..functions import dates, extract, tags, text, urls, values
 from ..operators import events as ev
 from ..operators import render, stats
-from ..plans import venues
+from ..plans import listing, venues
+from ..schema import RAW_EVENT
+from ..sources import dom
+from ..sources.shared import keep
 from .base import AS_OF, F, order_events, table
 
 LABELS = {"sports": "スポーツ", "exhibition": "展覧会", "performance": "公演"}
 
 
+def common_path(spark, sf):
+    """Documents of orders by customer through the whole listing pipeline; all events of a customer have one address."""
+    o, k = order_events(spark, sf), F.col("o_orderkey")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    named = {"title": F.concat(F.lit("第"), k.cast("string"), F.when(k % 2 == 0, F.lit("回音楽ライブ")).otherwise(F.lit("回"))), "date_from": F.when(k % 11 > 0, day("date_from")), "date_to": F.when(k % 3 > 0, day("date_to")), "source_url": F.concat(F.lit("https://v.jp/"), F.col("o_custkey").cast("string"))}
+    event = F.struct(*[named.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in RAW_EVENT.fields])
+    docs = o.groupBy(F.col("o_custkey").cast("string").alias("venue_id")).agg(F.collect_list(event).alias("events"))
+    docs = docs.select("venue_id", *[F.lit(None).cast("string").alias(c) for c in ("venue_name", "venue_category", "last_success_at")], "events", F.concat("venue_id", F.lit(".json")).alias("file_name"))
+    silver = listing.silver_events(docs, as_of=AS_OF)
+    days = listing.gold_days(silver, as_of=AS_OF).withColumn("music", (F.col("tags.type") == "performance").cast("int"))
+    return listing.day_pages(days, as_of=AS_OF).join(days.groupBy("day").agg(F.sum("music").alias("n_music")), "day").select("day", "n_events", "n_music", "prev_day", "next_day", "noindex")
+
+
 def _urls(spark, sf):
     n = F.col("page_id").cast("string")
     kinds = [F.concat(F.lit("https://a.jp/event/event-"), n), F.concat(F.lit("https://b.jp/07event"), n, F.lit(".html")), F.lit("https://b.jp/07event/index.html"), F.concat(F.lit("https://c.jp/exhibition/"), n), F.concat(F.lit("https://d.jp/event/"), n), F.concat(F.lit("https://d.jp/event/"), n, F.lit("/feed/"))]
@@ -189,12 +205,45 @@ def box_events(spark, sf):
     return venues.boxes(_pages_of_orders(spark, sf, "", item), AS_OF).select("source_url", "title", "date_from", "date_to", "start_time")
 
 
-QUERIES = {f.__name__: f for f in (listed_events, card_events, box_events, venue_pages, spot_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
+def _cells(spark, sf):
+    """Calendars of orders by customer: rows and cells that nothing closes, a table inside every second cell."""
+    k = F.col("o_orderkey").cast("string")
+    inner = F.when(F.col("o_orderkey") % 2 == 0, F.lit("<table><tr><td>x</table>")).otherwise("")
+    item = F.concat(F.lit('<tr><td><div class="daily"><a href="/d/'), F.date_format("date_from", "yyyyMMdd"), F.lit('/">1</a></div>'), inner, F.lit('<p>a<div class="big event"><a href=/e/'), k, F.lit(">E &lt; "), k, F.lit("</a></div>"))
+    return _pages_of_orders(spark, sf, "<!-- <td> --><body><table class=m>", item)
+
+
+def dom_cells(spark, sf):
+    """Each event's cell, innermost table and next element of its kind, by the places of elements on the page."""
+    tree = keep(dom.trees(_cells(spark, sf)), "trees")
+    found = dom.closest(dom.closest(dom.select(tree, cls="event"), dom.select(tree, "td"), "cell"), dom.select(tree, "table"), "table_node")
+    links = dom.inside(dom.select(tree, "a"), dom.select(tree, "div", "daily"))
+    after = dom.next_sibling(dom.select(tree, "p"), dom.select(tree, "div")).select("url", F.col("next").alias("node"), F.col("text").alias("before"))
+    days = dom.closest(links, dom.select(tree, "td"), "cell").select("url", "cell", dom.attr(F.col("attrs"), "href").alias("day"))
+    return found.join(days, ["url", "cell"]).join(after, ["url", "node"]).select("url", "node", "last", "depth", "nth", "cell", "table_node", "text", "day", "before")
+
+
+def calendar_events(spark, sf):
+    """Events of calendars; the pages of every third order's event landed."""
+    o, k = order_events(spark, sf), F.col("o_orderkey").cast("string")
+    details = o.where("o_orderkey % 3 = 0").select(F.concat(F.lit("https://v.jp/e/"), k).alias("url"), F.concat(F.lit("<table><tr><th>日時</th><td>開場17:30 開演18:00</td></tr><tr><th>開催場所</th><td>H"), k, F.lit("</td></tr></table>")).alias("html"))
+    return venues.calendar(_cells(spark, sf), details).select("source_url", "title", "date_from", "start_time", "body")
+
+
+QUERIES = {f.__name__: f for f in (common_path, dom_cells, calendar_events, listed_events, card_events, box_events, venue_pages, spot_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
 
 _EV = "WITH ev AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS b, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)"
 _CARD = """concat('<li class="event-card"><a href="/e/', o_orderkey, '"><span class="event-card__title">E&lt;', o_orderkey, '</span><span class="event-card__date">', a, '</span></a></li>')"""
 _LD = """concat('{"@context":"https://schema.org","@type":"Event","name":"E\\u003c', o_orderkey, '","startDate":"', a, '","url":"/e/', o_orderkey, '"}')"""
 SQL = {
+    "dom_cells": _EV + """, i AS (SELECT *, concat('<tr><td><div class="daily"><a href="/d/', strftime(a, '%Y%m%d'), '/">1</a></div>', CASE WHEN o_orderkey % 2 = 0 THEN '<table><tr><td>x</table>' ELSE '' END, '<p>a<div class="big event"><a href=/e/', o_orderkey, '>E &lt; ', o_orderkey, '</a></div>') AS item, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 0 END AS more FROM ev),
+      p AS (SELECT *, 2 + coalesce(sum(7 + more) OVER (PARTITION BY o_custkey ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM i)
+      SELECT concat('https://v.jp/', o_custkey, '/') AS url, (tr + 5 + more)::INT AS node, (tr + 6 + more)::INT AS last, 4 AS depth, CASE WHEN more > 0 THEN 3 ELSE 2 END AS nth, (tr + 1)::INT AS cell, 1 AS table_node, concat('E < ', o_orderkey) AS text, concat('/d/', strftime(a, '%Y%m%d'), '/') AS day, 'a' AS before FROM p""",
+    "calendar_events": _EV + " SELECT concat('https://v.jp/e/', o_orderkey) AS source_url, concat('E < ', o_orderkey) AS title, a::VARCHAR AS date_from, CASE WHEN o_orderkey % 3 = 0 THEN '18:00' END AS start_time, CASE WHEN o_orderkey % 3 = 0 THEN concat('会場: H', o_orderkey) END AS body FROM ev",
+    "common_path": _EV + """, kept AS (SELECT o_orderkey AS k, a, CASE WHEN o_orderkey % 3 > 0 THEN b ELSE a END AS b FROM ev WHERE o_orderkey % 11 > 0 OR o_orderkey % 3 > 0),
+      e AS (SELECT * FROM kept WHERE b >= DATE '1997-06-15' AND k % 11 > 0), d AS (SELECT k, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM e),
+      g AS (SELECT day, count(*) AS n_events, sum((k % 2 = 0)::INT)::BIGINT AS n_music FROM d WHERE day BETWEEN DATE '1997-06-15' AND DATE '1999-06-15' GROUP BY 1)
+      SELECT day, n_events, n_music, lag(day) OVER (ORDER BY day) AS prev_day, lead(day) OVER (ORDER BY day) AS next_day, day < DATE '1998-06-15' OR day > DATE '1998-10-13' AS noindex FROM g""",
     "listed_events": _EV + " SELECT CASE WHEN o_orderkey % 2 = 0 THEN concat('https://v.jp/e/', o_orderkey) ELSE concat('https://v.jp/', o_custkey, '/e/', o_orderkey) END AS source_url, concat('Event ', o_orderkey, ' ', y, '年', m, '月', d, '日') AS title, a::VARCHAR AS date_from, a::VARCHAR AS date_to FROM ev WHERE o_orderkey % 3 > 0",
     "card_events": _EV + " SELECT concat('https://v.jp/e/', o_orderkey) AS source_url, concat('A & ', o_orderkey) AS title, a::VARCHAR AS date_from, '9:30' AS open_time, '10:00' AS start_time, '12:00' AS end_time, CASE WHEN o_orderkey % 2 = 0 THEN '無料' ELSE '500円' END AS price FROM ev",
     "box_events": _EV + " SELECT concat('https://v.jp/', o_custkey, '/') AS source_url, concat('B ', o_orderkey) AS title, a::VARCHAR AS date_from, b::VARCHAR AS date_to, '10:30' AS start_time FROM ev",

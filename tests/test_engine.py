@@ -37,7 +37,7 @@ def test_pipeline(spark, corpus):
     docs = readers.latest_documents(readers.venue_documents(spark, corpus))
     silver = listing.silver_events(docs, as_of=AS_OF)
     rows = {r.title: r for r in silver.collect()}
-    assert set(rows) == {"ピアノ コンサート", "長期展示", "市場"}
+    assert set(rows) == {"ピアノ コンサート", "ピアノ コンサート 再", "長期展示", "市場"}  # two of one address
     first = rows["ピアノ コンサート"]
     assert first.start_time == "18:30" and first.tags.type == "performance" and first.tags.flags == ["free", "night"]
     assert rows["市場"].venue_id == "noid" and rows["市場"].tags.type == "festival"
@@ -117,7 +117,7 @@ def test_stream_of_documents(spark, corpus):
 
     q = landed_events(spark, corpus).writeStream.format("memory").queryName("landed").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.table("landed").where("title like 'ピアノ%'").count() == 1
+    assert spark.table("landed").where("title like 'ピアノ%'").count() == 2
 
 
 def test_search(spark):
