@@ -63,8 +63,3 @@ def stat_changes(before: DataFrame, after: DataFrame, key: str, values: list[str
 def with_next(df: DataFrame, partition: list[str], order: list[str], columns: list[str]) -> DataFrame:
     w = Window.partitionBy(*partition).orderBy(*order)
     return df.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns], *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
-
-
-def missing_dependencies(tasks: DataFrame, id_col: str = "id", deps_col: str = "depends_on") -> DataFrame:
-    edges = tasks.select(F.col(id_col).alias("task"), F.explode(deps_col).alias("needs"))
-    return edges.join(tasks.select(F.col(id_col).alias("needs")), "needs", "left_anti")

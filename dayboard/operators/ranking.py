@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import page_at
+
 
 def ja(column: str) -> Column:
     """Sort key in Japanese order."""
@@ -27,7 +29,8 @@ def neighbours(keys: DataFrame, key: str) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset(offset).limit(size)
+    """Rows of a page: by Spark's own top rows for the first pages, by positions in the whole order for later ones."""
+    return df.orderBy(*order).offset(offset).limit(size) if offset + size <= 10_000 else page_at(df, order, offset, size)
 
 
 def search(df: DataFrame, name: str, keyword: str) -> DataFrame:

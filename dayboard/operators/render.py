@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import range_label
@@ -13,6 +13,7 @@ from ..functions.text import escape_html, escape_json_ld, escape_xml
 from ..functions.urls import encode_component
 from .events import noindex
 from .joins import with_counts
+from .ordering import positions
 from .ranking import ja, neighbours, top_per_group
 
 
@@ -38,8 +39,8 @@ def sitemap_files(entries: DataFrame, base: str, as_of: dt.date, most: int = 50_
 
     The first set of a category is called by it, further ones have a number too.  No entries give an empty index.
     """
-    nth = F.row_number().over(Window.partitionBy("category").orderBy("loc")) - 1
-    rows = entries.select("category", F.col("loc"), F.col("lastmod").cast("string").alias("lastmod")).withColumn("part", F.floor(nth / most))
+    rows = entries.select("category", F.col("loc"), F.col("lastmod").cast("string").alias("lastmod"))
+    rows = positions(rows, ["loc", "lastmod"], ["category"]).withColumn("part", F.floor(F.col("position") / most))
     name = F.concat(F.lit("sitemap-"), F.col("category"), F.when(F.col("part") > 0, F.concat(F.lit("-"), (F.col("part") + 1).cast("string"))).otherwise(""), F.lit(".xml"))
 
     def document(outer: str, inner: str, items: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import dates, extract, tags, text, urls, values
 from ..operators import events as ev
-from ..operators import render, stats
+from ..operators import ordering, render, rules, stats
 from ..plans import listing, venues
 from ..schema import RAW_EVENT
 from ..sources import dom
@@ -230,12 +230,36 @@ def calendar_events(spark, sf):
     return venues.calendar(_cells(spark, sf), details).select("source_url", "title", "date_from", "start_time", "body")
 
 
-QUERIES = {f.__name__: f for f in (common_path, dom_cells, calendar_events, listed_events, card_events, box_events, venue_pages, spot_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
+def rule_table_hits(spark, sf):
+    """Rules from tables: the first letters of nations as words for their region, and a pattern for each region."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    words = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("ord"), F.col("r_name").alias("key"), F.lit("text").alias("kind"), F.lower(F.left("n_name", F.lit(2))).alias("value"))
+    patterns = r.select((F.col("r_regionkey") + 100).cast("long").alias("ord"), F.col("r_name").alias("key"), F.lit("pattern").alias("kind"), F.concat(F.lit("^"), F.lower(F.left("r_name", F.lit(1))), F.lit("[a-m]+ ")).alias("value"))
+    p = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    hits = rules.rule_hits(p, "name", words.unionByName(patterns))
+    return hits.select("p_partkey", F.array_join("hits", ",").alias("hits"), rules.first_key(F.col("hits")).alias("first"), F.array_join(rules.first_keys(F.col("hits")), ",").alias("two"))
+
+
+def late_page(spark, sf):
+    """The fortieth page of 500 line items by day, and each day's place among the days of its month."""
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("day"))  # noqa: E741
+    rows = ordering.page_at(l, ["day", "l_orderkey", "l_linenumber"], 19_500, 500)
+    days = ordering.positions(l.select("day", F.date_format("day", "yyyy-MM").alias("month")).distinct(), ["day"], ["month"], position="place")
+    return rows.join(days, "day").select("l_orderkey", "l_linenumber", "day", "position", "place")
+
+
+QUERIES = {f.__name__: f for f in (common_path, rule_table_hits, late_page, dom_cells, calendar_events, listed_events, card_events, box_events, venue_pages, spot_pages, detail_urls, month_urls, resolved_urls, map_links, open_window, required_fields, body_rules, title_candidates, written_dates, listed_ranges, small_texts, tag_policy, missing_references, column_widths, venue_lists, sorted_paths, day_documents, index_document)}
 
 _EV = "WITH ev AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS b, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders)"
 _CARD = """concat('<li class="event-card"><a href="/e/', o_orderkey, '"><span class="event-card__title">E&lt;', o_orderkey, '</span><span class="event-card__date">', a, '</span></a></li>')"""
 _LD = """concat('{"@context":"https://schema.org","@type":"Event","name":"E\\u003c', o_orderkey, '","startDate":"', a, '","url":"/e/', o_orderkey, '"}')"""
 SQL = {
+    "rule_table_hits": """WITH rules AS (SELECT n_nationkey AS ord, r_name AS key, lower(left(n_name, 2)) AS word, NULL AS pattern FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey + 100, r_name, NULL, concat('^', lower(left(r_name, 1)), '[a-m]+ ') FROM region),
+      place AS (SELECT key, min(ord) AS place FROM rules GROUP BY 1),
+      h AS (SELECT DISTINCT p_partkey, key, place FROM part JOIN rules ON contains(lower(p_name), word) OR regexp_matches(lower(p_name), pattern) JOIN place USING (key)),
+      g AS (SELECT p_partkey, list(key ORDER BY place) AS hits FROM h GROUP BY 1)
+      SELECT p_partkey, coalesce(array_to_string(hits, ','), '') AS hits, coalesce(hits[1], 'other') AS first, coalesce(array_to_string(hits[1:2], ','), '') AS two FROM part LEFT JOIN g USING (p_partkey)""",
+    "late_page": "WITH l AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS day, row_number() OVER (ORDER BY l_shipdate::DATE, l_orderkey, l_linenumber) - 1 AS position FROM lineitem), d AS (SELECT day, row_number() OVER (PARTITION BY strftime(day, '%Y-%m') ORDER BY day) - 1 AS place FROM (SELECT DISTINCT day FROM l)) SELECT l_orderkey, l_linenumber, day, position, place FROM l JOIN d USING (day) WHERE position BETWEEN 19500 AND 19999",
     "dom_cells": _EV + """, i AS (SELECT *, concat('<tr><td><div class="daily"><a href="/d/', strftime(a, '%Y%m%d'), '/">1</a></div>', CASE WHEN o_orderkey % 2 = 0 THEN '<table><tr><td>x</table>' ELSE '' END, '<p>a<div class="big event"><a href=/e/', o_orderkey, '>E &lt; ', o_orderkey, '</a></div>') AS item, CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 0 END AS more FROM ev),
       p AS (SELECT *, 2 + coalesce(sum(7 + more) OVER (PARTITION BY o_custkey ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tr FROM i)
       SELECT concat('https://v.jp/', o_custkey, '/') AS url, (tr + 5 + more)::INT AS node, (tr + 6 + more)::INT AS last, 4 AS depth, CASE WHEN more > 0 THEN 3 ELSE 2 END AS nth, (tr + 1)::INT AS cell, 1 AS table_node, concat('E < ', o_orderkey) AS text, concat('/d/', strftime(a, '%Y%m%d'), '/') AS day, 'a' AS before FROM p""",
