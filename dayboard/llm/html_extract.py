@@ -6,9 +6,11 @@ beside it.  The pages of a host vote on generalised tag-class paths, in Spark, a
 the containers on its host's winning path.  A page that has none of them, or less than half of its article in them,
 keeps its own choice.
 
-Elements that are never text (scripts, menus, footers and the like) go by their tag.  Marks in class, id or role only
-weigh: all words of a mark must speak of what is not the article, a mark that speaks of content outweighs them, and
-so does a main heading inside.  Headers of articles stay, those of sites go.
+Elements that are never text (scripts, menus, footers and the like) go by their tag, and so do those that are hidden.
+Marks in class, id or role only weigh: all words of a mark must speak of what is not the article, a mark that speaks
+of content outweighs them, and so does the page's only main heading inside.  A form that lays out the page stays
+without its controls.  Headers of articles stay, those of sites go.  Whatever their names, containers and lists that
+stand beside most of a host's different articles go too, but for those among paragraphs.
 """
 
 from __future__ import annotations
@@ -29,20 +31,24 @@ from .storage import Stash
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
-DROPPED = frozenset("head script style noscript template nav footer aside button select iframe object svg canvas audio video dialog menu textarea title input option fieldset".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select iframe object svg canvas audio video dialog menu textarea title input option optgroup datalist fieldset label legend output".split())
 CONTAINERS = frozenset("body main article section div td center html form".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus feedback footer form login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary".split()
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus feedback footer form gdpr login menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related reply replies respond search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar widget contentinfo complementary".split()
 )
 HEADERS = frozenset("header masthead topbar".split())
-NEUTRAL = frozenset("area bar block bottom box center col column container global group holder inner item items js left list link links outer page panel post posts primary region right row secondary section site slot top unit wrap wrapper zone".split())
+NEUTRAL = frozenset("area articles bar block bottom box center col column container global group holder inner item items js left list link links news outer page panel post posts primary region right row secondary section site slot stories top unit wrap wrapper zone".split())
 CONTENT = frozenset("article articlebody body content entry main story text".split())
 PAGE = frozenset(("#root", "html", "body"))
+LISTS = frozenset("dl ol table ul".split())
+#: An element is furniture if it stands on so many of a host's pages with different articles, and on this share of them.
+LEAST_ARTICLES, FURNITURE_SHARE = 5, 0.8
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"\d+")
@@ -56,26 +62,29 @@ def _path(parent: str, step: str) -> str:
 
 
 class Element:
-    __slots__ = ("children", "heading", "kind", "parent", "path", "plain", "score", "tag", "top")
+    __slots__ = ("children", "digest", "heading", "kind", "parent", "path", "plain", "score", "tag", "top")
 
     def __init__(self, tag: str, parent: Element | None, path: str, kind: str):
         self.tag, self.parent, self.path = tag, parent, path
         self.kind = kind  # "gone" by its tag or what it is in, "soft" or "header" by its marks, or ""
         self.children: list[Element | str] = []
         self.plain = self.score = 0
+        self.digest = 0  # of its tags and text, 0 without text
         self.heading = False  # whether a main heading or an article is inside
         self.top = tag in PAGE  # whether it lays out a page: menus, footers or the like are its children
 
 
 def _kind(tag: str, marks: list[tuple[str, str]]) -> str:
-    if tag in DROPPED:
+    if tag in DROPPED or any(k == "hidden" or k == "style" and _UNSEEN.search(v) or k == "aria-hidden" and v.lower() == "true" for k, v in marks):
         return "gone"
     if tag == "header":
         return "header"
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html"):
         return ""
-    found = "soft" if tag == "form" else ""
-    for _, value in marks:
+    found = ""
+    for key, value in marks:
+        if key not in ("class", "id", "role"):
+            continue
         for token in value.split():
             words = set(_WORD.findall(_CAMEL.sub(" ", token).lower()))
             words = {w for w in words if not w.isdigit()}
@@ -83,9 +92,9 @@ def _kind(tag: str, marks: list[tuple[str, str]]) -> str:
                 return ""
             if words & BOILERPLATE and words <= BOILERPLATE | NEUTRAL | HEADERS | CONTENT:
                 found = "soft"
-            elif words & HEADERS and words <= HEADERS | NEUTRAL and not found:
+            elif words & HEADERS and words <= HEADERS | NEUTRAL and not found and tag not in ("article", "main"):
                 found = "header"
-    return found
+    return found or ("soft" if tag == "form" else "")
 
 
 def parse(page: str) -> tuple[Element, list[Element]]:
@@ -131,7 +140,7 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             continue
         if tag == "a":
             links += 1
-        marks = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])] if "=" in m[3] else []
+        marks = [(a[0].lower(), a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])] if m[3] else []
         kind = "gone" if now.kind == "gone" else _kind(tag, marks)
         if tag in INLINE:
             path = now.path
@@ -145,7 +154,7 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         every.append(el)
         if kind == "gone" and now.kind != "gone" and tag in ("nav", "footer", "aside"):
             now.top = True
-        if tag in ("h1", "article", "main") and kind != "gone":
+        if tag in ("h1", "article", "main") and kind not in ("gone", "soft"):
             up = el
             while up is not None and not up.heading:
                 up.heading = True
@@ -161,15 +170,49 @@ def parse(page: str) -> tuple[Element, list[Element]]:
             now = el
     if at < len(page):
         text(_html.unescape(page[at:]))
+    _settle(every)
+    return root, every
+
+
+def _settle(every: list[Element]) -> None:
+    """What marks only weighed: such an element stays if the page's main heading or article is in it and in no other, and a
+    form if it lays out the page, with at least half of its text and blocks of it; its controls go by their tags."""
+    said = {id(el): 0 for el in every}
+    for el in reversed(every):
+        if el.kind != "gone":
+            said[id(el)] += el.plain
+            if el.parent is not None and (el.kind != "soft" or el.tag == "form" or el.heading):
+                said[id(el.parent)] += said[id(el)]
+    whole = said[id(every[0])]
+    blocks_in = {id(el): False for el in every}
+    for el in reversed(every):
+        blocks_in[id(el)] |= el.tag in ("p", "article", "main", "h1", "h2") and el.kind == ""
+        if el.parent is not None:
+            blocks_in[id(el.parent)] |= blocks_in[id(el)]
+    outside = False  # whether a main heading or an article is outside all that is marked
+    marked = {id(every[0]): False}
+    for el in every[1:]:
+        marked[id(el)] = marked[id(el.parent)] or el.kind in ("gone", "soft") and el.tag != "form"
+        if not marked[id(el)] and (el.tag in ("article", "main") or el.tag == "h1" and not _in_header(el)):
+            outside = True
     for el in every:  # parents come before their children
         if el.parent is not None and el.parent.kind == "gone":
             el.kind = "gone"
-        elif el.kind == "soft" and el.heading:
+        elif el.kind == "soft" and el.tag == "form" and blocks_in[id(el)] and 2 * said[id(el)] >= whole:
+            el.kind = ""
+        elif el.kind == "soft" and el.tag != "form" and el.heading and not outside:
             el.kind = ""
         elif el.kind == "soft":
             el.kind = "gone"
             el.parent.top = el.parent.top or el.tag not in INLINE and el.tag != "form"
-    return root, every
+
+
+def _in_header(el: Element) -> bool:
+    while el is not None:
+        if el.kind == "header":
+            return True
+        el = el.parent
+    return False
 
 
 def rate(every: list[Element]) -> list[Element]:
@@ -232,12 +275,51 @@ def blocks(el: Element) -> list[str]:
     return out
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """Text of the containers on ``path``, or of the page's own choice if they hold less than half as much."""
+def _digest(every: list[Element]) -> None:
+    for el in reversed(every):
+        if el.kind == "gone":
+            continue
+        parts = []
+        for c in el.children:
+            if isinstance(c, str):
+                if said := " ".join(c.split()):
+                    parts.append(said)
+            elif c.digest:
+                parts.append(f"<{c.tag} {c.digest}>")
+        if parts:
+            el.digest = int.from_bytes(hashlib.blake2b("\n".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _lays_out(el: Element) -> bool:
+    """Whether an element holds containers and lists only, and no text of its own."""
+    return not any(c.strip() if isinstance(c, str) else c.kind != "gone" and c.digest and c.kind != "header" and c.tag not in CONTAINERS and c.tag not in LISTS and c.tag not in ("tr", "tbody", "thead") for c in el.children)
+
+
+def furniture(root: Element, every: list[Element]) -> list[Element]:
+    """Elements of a rated page that could be a host's furniture: containers and lists with text beside others, but
+    not the page's heading, or half of the text of a page without one.  What stands among paragraphs is part of an article."""
+    _digest(every)
+    layout = {id(el): _lays_out(el) for el in every}
+    return [el for el in every if el.digest and el.kind == "" and not el.heading and not el.top and (el.tag in CONTAINERS or el.tag in LISTS) and (root.heading or 2 * el.score < root.score) and layout[id(el.parent)]]
+
+
+def extract(page: str | None, path: str | None, gone: frozenset[int] = frozenset()) -> str:
+    """Text of the containers on ``path``, or of the page's own choice if they hold less than half as much; without
+    elements whose digests are in ``gone``."""
     if not page:
         return ""
     root, every = parse(page)
-    chosen = [e for e in rate(every) if e.path == path]
+    rated = rate(every)
+    if gone and (found := [el for el in furniture(root, every) if el.digest in gone]):
+        for el in found:
+            el.kind = "gone"
+            el.parent.top = True
+        for el in every:
+            el.score = 0
+            if el.parent is not None and el.parent.kind == "gone":
+                el.kind = "gone"
+        rated = rate(every)
+    chosen = [e for e in rated if e.path == path]
     own = article_of(root)
     outer: list[Element] = []
     for e in chosen:
@@ -254,7 +336,10 @@ def extract(page: str | None, path: str | None) -> str:
 def votes(page: str) -> dict[str, float]:
     """A page's votes by path: 1 for its choice, half of its share for each container with half of all text."""
     root, every = parse(page)
-    rated = rate(every)
+    return _votes_of(root, rate(every))
+
+
+def _votes_of(root: Element, rated: list[Element]) -> dict[str, float]:
     out: dict[str, float] = {}
     for e in rated:
         if 2 * e.score >= root.score:
@@ -266,31 +351,52 @@ def votes(page: str) -> dict[str, float]:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's votes for paths, the digest of its article, and with it those of elements that may be furniture."""
     for batch in T.slices(batches):
-        hosts, paths, shares = [], [], []
+        rows: list[tuple] = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if page:
-                mine = votes(page)
-                hosts += [host] * len(mine)
-                paths += mine.keys()
-                shares += mine.values()
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.float64())], names=["host", "path", "share"])
+                root, every = parse(page)
+                rated = rate(every)
+                rows += [(host, path, share, None, None) for path, share in _votes_of(root, rated).items()]
+                found = {el.digest for el in furniture(root, every)}
+                article = article_of(root).digest
+                rows += [(host, None, None, article, d) for d in (None, *found)]
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "share", "article", "block"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches):
-        texts = [extract(h, p) for h, p in zip(batch.column("_html").to_pylist(), batch.column("_path").to_pylist(), strict=True)]
-        kept = [n for n in batch.schema.names if n not in ("_html", "_path")]
+        texts = [extract(h, p, frozenset(g or ())) for h, p, g in zip(*(batch.column(c).to_pylist() for c in ("_html", "_path", "_gone")), strict=True)]
+        kept = [n for n in batch.schema.names if n not in ("_html", "_path", "_gone")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, "text", "n_chars"])
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, path)``: each host's path with most votes, ties to the first in order.  One row per host."""
+def host_votes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``(host, path, article, block, share)``: votes by path, and each host's articles with the elements beside them."""
     rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
-    votes = rows.mapInArrow(_votes, "host string, path string, share double").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
+    votes = rows.mapInArrow(_votes, "host string, path string, share double, article long, block long")
+    return votes.groupBy("host", "path", "article", "block").agg(F.sum("share").alias("share"))
+
+
+def host_paths(votes: DataFrame) -> DataFrame:
+    """``(host, path)``: each host's path with most votes, ties to the first in order.  One row per host."""
+    votes = votes.where("path is not null").groupBy("host", "path").agg(F.round(F.sum("share"), 6).alias("votes"))
     return votes.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
+def host_furniture(votes: DataFrame) -> DataFrame:
+    """``(host, gone)``: digests of elements that recur beside most of a host's articles.
+
+    Articles are told apart by their text, so that copies of one article make no furniture of what is in it.
+    """
+    blocks_ = votes.where("block is not null").groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ARTICLES)
+    articles = votes.where("path is null and block is null").groupBy("host").agg(F.count("*").alias("articles"))
+    most = blocks_.join(articles, "host").where(F.col("n") >= F.col("articles") * FURNITURE_SHARE)
+    return most.groupBy("host").agg(F.collect_list("block").alias("gone"))
+
+
 def _host(url_col: str):
     """Lower-case host without port; a url without one is its own host, and null is the host ''."""
     found = F.regexp_extract(F.lower(F.col(url_col)), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
@@ -304,9 +410,11 @@ def extract_main_text(pages: DataFrame, keep: list[str], url_col: str = "url", h
     repeated votes.  Winning paths are one row per host: Spark broadcasts them only if the written table is small.
     Kept columns of the results' names give way to them.
     """
-    keep = [k for k in keep if k not in ("text", "n_chars", "_html", "_host", "_path")]
+    keep = [k for k in keep if k not in ("text", "n_chars", "_html", "_host", "_path", "_gone")]
     stash = Stash(pages.sparkSession, "html")
-    won = stash.put(host_paths(pages, url_col, html_col)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    votes = stash.put(host_votes(pages, url_col, html_col))
+    won = stash.put(host_paths(votes).join(host_furniture(votes), "host", "full"))
+    won = won.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("gone").alias("_gone"))
     rows = pages.select(*keep, F.col(html_col).alias("_html"), _host(url_col).alias("_host")).join(won, "_host", "left").drop("_host")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_html", "_path")), "text string, n_chars long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_html", "_path", "_gone")), "text string, n_chars long"])
     return rows.mapInArrow(_extract, schema)

@@ -391,7 +391,7 @@ def test_extraction_by_host(spark):
         assert got[i].text == f"Head & tail {i}\nFirst paragraph, with space.\nSecond é one here.\nitem\nother"
         assert got[i].n_chars == len(got[i].text)
     assert got[10].text == "plain <text" and got[11].text == "" and got[12].text == "a" and got[13].n_chars == 0
-    assert {r.host: r.path for r in html_extract.host_paths(pages).collect()}["a.example.com"] == ">html>body>div.post.post-#"
+    assert {r.host: r.path for r in html_extract.host_paths(html_extract.host_votes(pages)).collect()}["a.example.com"] == ">html>body>div.post.post-#"
 
 
 @pytest.mark.parametrize(
@@ -433,7 +433,7 @@ def test_registered_pages_hold_their_articles(spark):
         want = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", part)).split()) for part in re.split(r"</?(?:p|h1|h2|ul|li)>", body)]
         assert got[r.page_id].split() == " ".join(want).split()
         plain[re.match(r"\w+://([^/]+)", r.url)[1].lower()].update(html_extract.votes(r.html))
-    won = {r.host: r.path for r in html_extract.host_paths(pages).collect()}
+    won = {r.host: r.path for r in html_extract.host_paths(html_extract.host_votes(pages)).collect()}
     assert won == {h: max(c, key=lambda p: (round(c[p], 6), p)) for h, c in plain.items()}
 
 
