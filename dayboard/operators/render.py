@@ -63,17 +63,18 @@ def report_line(cells: list[tuple[Column, int]]) -> Column:
     return F.concat_ws("  ", *(F.when(F.length(c) < w, F.rpad(c, w, " ")).otherwise(c) for c, w in cells))
 
 
-def day_documents(days: DataFrame, as_of: dt.date) -> DataFrame:
+def day_documents(days: DataFrame, as_of: dt.date, all_days: DataFrame | None = None) -> DataFrame:
     """``(day, n_events, noindex, html)``: the page of every day of ``days(day, ord, title, url, date_from)``.
 
     A page has its day and count as title, links to the days before and after that have events, a card and a block of
-    structured data for each event in the order of ``ord``; days outside the index window are not to be indexed.
+    structured data for each event in the order of ``ord``; days outside the index window are not to be indexed.  If
+    ``days`` are not all that there are, ``all_days(day)`` has them.
     """
     card = event_card(F.col("title"), F.col("date_from").cast("string"), F.col("url"))
     data = escape_json_ld(F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("Event").alias("@type"), F.col("title").alias("name"), F.col("date_from").cast("string").alias("startDate"), F.col("url").alias("url"))))
     shown = F.col("date_from").isNotNull() & (F.coalesce(F.col("title"), F.lit("")) != "")  # what has no date or title has no data
     rows = days.groupBy("day").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_list(F.struct("ord", card.alias("card"), F.when(shown, data).alias("data")))).alias("rows"))
-    pages = rows.join(neighbours(rows.select("day"), "day"), "day").withColumn("noindex", noindex(F.col("day"), F.col("n_events"), as_of))
+    pages = rows.join(neighbours(rows.select("day") if all_days is None else all_days, "day"), "day").withColumn("noindex", noindex(F.col("day"), F.col("n_events"), as_of))
     link = lambda rel: F.when(F.col(f"{rel}_day").isNotNull(), F.concat(F.lit(f'<a rel="{rel}" href="/date/'), F.col(f"{rel}_day").cast("string"), F.lit('/">'), F.col(f"{rel}_day").cast("string"), F.lit("</a>"))).otherwise("")
     html = F.concat(
         F.lit('<!DOCTYPE html><html lang="ja"><head><title>'), F.col("day").cast("string"), F.lit("のイベント（"), F.col("n_events").cast("string"), F.lit("件）</title>"),
