@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import clock, make_date
-from .text import contains_any, normalize_space, plain_newlines, plain_text, tag_text, trim_space, truncate
+from .text import alternate, contains_any, normalize_space, plain_newlines, plain_text, tag_text, trim_space, truncate
 
 # Words around titles and organisers.
 STATUS_PREFIX = r"^[\[【(（](?:終了|開催中|中止|延期|受付中|満席)[\]】)）]\s*"
@@ -85,6 +85,24 @@ def auto_links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"'）)」]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:!?。、]+$", ""))
 
 
+# What begins a link in a text, and signs that do not end one.
+LINKED, TRAILING = r"https?://[^\s]+", "[).,、。]+$"
+
+
+def auto_link_parts(text: Column) -> Column:
+    """A text as an array of ``struct(text, url)`` in order: plain pieces, none empty, and links without the punctuation
+    that follows them, which is plain again.  Pieces joined are the text; a null or empty one has none."""
+    parts = F.transform(alternate(text, LINKED), lambda p, i: F.struct(p.alias("p"), (i % 2 == 1).alias("linked")))
+    none = F.lit(None).cast("string")
+
+    def cut(x: Column) -> Column:
+        url = F.regexp_replace(x["p"], TRAILING, "")
+        plain = lambda t: F.struct(t.alias("text"), none.alias("url"))
+        return F.when(x["linked"], F.array(F.struct(url.alias("text"), url.alias("url")), plain(F.substr(x["p"], F.length(url) + 1)))).otherwise(F.array(plain(x["p"])))
+
+    return F.coalesce(F.filter(F.flatten(F.transform(parts, cut)), lambda x: x["text"] != ""), F.array().cast("array<struct<text:string,url:string>>"))
+
+
 def _named(text: Column, label: str, stops: str, bad: list[str]) -> Column:
     """The value beside or below a label at the start of a line, up to the next label; null if it is a bad one."""
     t = plain_newlines(text)

@@ -165,6 +165,13 @@ def lines_at(html: Column, ends: str = "") -> Column:
     return F.filter(F.transform(F.split(strip_tags_compact(broken), r"\r?\n"), normalize_space), lambda x: x != "")
 
 
+def alternate(text: Column, pattern: str) -> Column:
+    """Array of what stands between the matches of a pattern and the matches themselves, by turns: text, match, text, ..,
+    text.  Joined it is the text again; the pattern must not match the empty text."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_compact(F.flatten(F.zip_with(between, found, lambda b, m: F.array(b, m))))
+
+
 def pieces(html: Column, head: str) -> Column:
     """Array of the parts of a page that begin with a match of ``head``, each up to the next one."""
     return F.filter(F.split(html, rf"(?is)(?={head})"), lambda x: x.rlike(rf"(?is)^{head}"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, text, urls
-from ..operators import dedupe, events, graph
+from ..operators import dedupe, events, graph, spans
 from ..sources.readers import api_posts, embedded_object, relaxed_json_map
 from .venues import COLUMNS, _cell, _events, _parts, _plain
 
@@ -102,24 +102,13 @@ def date_rows(lists: DataFrame, details: DataFrame, place: str = "") -> DataFram
 def windowed_links(lists: DataFrame, details: DataFrame) -> DataFrame:
     """Links to events with what stands around them (500 signs before, 1500 after): the first heading there names the
     event, and its first day counts where the detail's table has none."""
-    link = r"""<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""
-    # The last 500 signs so far go from one piece of the page to the next.
-    start = F.struct(F.lit("").alias("tail"), F.array().cast("array<struct<before:string,a:string>>").alias("out"))
-    grow = lambda done, p: F.struct(F.right(F.concat(done["tail"], p), F.lit(500)).alias("tail"), F.concat(done["out"], F.array(F.struct(done["tail"].alias("before"), p.alias("a")))).alias("out"))
-    linked = F.filter(F.aggregate(F.split("html", rf"(?is)(?={link})"), start, grow, lambda done: done["out"]), lambda x: x["a"].rlike(rf"(?is)^{link}"))
-    after = F.regexp_extract_all("html", F.lit(rf"(?is)(?=({link}.{{0,1500}}))(?=<a\b)"), F.lit(1))
-    rows = lists.select("url", F.posexplode(F.arrays_zip(linked.alias("x"), after.alias("after"))).alias("n", "z")).select("url", "n", "z.x.before", "z.x.a", "z.after")
+    link = r"""(?is)<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""
+    rows = spans.contexts(lists, ["url"], "html", link, 500, 1500, where=F.col("match").contains("/event/event-"))
     clean = lambda t: text.trim_space(F.regexp_replace(F.regexp_replace(text.normalize_space(text.strip_tags(text.decode_entities(t))), r"^(開催日|会期|日時)\s*[:：]?\s*", ""), r"\s*開催日\s*[:：]?.*$", ""))
-    window = F.concat("before", "after")
-    plain = text.normalize_space(text.decode_entities(text.strip_tags_with_breaks(F.col("window"))))
-    rows = _once(
-        _once(rows, "n", "url", "a", window.alias("window")),
-        "n",
-        "url",
-        urls.resolve(text.first_capture(F.col("a"), HREF), F.col("url")).alias("source_url"),
-        clean(F.coalesce(text.first_capture(F.col("window"), r"(?is)<h3\b[^>]*>(.*?)</h3>"), text.first_capture(F.col("a"), LINK, 2))).alias("listed"),
-        F.get(_jp_dates(plain), 0).alias("near"),
-    )
+    plain = text.normalize_space(text.decode_entities(text.strip_tags_with_breaks(F.col("context"))))
+    head = F.coalesce(text.first_capture(F.col("context"), r"(?is)<h3\b[^>]*>(.*?)</h3>"), text.first_capture(F.col("match"), LINK, 2))
+    rows = _once(rows, "n", "url", text.first_capture(F.col("match"), HREF).alias("href"), head.alias("head"), plain.alias("plain"))
+    rows = _once(rows, "n", "url", urls.resolve(F.col("href"), F.col("url")).alias("source_url"), clean(F.col("head")).alias("listed"), F.get(_jp_dates(F.col("plain")), 0).alias("near"))
     rows = rows.where(F.col("source_url").rlike(r"^[^?#]*/event/event-[^/?#]+/?(?:[?#]|$)") & (F.col("listed") != "") & ~F.col("listed").rlike(r"(?i)^(詳細を見る|more|read\s*more|view\s*more)$"))
     rows = dedupe.keep_first(rows.withColumn("ord", F.struct("url", "n")), ["source_url"], "ord")
     table = text.first_capture(F.col("html"), r"""(?is)<table\b[^>]*class=["'][^"']*eventTable[^"']*["'][^>]*>(.*?)</table>""")
