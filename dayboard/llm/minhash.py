@@ -9,18 +9,18 @@ similarity, and a signature costs time in proportion to the shingles plus k log
 Bands of coordinates are joined: every member of a bucket is first compared with one member of it (a star).  In
 buckets that still hold more than one class, all pairs across classes are compared on the shingles themselves, in
 blocks of bounded size; a block gives only the links that join its classes, fewer than it has rows.  So every pair
-that shares a bucket and is similar enough ends in one class, however the rows are dealt.  The comparisons in a
-bucket of many classes that do not join grow with their square.
+that shares a bucket and is similar enough ends in one class, however the rows are dealt.  In a bucket of
+many classes that do not join, comparisons grow with their square, and so do the rows dealt into blocks, as each row
+goes to every part of its bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, log, sqrt
+from math import ceil, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,11 +78,11 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int, seed: int
 
 def _signatures(batches: Iterator[pa.RecordBatch], n_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in T.slices(batches):
-        digest, size, keys, low = [], [], [], []
+        digest, size, keys = [], [], []
         for text in batch.column("text").to_pylist():
             el, w = weighted_shingles(text or "", n_words)
             if not len(el):
-                digest.append(None), size.append(0), keys.append([]), low.append(None)
+                digest.append(None), size.append(0), keys.append([])
                 continue
             sig = dart_signature(el, w, bands * rows)
             digest.append(_digest(text, el))
@@ -91,8 +91,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n_words: int, bands: int, row
             for column in sig.reshape(bands, rows).T:
                 part = T.mix(part + column)
             keys.append(T.mix(part + np.arange(bands, dtype=U64)).view(np.int64).tolist())
-            low.append((sig & U64(255)).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["id", "digest", "size", "keys", "low"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "size", "keys"])
 
 
 def _digest(text: str, elements: np.ndarray) -> bytes:
@@ -115,13 +114,6 @@ def _occurrences(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), items], names=["id", "items"])
 
 
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype("int32"))
-
-
 def _near_size(threshold: float) -> Column:
     return F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
 
@@ -173,17 +165,14 @@ def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 class _Verifier:
-    """Checks candidate pairs: sizes and signatures first, then the shingles of the texts that are left."""
+    """Checks candidate pairs: sizes first, then the shingles of the texts that are left."""
 
-    def __init__(self, reps: DataFrame, items: DataFrame, stash: Stash, threshold: float, k: int):
+    def __init__(self, reps: DataFrame, items: DataFrame, stash: Stash, threshold: float):
         self.reps, self.items, self.stash, self.threshold = reps, items, stash, threshold
-        #: 4.5 standard deviations below the agreement expected at the threshold: three pairs in a million go astray
-        self.least = int(k * threshold - 4.5 * sqrt(k * threshold * (1 - threshold)))
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        side = lambda x: self.reps.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("low").alias(f"low_{x}"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near_size(self.threshold))
-        return near.where(F.pandas_udf(_agreement, "int")("low_a", "low_b") >= self.least).select("a", "b")
+        side = lambda x: self.reps.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(_near_size(self.threshold)).select("a", "b")
 
     def links(self, near: DataFrame) -> DataFrame:
         of = lambda x: self.items.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}"))
@@ -204,11 +193,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     stash = Stash(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sigs = stash.put(texts.mapInArrow(lambda it: _signatures(it, n_words, bands, rows), "id long, digest binary, size long, keys array<long>, low binary"))
+    sigs = stash.put(texts.mapInArrow(lambda it: _signatures(it, n_words, bands, rows), "id long, digest binary, size long, keys array<long>"))
     known = sigs.where("id is not null and digest is not null")
     first = known.groupBy("digest").agg(F.min("id").alias("rep"))
     of_rep = known.join(first.withColumnRenamed("rep", "id"), ["digest", "id"])
-    reps = stash.put(of_rep.groupBy("id").agg(F.min(F.struct("digest", "size", "keys", "low")).alias("r")).select("id", "r.*"))
+    reps = stash.put(of_rep.groupBy("id").agg(F.min(F.struct("digest", "size", "keys")).alias("r")).select("id", "r.*"))
 
     members = reps.select("id", "size", F.posexplode("keys").alias("band", "key"))
     # the center of a bucket: the least hash, which near copies mostly share whatever the band
@@ -217,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stash.put(members.join(centers, "key"))
     ids = reps.select("id", "digest").join(shared.select("id").distinct(), "id", "left_semi")
     items = stash.put(texts.join(ids, "id").mapInArrow(lambda it: _occurrences(it, n_words), "id long, items array<long>").dropDuplicates(["id"]))
-    check = _Verifier(reps, items, stash, threshold, bands * rows)
+    check = _Verifier(reps, items, stash, threshold)
     stars = shared.where("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()
     links = check.links(check.plausible(stars))
     labels = connected_components(links, stash)
