@@ -72,7 +72,18 @@ def require_valid(events: DataFrame, ordinal: str, least: int = 1) -> DataFrame:
 def conflict_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Lines that begin with a merge-conflict marker, with their numbers from 1."""
     lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
-    return lines.where(F.col("line").rlike(r"^(<{7}|={7}|>{7})(\s|$)")).select(key, (F.col("n") + 1).alias("line_no"), "line")
+    return lines.where(F.col("line").rlike(CONFLICT)).select(key, (F.col("n") + 1).alias("line_no"), "line")
+
+
+#: What a line with a merge-conflict marker begins with.
+CONFLICT = r"^(<{7}|={7}|>{7})(\s|$)"
+
+
+def conflicts_in_tree(spark, path: str) -> DataFrame:
+    """``(file_path, line_no, line)`` of conflict markers in the sources below a folder."""
+    from ..sources.readers import source_lines
+
+    return source_lines(spark, path, where=F.col("line").rlike(CONFLICT))
 
 
 # What each page of a site must have.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, extract, text, urls
 from ..operators import dedupe, events, graph, spans
 from ..sources.readers import api_posts, embedded_object, relaxed_json_map
+from ..sources.shared import keep
 from .venues import COLUMNS, _cell, _events, _parts, _plain
 
 __all__ = [
@@ -287,17 +288,20 @@ def mixed_blocks(pages: DataFrame, as_of: dt.date, folder: str, index: str, mont
 
 
 def month_links(pages: DataFrame, as_of: dt.date, days: int = 365) -> DataFrame:
-    """``(src, dst)`` of links between landed pages to months that touch the days around today."""
-    rows = _hrefs(pages).select("src", urls.month_page(F.col("dst")).alias("m")).where("m is not null")
+    """``(src, dst, place)`` of links between landed pages to months that touch the days around today, in their order on
+    the page."""
+    rows = pages.select(F.col("url").alias("src"), F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("place", "href"))
+    rows = rows.select("src", "place", urls.month_page(urls.resolve(F.col("href"), F.col("src"))).alias("m")).where("m is not null")
     near = (F.col("m.month") <= F.lit(as_of + dt.timedelta(days))) & (F.last_day("m.month") >= F.lit(as_of - dt.timedelta(days)))
-    return rows.where(near).select("src", F.col("m.url").alias("dst")).distinct()
+    return rows.where(near).groupBy("src", F.col("m.url").alias("dst")).agg(F.min("place").alias("place"))
 
 
 def _reached(pages: DataFrame, seed: str, as_of: dt.date, most: int) -> DataFrame:
-    """Landed pages that links of months lead to from a seed, in so many rounds at most."""
-    start = pages.sparkSession.createDataFrame([(seed,)], "node string")
-    seen = graph.crawl(start, month_links(pages, as_of), most)
-    return pages.join(seen.select(F.col("node").alias("url")), "url", "left_semi")
+    """The seed and the landed ones of the first ``most`` pages that a queue of its links of months reads."""
+    links = keep(month_links(pages, as_of), "links")
+    seen = graph.crawl_in_order(links.where(F.col("src") == seed).select(F.col("dst").alias("node"), "place"), links, most)
+    read = seen.select(F.col("node").alias("url")).unionByName(pages.sparkSession.createDataFrame([(seed,)], "url string")).distinct()
+    return pages.join(read, "url", "left_semi")
 
 
 def month_crawl(pages: DataFrame, details: DataFrame, seed: str, as_of: dt.date, most: int = 36) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -44,6 +44,39 @@ def html_tree(spark: SparkSession, path: str) -> DataFrame:
     return out.where(~F.col("file_path").rlike(r"/\.[^/]*$|/partials/"))
 
 
+def source_lines(spark: SparkSession, path: str, names: str = "*.js", exclude: str = "node_modules", where: Column | None = None) -> DataFrame:
+    """``(file_path, line_no, line)`` of all files of a tree whose names match, without folders of the excluded name.
+
+    Files are read in splits, large ones in several.  A line's number, from 1, is its place in its split and the number
+    of the file's lines in the splits before, of which there is one count a split.  ``where`` filters lines, by
+    ``line``, before they get numbers.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    rows = rows.where(~F.col("file_path").contains(f"/{exclude}/"))
+    counts = rows.groupBy("file_path", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("file_path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    wanted = rows.where(where) if where is not None else rows
+    return wanted.join(counts, ["file_path", "block"]).select("file_path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
+
+def paged_posts(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
+    """``(page, body)`` of landed REST pages, files in folders ``page=1``, ``page=2``, ..: those that a client reads which
+    asks for one after the other and stops at the first that is lacking or has no posts, at most ``most``.
+
+    Which pages there are is known from the names of folders, so nothing behind a gap is opened; of the rest, what
+    follows the first page without posts is left out.
+    """
+    rows = spark.read.option("wholetext", True).text(path)
+    names = sorted({int(m[1]) for f in rows.inputFiles() if (m := re.search(r"/page=(\d+)/", f))})
+    whole = [n for k, n in enumerate(names) if n == k + 1 and n <= most]
+    pages = rows.where(F.col("page").isin(whole)).select(F.col("page").cast("int").alias("page"), F.col("value").alias("body"))
+    full = F.coalesce(F.size(F.from_json("body", "array<string>")) > 0, F.lit(False))
+    stop = pages.groupBy("page").agg(F.max(full).alias("full")).where("not full").agg(F.min("page")).first()[0]
+    return pages if stop is None else pages.where(F.col("page") < stop)
+
+
 def csv_cells(line: Column) -> Column:
     """Cells of a line of CSV: commas outside quotes split, quotes and outer spaces go."""
     return F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
@@ -69,28 +102,20 @@ def decode_bytes(body: Column, charset: str) -> Column:
 
 
 def embedded_object(html: Column, name: str) -> Column:
-    """Source of the object literal assigned to a variable, found by matching braces outside strings; null if none."""
+    """Source of the object literal assigned to a variable, found by matching braces outside strings; null if none.
+
+    The search goes from brace to brace and over whole strings, not from sign to sign.
+    """
     start = re.compile(rf"\b{re.escape(name)}\s*=\s*\{{")
+    step = re.compile(r"""[{}]|"(?:[^"\\]|\\.)*+(?:"|\Z)|'(?:[^'\\]|\\.)*+(?:'|\Z)""", re.S)
 
     def one(page: str | None) -> str | None:
         m = start.search(page or "")
-        if not m:
-            return None
-        depth, quote, i = 0, "", m.end() - 1
-        while i < len(page):
-            ch = page[i]
-            if quote:
-                if ch == "\\":
-                    i += 1
-                elif ch == quote:
-                    quote = ""
-            elif ch in "\"'":
-                quote = ch
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if not depth:
-                    return page[m.end() - 1 : i + 1]
-            i += 1
+        depth = 0
+        for s in step.finditer(page, m.end() - 1) if m else ():
+            depth += {"{": 1, "}": -1}.get(s[0], 0)
+            if not depth:
+                return page[m.end() - 1 : s.end()]
         return None
 
     return F.pandas_udf(lambda s: s.map(one), "string")(html)
