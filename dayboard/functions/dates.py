@@ -18,6 +18,15 @@ def strict_date(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
+def lenient_day(text: Column) -> Column:
+    """A day as browsers read it: a year, with a month and a day or without, which count as the first; days beyond their
+    month's end run on into the next, up to the 31st.  Anything else is null."""
+    form = r"^(\d{4})(?:-(0[1-9]|1[0-2])(?:-(0[1-9]|[12]\d|3[01]))?)?$"
+    t = F.trim(text)
+    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(t, form, i), F.lit("")).cast("int"), F.lit(1))
+    return F.when(t.rlike(form), F.date_add(F.try_to_date(F.concat_ws("-", F.substring(t, 1, 4), F.lpad(part(2).cast("string"), 2, "0"), F.lit("01"))), part(3) - 1))
+
+
 def make_date(y: Column, m: Column, d: Column) -> Column:
     """Null where there is no such day."""
     return F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")

@@ -148,6 +148,32 @@ def description(text: Column, name: Column, *, prefecture: Column | None = None,
     return F.when(t.rlike("[、。]$") | (F.length(t) < 60), F.concat(t, F.lit(DESCRIPTION_TAIL))).otherwise(t)
 
 
+# Sentences of a venue's introduction.
+INTRO_VISIT = "イベントや施設利用の立ち寄り先として訪れやすい場所です。"
+INTRO_NEAR = "外出や用事の合間に訪れやすく、イベント参加や施設利用など幅広い目的で利用できます。"
+INTRO_MORE = ["開催内容や混雑状況は日によって変わるため、訪問前に公式情報で最新の案内を確認するのがおすすめです。", "写真や口コミを参考にすると、現地の雰囲気をつかみやすくなります。"]
+INTRO_MOST = 300
+
+
+def introduction(name: Column, municipality: Column, category: Column) -> Column:
+    """Two paragraphs about a venue; sentences of the second go from its end, but for the first, until it has 300 signs.
+    If that is not enough it stays whole."""
+    name, category = F.coalesce(F.nullif(name, F.lit("")), F.lit("名称不明")), F.coalesce(F.nullif(category, F.lit("")), F.lit("イベント施設"))
+    town = F.nullif(municipality, F.lit(""))
+    lead = F.concat(name, F.lit("は、"), F.coalesce(F.concat(town, F.lit("にある")), F.lit("")), category, F.lit("スポットです。" + INTRO_VISIT + "\n"), F.coalesce(F.concat(town, F.lit("周辺での")), F.lit("")), F.lit(INTRO_NEAR))
+    tries = [F.concat(lead, F.lit("".join(INTRO_MORE[:k]))) for k in range(len(INTRO_MORE), -1, -1)]
+    return F.coalesce(*(F.when(F.length(t) <= INTRO_MOST, t) for t in tries), tries[0])
+
+
+def summary(category: Column, prefecture: Column, municipality: Column, text: Column) -> Column:
+    """What a map's card says of a venue: category and area, else the first 30 signs of its text, else where to look."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    area = F.nullif(F.concat_ws(" ", filled(prefecture), filled(municipality)), F.lit(""))
+    said = F.nullif(F.concat_ws(" / ", filled(category), area), F.lit(""))
+    cut = F.when(F.length(text) > 30, F.concat(F.left(text, F.lit(30)), F.lit("…"))).otherwise(filled(text))
+    return F.coalesce(said, cut, F.lit("詳細は下部カードをご覧ください"))
+
+
 def is_excluded(title: Column) -> Column:
     """Closed days, what is not public, and rows without a title."""
     return title.isNull() | (normalize_space(title) == "") | contains_any(title, ["休館日", "非公開", "関係者のみ"])

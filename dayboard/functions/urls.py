@@ -110,3 +110,11 @@ def resolve_root(url: Column, base: Column) -> Column:
     origin = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
     plain = ~url.rlike(r"/\.{1,2}(/|$)")
     return F.when(url.rlike("^https?://"), url).when(plain & url.startswith("//"), F.concat(scheme, url)).when(plain & url.startswith("/"), F.concat(origin, url))
+
+
+def spot_id(url: Column) -> Column:
+    """The spot that an address means: its parameter spot_id, else the segment after /spot/ at the start of its path; '' if
+    neither is there."""
+    asked = F.regexp_extract(url, r"^[^#]*?[?&]spot_id=([^&#]*)", 1)
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?/+spot/+([^/?#]+)", 1)
+    return F.coalesce(F.nullif(F.try_url_decode(asked), F.lit("")), path)

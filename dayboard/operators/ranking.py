@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_space
 from .ordering import page_at
 
 
@@ -44,6 +45,14 @@ def suggestions(df: DataFrame, name: str, keyword: str, ordinal: str, most: int
     return found.orderBy(ordinal).limit(most) if keyword.strip() else found.limit(0)
 
 
+def linked_card(cards: DataFrame, title: str, venue: str, asked: str, place: str, ordinal: str) -> DataFrame:
+    """The card that a link means: the first whose title is the one asked for and whose venue, if one is asked for, is
+    that; white space does not count beyond a single space.  None or one row."""
+    wanted, where = (" ".join((x or "").split()) for x in (asked, place))
+    same = normalize_space(F.coalesce(F.col(title), F.lit(""))) == wanted
+    return cards.where(same & (F.lit(where == "") | (normalize_space(F.coalesce(F.col(venue), F.lit(""))) == where))).orderBy(ordinal).limit(1)
+
+
 def carry_forward(df: DataFrame, partition: list[str], order: list[str], reset: Column, columns: list[str]) -> DataFrame:
     """Last value of each column so far that is not null, forgotten at each reset."""
     so_far = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

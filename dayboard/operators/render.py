@@ -84,6 +84,69 @@ def day_documents(days: DataFrame, as_of: dt.date, all_days: DataFrame | None =
     return pages.select("day", "n_events", "noindex", html.alias("html"))
 
 
+#: Marks on the front page between which the links to days stand.
+NAV_START, NAV_END = "<!-- DATE_NAV_START -->", "<!-- DATE_NAV_END -->"
+
+
+def day_links(days: DataFrame, as_of: dt.date) -> DataFrame:
+    """One row ``(html)``: links to today, tomorrow and the days of the coming week that have events, and to all days."""
+    offset = F.datediff("day", F.lit(as_of))
+    near = days.select("day").distinct().where(offset.between(0, 6))
+    key = F.date_format("day", "yyyy-MM-dd")
+    link = lambda label: F.concat(F.lit('<a href="date/'), key, F.lit('/">'), label, F.lit("</a>"))
+    first = F.when(offset == 0, link(F.lit("今日"))).when(offset == 1, link(F.lit("明日")))
+    label = F.concat(F.month("day").cast("string"), F.lit("/"), F.dayofmonth("day").cast("string"))
+    rows = near.agg(F.array_sort(F.collect_list(F.struct("day", first.alias("first"), link(label).alias("week")))).alias("d"))  # seven at most
+    return rows.select(F.concat(F.lit("<nav>"), F.array_join("d.first", ""), F.array_join("d.week", ""), F.lit('<a href="date/">日付一覧</a></nav>')).alias("html"))
+
+
+def front_page(page: str, days: DataFrame, as_of: dt.date) -> str | None:
+    """The front page with its links to days renewed; null if it has no marks for them."""
+    start, end = page.find(NAV_START), page.find(NAV_END)
+    if start < 0 or end < start:
+        return None
+    return page[: start + len(NAV_START)] + "\n" + day_links(days, as_of).first().html + "\n" + page[end:]
+
+
+def day_data(days: DataFrame, site: str) -> DataFrame:
+    """``(day, data)``: structured data of day pages from ``days(day, ord, title, url, date_from, date_to, venue_id,
+    venue_name, organizer, performer, price)``: the list of its events, each with its place, organiser and performer as far
+    as they are known, and the path of pages that leads to it, as one array of JSON-LD."""
+    kind = lambda t: F.lit(t).alias("@type")
+    context = F.lit("https://schema.org").alias("@context")
+    page = F.concat(F.lit(f"{site}/date/"), F.col("day").cast("string"), F.lit("/"))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    named = lambda c, t: F.when(filled(c).isNotNull(), F.struct(kind(t), F.col(c).alias("name")))
+    place = F.when(filled("venue_name").isNotNull(), F.struct(kind("Place"), F.col("venue_name").alias("name"), F.concat(F.lit(f"{site}/spot/"), F.nullif(encode_component(F.col("venue_id")), F.lit("")), F.lit("/")).alias("url")))
+    free = F.when(F.col("price").contains("無料") & ~F.col("price").contains("円"), F.lit(True))
+    event = F.struct(kind("Event"), filled("title").alias("name"), F.col("date_from").cast("string").alias("startDate"), F.coalesce("date_to", "date_from").cast("string").alias("endDate"), F.coalesce(filled("url"), page).alias("url"), place.alias("location"), named("organizer", "Organization").alias("organizer"), named("performer", "PerformingGroup").alias("performer"), free.alias("isAccessibleForFree"))
+    shown = days.where(filled("title").isNotNull() & F.col("date_from").isNotNull())
+    rows = shown.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("ord", F.to_json(event).alias("event")))).alias("rows"))
+    entries = F.array_join(F.transform("rows", lambda x, i: F.concat(F.lit('{"@type":"ListItem","position":'), (i + 1).cast("string"), F.lit(',"item":'), x["event"], F.lit("}"))), ",")
+    listing = F.concat(F.lit('{"@context":"https://schema.org","@type":"ItemList","name":"'), F.col("day").cast("string"), F.lit('のイベント","numberOfItems":'), F.size("rows").cast("string"), F.lit(',"itemListElement":['), entries, F.lit("]}"))
+    crumb = lambda n, name, url: F.struct(kind("ListItem"), F.lit(n).alias("position"), name.alias("name"), url.alias("item"))
+    path = F.to_json(F.struct(context, kind("BreadcrumbList"), F.array(crumb(1, F.lit("トップ"), F.lit(f"{site}/")), crumb(2, F.lit("日付一覧"), F.lit(f"{site}/date/")), crumb(3, F.col("day").cast("string"), page)).alias("itemListElement")))
+    return rows.select("day", escape_json_ld(F.concat(F.lit("["), listing, F.lit(","), path, F.lit("]"))).alias("data"))
+
+
+def index_page(days: DataFrame, most: int, site: str) -> DataFrame:
+    """One row ``(n_days, n_events, html)``: the whole page of all days in order, each with its first titles.
+
+    The document names every day of the publish window once; a section is bounded by ``most`` titles.
+    """
+    rows = index_sections(days, most).agg(F.count("*").alias("n_days"), F.sum("n_events").alias("n_events"), F.array_sort(F.collect_list(F.struct("day", "section"))).alias("s"))
+    head = F.concat(F.lit(f'<!DOCTYPE html><html lang="ja"><head><title>日付別イベント一覧</title><link rel="canonical" href="{site}/date/"></head><body><h1>日付別イベント一覧</h1><p>'), F.col("n_days").cast("string"), F.lit("日・"), F.coalesce("n_events", F.lit(0)).cast("string"), F.lit("件</p>"))
+    return rows.select("n_days", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.concat(head, F.array_join("s.section", ""), F.lit("</body></html>")).alias("html"))
+
+
+def name_pages(venues: DataFrame, key: str, name: str) -> DataFrame:
+    """``(initial, n_venues, html)``: a page of the venues with each first letter, in Japanese order."""
+    rows = venues.withColumn("initial", F.upper(F.left(F.trim(F.col(name)), F.lit(1)))).where("initial <> ''").groupBy("initial")
+    rows = rows.agg(F.count("*").alias("n_venues"), F.array_sort(F.collect_list(F.struct(ja(name).alias("place"), F.col(key).cast("string").alias("key"), F.col(name).alias("name")))).alias("v"))
+    items = F.array_join(F.transform("v", lambda x: F.concat(F.lit('<li><a href="/spot/'), encode_component(x["key"]), F.lit('/">'), escape_html(x["name"]), F.lit("</a></li>"))), "")
+    return rows.select("initial", "n_venues", F.concat(F.lit("<h1>"), escape_html(F.col("initial")), F.lit("</h1><ul>"), items, F.lit("</ul>")).alias("html"))
+
+
 def index_sections(days: DataFrame, most: int) -> DataFrame:
     """``(day, n_events, section)``: for every day its first titles in the order of ``ord``, and how many more there are."""
     day = F.col("day").cast("string")

@@ -126,3 +126,26 @@ def missing_references(texts: DataFrame, key: str, text: str, existing: DataFram
 def column_widths(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row with the length of the longest cell of each column."""
     return rows.agg(*(F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0)).alias(c) for c in columns))
+
+
+def latest(rows: DataFrame, column: str):
+    """The latest number of a column, 0 if there is none."""
+    return rows.agg(F.coalesce(F.max(column), F.lit(0)).alias(column)).first()[0]
+
+
+def problem_count(*problems: DataFrame) -> int:
+    """How many problems some checks have found together."""
+    return sum(p.count() for p in problems)
+
+
+def report(rows: DataFrame, name: str, numbers: list[str]) -> DataFrame:
+    """``(ord, line)``: a table as text, names to the left and numbers to the right, each column as wide as its longest
+    cell or heading; a heading, a rule, and a line a row by name."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (name, *numbers)]
+    widths = rows.agg(*(F.coalesce(F.max(F.length(c)), F.lit(0)) for c in cells)).first()
+    widths = [widths[0], *(max(w, len(n)) for w, n in zip(widths[1:], numbers, strict=True))]
+    head = " | ".join([name.ljust(widths[0]), *(n.rjust(w) for n, w in zip(numbers, widths[1:], strict=True))])
+    top = rows.sparkSession.createDataFrame([(0, "", head), (1, "", "-+-".join("-" * w for w in widths))], "ord int, name string, line string")
+    line = F.concat_ws(" | ", F.rpad(cells[0], widths[0], " "), *(F.lpad(c, w, " ") for c, w in zip(cells[1:], widths[1:], strict=True)))
+    out = top.unionByName(rows.select(F.lit(2).alias("ord"), cells[0].alias("name"), line.alias("line")))
+    return out.orderBy("ord", "name").select("ord", "line")

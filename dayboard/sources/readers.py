@@ -77,6 +77,15 @@ def paged_posts(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
     return pages if stop is None else pages.where(F.col("page") < stop)
 
 
+NOINDEX = r"""(?i)<meta\s+name=["']robots["'][^>]*content=["'][^"']*noindex"""
+
+
+def listed_pages(rows: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
+    """Pages that a sitemap names, by paths relative to the site: without the frame of spots, files that prove ownership,
+    and pages that are not to be indexed."""
+    return rows.where((F.col(path) != "spot/index.html") & ~F.col(path).rlike(r"(?i)^google[\w-]*\.html$") & ~F.coalesce(F.col(html).rlike(NOINDEX), F.lit(False)))
+
+
 def csv_cells(line: Column) -> Column:
     """Cells of a line of CSV: commas outside quotes split, quotes and outer spaces go."""
     return F.transform(F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
