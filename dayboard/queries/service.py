@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from ..functions import extract
-from ..operators import checks, events as ev, graph, ranking, spans
+from ..functions import dates, extract, urls
+from ..operators import checks, graph, ranking, render, spans, stats
+from ..operators import events as ev
 from ..plans import sources, upkeep, venues
-from ..sources import publish
+from ..sources import publish, readers
 from ..sources.shared import keep, shared_dir
 from .base import AS_OF, F, order_events, table
 from .landed import HOST, _jp, _lists, _orders, _text
@@ -128,10 +129,48 @@ def sheet_events(spark, sf):
     return venues.sheet(head.unionByName(line), AS_OF, "館").select("source_url", "title", "date_from", "start_time", "end_time", "venue_name")
 
 
-QUERIES = {f.__name__: f for f in (published_parts, enforced_gate, checked_texts, refreshed_days, queue_reach, linked_texts, day_events_ja, today_events, table_month_events, entry_events, labelled_events, linked_page_events, sheet_events)}
+def structured_days(spark, sf):
+    """Structured data of the pages of each first day of orders."""
+    o, k = order_events(spark, sf), F.col("o_orderkey")
+    none = F.lit(None).cast("string")
+    days = o.select(F.col("date_from").alias("day"), k.alias("ord"), F.concat(F.lit("E<"), k.cast("string")).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("https://x.jp/"), k.cast("string"))).alias("url"), "date_from", "date_to", F.col("o_custkey").cast("string").alias("venue_id"), F.when(k % 3 > 0, F.lit("H")).alias("venue_name"), F.when(k % 5 == 0, F.lit("市")).alias("organizer"), none.alias("performer"), F.when(k % 7 == 0, F.lit("無料")).alias("price"))
+    return render.day_data(days, "https://v.jp").select("day", F.md5("data").alias("digest"), F.length("data").alias("n"))
+
+
+def aligned_report(spark, sf):
+    """Line items by flag and status as a report."""
+    file = F.concat_ws(" ", F.lit("items"), "l_returnflag", "l_linestatus").alias("file")
+    rows = table(spark, sf, "lineitem").groupBy(file).agg(F.count("*").alias("items"), F.countDistinct("l_orderkey").alias("orders"))
+    return stats.report(rows, "file", ["items", "orders"])
+
+
+def initial_pages(spark, sf):
+    """Pages of parts by their first letter."""
+    return render.name_pages(table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 9, "0")).alias("name")), "p_partkey", "name")
+
+
+def listed_spots(spark, sf):
+    """Pages of a sitemap, spots that addresses mean, and days as browsers read them."""
+    k = F.col("page_id")
+    path = F.when(k % 5 == 0, "spot/index.html").when(k % 5 == 1, F.concat(F.lit("google"), k.cast("string"), F.lit(".html"))).otherwise(F.concat(F.lit("spot/s"), k.cast("string"), F.lit("/index.html")))
+    html = F.when(k % 7 == 0, "<meta name='robots' content='noindex'>").otherwise("x")
+    rows = readers.listed_pages(table(spark, sf, "pages").select("page_id", path.alias("path"), html.alias("html")))
+    address = F.concat(F.lit("https://v.jp/"), F.col("path"), F.when(k % 2 == 0, F.concat(F.lit("?spot_id=q"), k.cast("string"))).otherwise(""))
+    return rows.select("page_id", urls.spot_id(address).alias("spot"), dates.lenient_day(F.concat(F.lit("2026-02-"), F.lpad((k % 31 + 1).cast("string"), 2, "0"))).alias("day"))
+
+
+QUERIES = {f.__name__: f for f in (structured_days, aligned_report, initial_pages, listed_spots, published_parts, enforced_gate, checked_texts, refreshed_days, queue_reach, linked_texts, day_events_ja, today_events, table_month_events, entry_events, labelled_events, linked_page_events, sheet_events)}
 
 _EV = "WITH ev AS (SELECT *, o_orderkey AS k, o_orderdate::DATE AS a, o_orderdate::DATE + (o_orderkey % 30)::INT AS b FROM orders)"
 SQL = {
+    "structured_days": _EV + r""", e AS (SELECT a AS day, k, concat('{"@type":"Event","name":"E<', k, '","startDate":"', a, '","endDate":"', b, '","url":"', CASE WHEN k % 2 = 0 THEN concat('https://x.jp/', k) ELSE concat('https://v.jp/date/', a, '/') END, '"',
+        CASE WHEN k % 3 > 0 THEN concat(',"location":{"@type":"Place","name":"H","url":"https://v.jp/spot/', o_custkey, '/"}') END, CASE WHEN k % 5 = 0 THEN ',"organizer":{"@type":"Organization","name":"市"}' END, CASE WHEN k % 7 = 0 THEN ',"isAccessibleForFree":true' END, '}') AS j FROM ev),
+      n AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY k) AS nth FROM e),
+      g AS (SELECT day, concat('[{"@context":"https://schema.org","@type":"ItemList","name":"', day, 'のイベント","numberOfItems":', count(*), ',"itemListElement":[', string_agg(concat('{"@type":"ListItem","position":', nth, ',"item":', j, '}'), ',' ORDER BY nth), ']},{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"トップ","item":"https://v.jp/"},{"@type":"ListItem","position":2,"name":"日付一覧","item":"https://v.jp/date/"},{"@type":"ListItem","position":3,"name":"', day, '","item":"https://v.jp/date/', day, '/"}]}]') AS t FROM n GROUP BY day)
+      SELECT day, md5(replace(t, '<', '\u003c')) AS digest, length(replace(t, '<', '\u003c'))::INT AS n FROM g""",
+    "aligned_report": "WITH g AS (SELECT concat('items ', l_returnflag, ' ', l_linestatus) AS f, count(*)::VARCHAR AS i, count(DISTINCT l_orderkey)::VARCHAR AS o FROM lineitem GROUP BY 1), w AS (SELECT max(length(f)) AS a, greatest(max(length(i)), 5) AS b, greatest(max(length(o)), 6) AS c FROM g) SELECT 0 AS ord, concat(rpad('file', a::INT, ' '), ' | ', lpad('items', b::INT, ' '), ' | ', lpad('orders', c::INT, ' ')) AS line FROM w UNION ALL SELECT 1, concat(repeat('-', a), '-+-', repeat('-', b), '-+-', repeat('-', c)) FROM w UNION ALL SELECT 2, concat(rpad(f, a::INT, ' '), ' | ', lpad(i, b::INT, ' '), ' | ', lpad(o, c::INT, ' ')) FROM g, w",
+    "initial_pages": "SELECT upper(left(p_name, 1)) AS initial, count(*) AS n_venues, concat('<h1>', upper(left(p_name, 1)), '</h1><ul>', string_agg(concat('<li><a href=\"/spot/', p_partkey, '/\">', p_name, ' ', lpad(p_partkey::VARCHAR, 9, '0'), '</a></li>'), '' ORDER BY p_name, p_partkey), '</ul>') AS html FROM part GROUP BY 1",
+    "listed_spots": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('q', page_id) ELSE concat('s', page_id) END AS spot, DATE '2026-02-01' + (page_id % 31)::INT AS day FROM pages WHERE page_id % 5 > 1 AND page_id % 7 > 0",
     "published_parts": "SELECT o_orderpriority AS part, count(*) AS n, round(sum(CASE WHEN o_orderpriority LIKE '2%' THEN 0 ELSE o_totalprice END), 2) AS total, CASE WHEN o_orderpriority LIKE '2%' THEN 2 ELSE 1 END::BIGINT AS version, 1 AS written, 3 AS unchanged, 1 AS removed FROM orders WHERE o_orderpriority NOT LIKE '5%' GROUP BY 1",
     "enforced_gate": """WITH e AS (SELECT o_custkey AS venue, count(*) AS total, sum((o_orderkey % 40 = 0)::INT)::BIGINT AS mt, sum((o_orderkey % 25 = 0)::INT)::BIGINT AS md FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1),
       c AS (SELECT c_custkey AS venue, coalesce(total, 0) AS total, coalesce(mt, 0) AS missing_title, coalesce(md, 0) AS missing_date, coalesce(mt / total, 0) AS tr, coalesce(md / total, 0) AS dr FROM customer LEFT JOIN e ON venue = c_custkey),
