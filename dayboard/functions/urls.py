@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,23 +92,26 @@ def maps_link(lat: Column, lng: Column, name: Column) -> Column:
 
 
 def resolve(url: Column, base: Column) -> Column:
-    """Relative URLs against a base.  Absolute ones and those from the root need no Python; if every row is one of
-    these, use :func:`resolve_root`."""
-    from urllib.parse import urljoin
-
-    def join(u: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(y, x) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(u, b, strict=True)], dtype=object)
-
-    relative = F.when(resolve_root(url, base).isNull(), url)
-    return F.coalesce(resolve_root(url, base), F.pandas_udf(join, "string")(relative, base))
-
-
-def resolve_root(url: Column, base: Column) -> Column:
-    """URLs with a scheme, a host or a path from the root, against a base; null for all others."""
-    scheme = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*:)//", 1)
-    origin = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]+)", 1)
-    plain = ~url.rlike(r"/\.{1,2}(/|$)")
-    return F.when(url.rlike("^https?://"), url).when(plain & url.startswith("//"), F.concat(scheme, url)).when(plain & url.startswith("/"), F.concat(origin, url))
+    """Addresses against that of the page they stand on, which has a scheme and a host; null without either.
+
+    Addresses with a scheme stay as they are; an empty one is the page's own; what is relative loses its dots.
+    """
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    base_path, base_query = (F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)(\?[^#]+)?", i) for i in (1, 2))
+    path, query, fragment = (F.regexp_extract(url, r"^([^?#]*)(\?[^#]*)?(#.*)?$", i) for i in (1, 2, 3))
+    query, fragment = (F.when(F.length(x) > 1, x).otherwise("") for x in (query, fragment))
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(base_path, "[^/]*$", ""), "^/", ""))
+    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/")), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))  # noqa: E731  never above the root
+    walk = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    first = F.array(F.get(steps, 0))
+    walked = F.array_join(F.aggregate(F.slice(steps, 2, 1 << 30), first, walk), "/")
+    full = F.concat(walked, F.when((walked == "") | (path.rlike(r"(^|/)\.{1,2}$") & ~walked.endswith("/")), "/").otherwise(""))
+    same_page = F.concat(origin, base_path, F.coalesce(F.nullif(query, F.lit("")), base_query), fragment)
+    relative = F.when(path == "", same_page).otherwise(F.concat(origin, full, query, fragment))
+    joined = F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url == "", base).when(url.startswith("//"), F.concat(scheme, url)).otherwise(relative)
+    return F.when(base.isNotNull() & (url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (origin != "")), joined)
 
 
 def spot_id(url: Column) -> Column:
