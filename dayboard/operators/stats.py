@@ -69,6 +69,19 @@ def require_valid(events: DataFrame, ordinal: str, least: int = 1) -> DataFrame:
     return events
 
 
+def dated_rows(events: DataFrame, column: str = "date_from") -> int:
+    """How many rows have a first day."""
+    return events.agg(F.count_if(~is_blank(F.col(column).cast("string")))).first()[0]
+
+
+def require_dated(events: DataFrame, column: str = "date_from", least: int = 1) -> DataFrame:
+    """``events``, or an error if fewer than ``least`` of them have a first day, as when there are none at all."""
+    found = dated_rows(events, column)
+    if found < least:
+        raise InvalidEvents(f"{found} rows with a {column}, {least} wanted")
+    return events
+
+
 def conflict_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Lines that begin with a merge-conflict marker, with their numbers from 1."""
     lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))

@@ -89,17 +89,15 @@ def month_overlap(spark, sf):
 def published_semi(spark, sf):
     from ..operators.joins import published
 
-    wanted = order_events(spark, sf).where("o_orderstatus = 'O'").select(F.col("date_from").alias("day")).distinct()
-    existing = order_events(spark, sf).where("o_orderstatus = 'F'").select(F.col("date_from").alias("day")).distinct()
-    return published(wanted, existing, "day")
+    days = order_events(spark, sf).select(F.col("date_from").alias("day"), (F.col("o_orderstatus") == "O").alias("open"))
+    return published(days.where("open").select("day").distinct(), days.where("not open").select("day").distinct(), "day")
 
 
 def stale_anti(spark, sf):
     from ..operators.joins import stale
 
-    existing = order_events(spark, sf).where("o_orderpriority = '1-URGENT'").select(F.col("date_from").alias("day")).distinct()
-    active = order_events(spark, sf).where("o_orderpriority = '5-LOW'").select(F.col("date_from").alias("day")).distinct()
-    return stale(existing, active, "day")
+    o = order_events(spark, sf).select("o_custkey", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").alias("urgent"))
+    return stale(o.where("urgent").select("o_custkey").distinct(), o.where("not urgent").select("o_custkey").distinct(), "o_custkey")
 
 
 def weekend_flag(spark, sf):
@@ -172,8 +170,8 @@ SQL = {
     "bucket_top20": ORDERS + f", b AS (SELECT *, {_BUCKET} AS bucket FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN bucket = 'past' THEN DATE '1970-01-01' - date_from ELSE date_from - DATE '1970-01-01' END, o_orderkey) AS position FROM b) SELECT bucket, position::INT AS position, o_orderkey, date_from FROM r WHERE position <= 20",
     "month_window": ORDERS + " SELECT date_trunc('month', date_from)::DATE AS month, count(*) AS n FROM ev WHERE date_from >= DATE '1998-06-01' AND date_from < DATE '1999-01-01' GROUP BY 1",
     "month_overlap": ORDERS + ", m AS (SELECT DISTINCT date_trunc('month', date_from)::DATE AS month FROM ev) SELECT month FROM m WHERE month <= DATE '1998-06-15' + 90 AND last_day(month) >= DATE '1998-06-15' - 90",
-    "published_semi": ORDERS + " SELECT DISTINCT date_from AS day FROM ev WHERE o_orderstatus = 'O' AND date_from IN (SELECT date_from FROM ev WHERE o_orderstatus = 'F')",
-    "stale_anti": ORDERS + " SELECT DISTINCT date_from AS day FROM ev e WHERE o_orderpriority = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM ev f WHERE f.o_orderpriority = '5-LOW' AND f.date_from = e.date_from)",
+    "published_semi": ORDERS + " SELECT DISTINCT date_from AS day FROM ev WHERE o_orderstatus = 'O' AND date_from IN (SELECT date_from FROM ev WHERE o_orderstatus <> 'O')",
+    "stale_anti": ORDERS + " SELECT DISTINCT o_custkey FROM ev e WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND NOT EXISTS (SELECT 1 FROM ev f WHERE f.o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND f.o_custkey = e.o_custkey)",
     "weekend_flag": ORDERS + " SELECT o_orderkey, len(list_filter(generate_series(date_from, date_from + (o_orderkey % 4)::INT, INTERVAL 1 DAY), lambda d: dayofweek(d) IN (0, 6))) > 0 AS weekend FROM ev",
     "weekday_label": ORDERS + f" SELECT DISTINCT date_from AS day, {_WEEKDAY} AS weekday, concat(strftime(date_from, '%Y年%m月%d日'), '（', {_WEEKDAY}, '）') AS label FROM ev",
     "range_label": ORDERS + " SELECT o_orderkey, CASE WHEN date_from = date_to THEN strftime(date_from, '%Y-%m-%d') ELSE concat(strftime(date_from, '%Y-%m-%d'), '〜', strftime(date_to, '%Y-%m-%d')) END AS label FROM ev",

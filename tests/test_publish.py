@@ -8,11 +8,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dayboard.operators import checks, render
+from dayboard.operators import checks, render, stats
 from dayboard.operators.events import expand_days, publish_window, sane_range
 from dayboard.operators.stats import InvalidEvents
 from dayboard.plans import upkeep
 from dayboard.sources import publish as P
+from dayboard.sources import readers, writers
 
 DAY = dt.date(2026, 6, 13)
 
@@ -159,3 +160,25 @@ def test_upkeep_reads_touched_days_only(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
     done = upkeep.refresh_days(days, upkeep.event_changes(df, df.where("ord <> 7"), "ord"), "ord", DAY)
     assert sorted((r.day - DAY).days for r in done.touched.collect()) == [6, 7, 8]
+
+
+def test_dated_rows_are_counted(spark):
+    rows = spark.createDataFrame([("a", None), ("b", " "), ("c", "2026-01-01")], "title string, date_from string")
+    assert stats.dated_rows(rows) == 1 and stats.require_dated(rows) is rows
+    for bad, least in ((rows.where("title <> 'c'"), 1), (rows.limit(0), 1), (rows, 2)):
+        with pytest.raises(InvalidEvents, match="date_from"):
+            stats.require_dated(bad, least=least)
+
+
+def test_venues_with_an_id_and_a_name(spark, tmp_path):
+    (tmp_path / "spots.json").write_text(json.dumps([{"spot_id": "a", "name": "A", "lat": 34.0}, {"spot_id": "", "name": "B"}, {"spot_id": "c", "name": None}, {"name": "D"}, {"spot_id": "e", "name": "E", "extra": 1}]))
+    got = readers.spots(spark, str(tmp_path / "spots.json"))
+    assert sorted((r.spot_id, r.lat) for r in got.collect()) == [("a", 34.0), ("e", None)]
+    (tmp_path / "none.json").write_text("[]")
+    assert readers.spots(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_a_large_group_is_one_document(spark):
+    events = spark.range(60_000).select(F.lit("v").alias("venue_id"), F.lit("V").alias("venue_name"), F.col("id").alias("ord"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"))
+    doc = json.loads(writers.venue_outputs(events.repartition(8), DAY, "ord").first().json)
+    assert [e["title"] for e in doc["events"]] == [f"title {k}" for k in range(60_000)]
