@@ -4,7 +4,7 @@ Lines that start with ``>`` are quoted, as deep as they have such signs.  A run
 passage.  Passages and, for partial quotes, their single lines are normalised and hashed; so are the bodies,
 paragraphs and lines that messages say themselves.  A quote is joined to the earliest message of its conversation
 that says it, which is one row per hash however often it is said.  A message answers the latest original of its
-shallowest linked quote; the path of these answers orders a conversation by replies.
+shallowest linked quote; the trees of these answers order a conversation by replies.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dayboard.operators.ordering import positions
+
 from .storage import Stash
 
 _QUOTED = r"^\s*>"
@@ -28,14 +30,6 @@ def _own(text: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\s+|\s+$", "")
 
 
-def _place(turn: Column) -> Column:
-    """A turn as text that sorts like the number: ten digits, longer ones after a letter for their length, negative
-    ones before all."""
-    digits = F.abs(turn).cast("string")
-    wide = F.when(F.length(digits) > 10, F.concat(F.chr(F.lit(86) + F.length(digits)), digits)).otherwise(F.lpad(digits, 10, "0"))
-    return F.when(turn < 0, F.concat(F.lit("-"), F.lpad((turn + F.lit(1 << 62)).cast("string"), 19, "0"))).otherwise(wide)
-
-
 def _key(conv: str, hashed: Column) -> list[Column]:
     return [F.col(conv), hashed.alias("hash")]
 
@@ -54,17 +48,48 @@ def quoted_passages(messages: DataFrame) -> DataFrame:
     return runs.select("conv", "turn", F.struct("digest", "run").alias("passage"), "level", F.col("lines.body").alias("lines"))
 
 
-def _turn(place: Column) -> Column:
-    return F.when(place.startswith("-"), F.substr(place, F.lit(2)).cast("long") - F.lit(1 << 62)).otherwise(F.regexp_replace(place, "^[a-z]", "").cast("long"))
+def reply_places(links: DataFrame, stash: Stash) -> DataFrame:
+    """``(conv, turn, root, depth, place)`` of every message that answers or is answered, from ``links(conv, turn, parent)``:
+    its place, from 0, when its tree is read with each message right after what it answers and the earlier answers there.
+
+    A walk round each tree enters and leaves every message once; which step follows which is known from first answers
+    and next ones.  Ranking that list by jumping over twice as many steps each round gives all three numbers, so a row
+    stays of one size however long a chain of answers is, and a chain of n takes about log n rounds.
+    """
+    children = stash.put(links.where("parent is not null").select("conv", "turn", "parent"))
+    nodes = children.select("conv", "turn").unionByName(children.select("conv", F.col("parent").alias("turn"))).distinct()
+    first = children.groupBy("conv", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    nth = positions(children, ["turn"], ["conv", "parent"])
+    after = nth.select("conv", "parent", F.col("turn").alias("sibling"), (F.col("position") - 1).alias("position"))
+    tree = nodes.join(first, ["conv", "turn"], "left").join(nth.join(after, ["conv", "parent", "position"], "left").select("conv", "turn", "parent", "sibling"), ["conv", "turn"], "left")
+    there = lambda turn, leave: F.struct(F.col(turn).alias("turn"), F.lit(leave).alias("leave"))
+    enter = F.struct(F.lit(False).alias("leave"), F.coalesce(F.when(F.col("child").isNotNull(), there("child", False)), there("turn", True)).alias("next"))
+    leave = F.struct(F.lit(True).alias("leave"), F.coalesce(F.when(F.col("sibling").isNotNull(), there("sibling", False)), F.when(F.col("parent").isNotNull(), there("parent", True))).alias("next"))
+    steps = tree.select("conv", "turn", F.explode(F.array(enter, leave)).alias("s")).select("conv", "turn", "s.leave", "s.next")
+    # from a step up to the one that it points at: messages entered, and how much deeper it leads
+    up = F.when(F.col("leave"), -1).otherwise(1).cast("long")
+    steps = stash.put(steps.select("conv", "turn", "leave", F.col("next.turn").alias("to"), F.col("next.leave").alias("to_leave"), F.greatest(up, F.lit(0)).alias("entered"), up.alias("deeper"), F.when(F.col("next").isNull(), F.col("turn")).alias("root")))
+    while not steps.where("to is not null").isEmpty():
+        ahead = steps.select("conv", F.col("turn").alias("to"), F.col("leave").alias("to_leave"), F.col("to").alias("far"), F.col("to_leave").alias("far_leave"), F.col("entered").alias("more"), F.col("deeper").alias("more_deep"), F.col("root").alias("last"))
+        both = steps.where("to is not null").join(ahead, ["conv", "to", "to_leave"])
+        moved = both.select("conv", "turn", "leave", F.col("far").alias("to"), F.col("far_leave").alias("to_leave"), (F.col("entered") + F.col("more")).alias("entered"), (F.col("deeper") + F.col("more_deep")).alias("deeper"), F.col("last").alias("root"))
+        done = steps.where("to is null")
+        after_round = stash.put(moved.unionByName(done.select(moved.columns)))
+        stash.drop(steps)
+        steps = after_round
+    entered = steps.where("not leave").select("conv", "turn", "root", "entered", (-F.col("deeper")).alias("depth"))
+    sizes = entered.where("turn = root").select("conv", "root", F.col("entered").alias("size"))
+    return entered.join(sizes, ["conv", "root"]).select("conv", "turn", "root", "depth", (F.col("size") - F.col("entered")).alias("place"))
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
     """``messages`` with ``reply``: a struct of the text without quotes, the counts of quoted passages and of those
-    that were linked, the turn answered, the depth and root of the answer path, and the path as a string that sorts
-    a conversation in reply order (each message right after what it answers and its earlier answers).
+    that were linked, the turn answered, the root that answers lead up to, the depth below it, and the place in the
+    root's tree of answers; root and place sort a conversation in reply order (each message right after what it answers
+    and its earlier answers).
 
     Messages that link to nothing are roots.  Null texts have null text and no quotes; a null conversation or turn
-    links to nothing and has a null path.  Rows that repeat a turn are told apart by nothing and share their links.
+    links to nothing and has neither root, depth nor place.  Rows that repeat a turn are told apart by nothing and share their links.
     An existing column ``reply`` is replaced; columns of other names do not matter.
     """
     stash = Stash(messages.sparkSession, "chat")
@@ -84,31 +109,22 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     best = F.max(F.when(F.col("original").isNotNull(), F.struct((-F.col("level")).alias("depth"), F.col("original")))).getField("original")
     links = stash.put(linked.groupBy("conv", "turn").agg(F.count("*").alias("n_quotes"), F.count("original").alias("n_linked"), best.alias("parent")))
 
-    # the path to the root, doubled in length by each round
-    step = _place(F.col("turn"))
-    paths = stash.put(links.where("parent is not null").select("conv", "turn", F.col("parent").alias("up"), step.alias("path")))
-    while not paths.where("up is not null").isEmpty():
-        above = paths.select("conv", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        longer = paths.join(above, ["conv", "up"], "left")
-        # what answers nothing ends the path
-        head = F.coalesce("head", _place(F.col("up")))
-        paths = stash.put(longer.select("conv", "turn", F.col("next").alias("up"), F.when(F.col("up").isNotNull(), F.concat_ws("/", head, "path")).otherwise(F.col("path")).alias("path")))
-
-    found = links.join(paths.select("conv", "turn", "path"), ["conv", "turn"], "left").select(F.col("conv").alias("_link_conv"), F.col("turn").alias("_link_turn"), F.struct("n_quotes", "n_linked", "parent", "path").alias("_link"))
+    placed = stash.put(reply_places(links, stash))
+    found = links.join(placed, ["conv", "turn"], "full").select(F.col("conv").alias("_link_conv"), F.col("turn").alias("_link_turn"), F.struct("n_quotes", "n_linked", "parent", "root", "depth", "place").alias("_link"))
     joined = messages.join(found, (messages[conv_col] == found["_link_conv"]) & (messages[turn_col] == found["_link_turn"]), "left")
-    path = F.coalesce("_link.path", F.when(messages[conv_col].isNotNull(), _place(messages[turn_col])))
+    known = messages[conv_col].isNotNull() & messages[turn_col].isNotNull()
     reply = F.struct(
         _own(messages[text_col]).alias("text"),
         F.coalesce("_link.n_quotes", F.lit(0)).cast("long").alias("n_quotes"),
         F.coalesce("_link.n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("_link.parent").cast("long").alias("parent_turn"),
-        (F.size(F.split(path, "/")) - 1).cast("long").alias("depth"),
-        _turn(F.split(path, "/")[0]).alias("root_turn"),
-        path.alias("path"),
+        F.when(known, F.coalesce("_link.depth", F.lit(0))).cast("long").alias("depth"),
+        F.when(known, F.coalesce("_link.root", messages[turn_col])).cast("long").alias("root_turn"),
+        F.when(known, F.coalesce("_link.place", F.lit(0))).cast("long").alias("place"),
     )
     return joined.withColumn("reply", reply).drop("_link_conv", "_link_turn", "_link")
 
 
 def reply_order(linked: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """The messages sorted by conversation and answer path; large conversations spread over several tasks."""
-    return linked.orderBy(conv_col, "reply.path")
+    """The messages sorted by conversation, root and place; large conversations spread over several tasks."""
+    return linked.orderBy(conv_col, "reply.root_turn", "reply.place")

@@ -74,8 +74,21 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = chat.link_quotes(table(spark, sf_dir, "conversations"))
-    return linked.select("conv_id", "turn", "role", "reply.text", "reply.n_quotes", "reply.n_linked", "reply.parent_turn", "reply.depth", "reply.root_turn", F.col("reply.path").alias("reply_path"))
+    return _linked(table(spark, sf_dir, "conversations"))
+
+
+def quoted_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for conversations in which every message quotes the two before it, as replies by mail do."""
+    c = table(spark, sf_dir, "conversations")
+    said = c.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    back = lambda n, name: said.select("conv_id", (F.col("turn") + n).alias("turn"), F.concat(F.lit(">" * n + " "), F.replace("said", F.lit("\n"), F.lit("\n" + ">" * n + " "))).alias(name))
+    both = c.join(back(2, "two"), ["conv_id", "turn"], "left").join(back(1, "one"), ["conv_id", "turn"], "left")
+    return _linked(both.select("conv_id", "turn", "role", F.concat_ws("\n", "two", "one", "text").alias("text")))
+
+
+def _linked(conversations: DataFrame) -> DataFrame:
+    linked = chat.link_quotes(conversations)
+    return linked.select("conv_id", "turn", "role", "reply.text", "reply.n_quotes", "reply.n_linked", "reply.parent_turn", "reply.depth", "reply.root_turn", "reply.place")
 
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +145,21 @@ links AS (SELECT conv_id, turn, count(*) AS n_quotes, count(original) AS n_linke
 parents AS (SELECT conv_id, turn, n_quotes, n_linked, best.o AS parent FROM links),
 walk AS (SELECT conv_id, turn, parent AS up, lpad(turn::VARCHAR, 10, '0') AS path FROM parents WHERE parent IS NOT NULL
   UNION ALL SELECT w.conv_id, w.turn, p.parent, concat(lpad(w.up::VARCHAR, 10, '0'), '/', w.path) FROM walk w LEFT JOIN parents p ON p.conv_id = w.conv_id AND p.turn = w.up WHERE w.up IS NOT NULL),
-paths AS (SELECT conv_id, turn, path FROM walk WHERE up IS NULL)
+paths AS (SELECT conv_id, turn, path, string_split(path, '/')[1]::BIGINT AS root, len(string_split(path, '/')) - 1 AS depth FROM walk WHERE up IS NULL),
+nodes AS (SELECT * FROM paths UNION SELECT DISTINCT conv_id, root, lpad(root::VARCHAR, 10, '0'), root, 0 FROM paths),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, root ORDER BY path) - 1 AS place FROM nodes)
 SELECT m.conv_id, m.turn, m.role, CASE WHEN m.text IS NULL THEN NULL WHEN o.text IS NOT NULL THEN o.text ELSE m.text END AS text, coalesce(p.n_quotes, 0)::BIGINT AS n_quotes, coalesce(p.n_linked, 0)::BIGINT AS n_linked, p.parent AS parent_turn,
-  (len(string_split(coalesce(w.path, lpad(m.turn::VARCHAR, 10, '0')), '/')) - 1)::BIGINT AS depth, string_split(coalesce(w.path, lpad(m.turn::VARCHAR, 10, '0')), '/')[1]::BIGINT AS root_turn, coalesce(w.path, lpad(m.turn::VARCHAR, 10, '0')) AS reply_path
-FROM m LEFT JOIN own o USING (conv_id, turn, digest) LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN paths w USING (conv_id, turn)
+  CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(w.depth, 0) END::BIGINT AS depth, CASE WHEN m.conv_id IS NOT NULL THEN coalesce(w.root, m.turn) END::BIGINT AS root_turn, CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(w.place, 0) END::BIGINT AS place
+FROM m LEFT JOIN own o USING (conv_id, turn, digest) LEFT JOIN parents p USING (conv_id, turn) LEFT JOIN placed w USING (conv_id, turn)
 """
 
+QUOTED_SQL = OP2_SQL.replace(
+    "WITH RECURSIVE m AS",
+    """WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY ALL),
+mail AS (SELECT c.conv_id, c.turn, c.role, concat_ws(chr(10), '>> ' || replace(b.said, chr(10), chr(10) || '>> '), '> ' || replace(a.said, chr(10), chr(10) || '> '), c.text) AS text FROM conversations c LEFT JOIN said b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 LEFT JOIN said a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1),
+m AS""",
+).replace("FROM conversations)", "FROM mail)").replace("said AS (SELECT conv_id, turn, text AS u", "spoken AS (SELECT conv_id, turn, text AS u").replace("original FROM said GROUP", "original FROM spoken GROUP")
+
 OP1_SQL = r"""
 WITH parts AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+[ \t]*\n?|\n)|[^.!?\n]+') AS us FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 a AS (SELECT doc_id, unnest(us) AS u, generate_subscripts(us, 1) AS k FROM parts),
@@ -196,6 +218,7 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <=
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quotation_linking": op2_quotation_linking,
+    "quoted_conversations": quoted_conversations,
     "op3_chroma_fingerprints": op3_chroma_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
@@ -208,4 +231,4 @@ QUERIES = {
     "op12_fingerprints": op12_fingerprints,
     "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op13_lexical_search": OP13_SQL}
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_quotation_linking": OP2_SQL, "quoted_conversations": QUOTED_SQL, "op11_spelling_variants": OP11_SQL, "op13_lexical_search": OP13_SQL}

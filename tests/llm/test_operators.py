@@ -556,8 +556,8 @@ def test_quotes_are_linked(spark):
     assert [got[1, t].parent_turn for t in range(5)] == [None, 0, 1, 0, None]
     assert [got[1, t].text for t in range(1, 5)] == ["Fine.", "Good!", "Yes", "no"]
     assert [r.turn for r in out if r.conv_id == 1] == [0, 1, 2, 3, 4]
-    assert got[1, 2].path == "0000000000/0000000001/0000000002" and got[1, 2].n_quotes == 2
-    assert got[2, 0].text is None and got[None, 1].text == "y" and got[None, 1].path is None
+    assert (got[1, 2].root_turn, got[1, 2].depth, got[1, 2].place) == (0, 2, 2) and got[1, 2].n_quotes == 2
+    assert got[2, 0].text is None and got[None, 1].text == "y" and got[None, 1].place is None and got[None, 1].depth is None
 
 
 def test_long_and_negative_turns_sort_as_numbers(spark):
