@@ -47,9 +47,9 @@ def suggestions(df: DataFrame, name: str, keyword: str, ordinal: str, most: int
 
 def linked_card(cards: DataFrame, title: str, venue: str, asked: str, place: str, ordinal: str) -> DataFrame:
     """The card that a link means: the first whose title is the one asked for and whose venue, if one is asked for, is
-    that; white space does not count beyond a single space.  None or one row."""
+    that; white space does not count beyond a single space.  None or one row; none if no title is asked for."""
     wanted, where = (" ".join((x or "").split()) for x in (asked, place))
-    same = normalize_space(F.coalesce(F.col(title), F.lit(""))) == wanted
+    same = (normalize_space(F.coalesce(F.col(title), F.lit(""))) == wanted) & F.lit(wanted != "")
     return cards.where(same & (F.lit(where == "") | (normalize_space(F.coalesce(F.col(venue), F.lit(""))) == where))).orderBy(ordinal).limit(1)
 
 

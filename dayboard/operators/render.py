@@ -84,7 +84,7 @@ def day_documents(days: DataFrame, as_of: dt.date, all_days: DataFrame | None =
     return pages.select("day", "n_events", "noindex", html.alias("html"))
 
 
-#: Marks on the front page between which the links to days stand.
+# Marks on the front page between which the links to days stand.
 NAV_START, NAV_END = "<!-- DATE_NAV_START -->", "<!-- DATE_NAV_END -->"
 
 

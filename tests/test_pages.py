@@ -59,7 +59,7 @@ def test_index_and_name_pages(spark):
 def test_linked_card(spark):
     cards = spark.createDataFrame([(3, "劇", "大"), (1, " 劇 ", "小"), (2, "劇\n", "大"), (4, None, None)], "ord int, title string, venue string")
     found = lambda t, v: [r.ord for r in ranking.linked_card(cards, "title", "venue", t, v, "ord").collect()]
-    assert found("劇", "") == [1] and found(" 劇", "大 ") == [2] and found("劇", "中") == [] and found("x", None) == [] and found("劇", None) == [1]
+    assert found("劇", "") == [1] and found(" 劇", "大 ") == [2] and found("劇", "中") == [] and found("x", None) == [] and found(" ", "") == [] and found("劇", None) == [1]
 
 
 @pytest.mark.parametrize("url,want", [("https://v.jp/spot/a-1/", "a-1"), ("/spot/b", "b"), ("https://v.jp/spot/?spot_id=c%20d", "c d"), ("https://v.jp/spot/a/?x=1&spot_id=e#f", "e"), ("https://v.jp/spot/", ""), ("https://v.jp/x/spot/a/", ""), ("https://v.jp/spot/a?spot_id=", "a"), ("", "")])
