@@ -58,36 +58,66 @@ def listing(pages: DataFrame, as_of: dt.date) -> DataFrame:
     return _events(rows, source_url=urls.resolve(F.col("href"), F.col("url")), title=F.col("t"), date_from=dates.single_date(F.col("t"))).where("source_url is not null")
 
 
+def _with(rows: DataFrame, tree: DataFrame, lines: str | None = None, **fields: tuple[str, str]) -> DataFrame:
+    """Elements ``(url, node, last)`` with the text of the first element of each tag and class inside them, null without;
+    with ``href``, the address of their first link; and, if a tag is named for ``lines``, all texts of its elements.
+
+    Whatever is asked for is selected at once and led to its outer element in one pass.
+    """
+    linked = lambda x: (x["tag"] == "a") & dom.attr(x["attrs"], "href").isNotNull()
+    wanted = {name: (lambda x, tag=tag, cls=cls: (x["tag"] == tag) & dom.has_class(x["attrs"], cls)) for name, (tag, cls) in fields.items()}
+
+    def any_of(x: Column) -> Column:
+        out = linked(x)
+        for w in wanted.values():
+            out = out | w(x)
+        return out if lines is None else out | (x["tag"] == lines)
+
+    inner = dom.select(tree, where=any_of)
+    e = {c: F.col(c) for c in ("tag", "attrs")}
+    first = lambda value, ok: F.min_by(F.when(ok, value), F.when(ok, F.col("node")))
+    found = dom.closest(inner, rows.select("url", "node", "last"), "outer").where("outer is not null").groupBy("url", F.col("outer").alias("at"))
+    aggs = [F.nullif(text.normalize_space(first(F.col("text"), w(e))), F.lit("")).alias(name) for name, w in wanted.items()]
+    aggs.append(first(dom.attr(F.col("attrs"), "href"), linked(e)).alias("href"))
+    if lines is not None:
+        aggs.append(F.array_join(F.array_sort(F.collect_list(F.when(F.col("tag") == lines, F.struct("node", "text"))))["text"], " ").alias("lines"))
+    return rows.join(found.agg(*aggs).withColumnRenamed("at", "node"), ["url", "node"], "left")
+
+
 def cards(pages: DataFrame, as_of: dt.date) -> DataFrame:
     """Cards with name, date, times from opening to end, place and price."""
-    rows = pages.select("url", F.explode(_parts(F.col("html"), r"""(?is)<div class="event-wrap[^">]*">(.*?)<div class="event-info2">""")).alias("c"))
-    c = F.col("c")
-    field = lambda tag, name: _plain(text.first_capture(c, rf'(?is)<{tag} class="{name}">(.*?)</{tag}>'))
-    times = field("p", "event-time")
-    span = extract.time_range(times)
+    tree = keep(dom.trees(pages), "trees")
+    rows = _with(dom.select(tree, cls="event-wrap").select("url", "node", "last"), tree, "p", title=("p", "event-name"), times=("p", "event-time"), price=("div", "event-info1"), place=("span", "event-place1"))
+    span = extract.time_range(F.col("times"))
     return _events(
         rows,
-        source_url=urls.resolve(text.first_capture(c, r'(?i)<a href="([^"]+)"'), F.col("url")),
-        title=field("p", "event-name"),
-        date_from=_date(c, as_of),
-        open_time=text.first_capture(times, r"(\d{1,2}:\d{2})\s*開場"),
+        source_url=urls.resolve(F.col("href"), F.col("url")),
+        title=F.col("title"),
+        date_from=_date(F.col("lines"), as_of),
+        open_time=text.first_capture(F.col("times"), r"(\d{1,2}:\d{2})\s*開場"),
         start_time=span["start"],
         end_time=span["end"],
-        price=field("div", "event-info1"),
-        venue_name=field("span", "event-place1"),
+        price=F.coalesce("price", F.lit("")),
+        venue_name=F.coalesce("place", F.lit("")),
     ).where("source_url is not null")
 
 
 def boxes(pages: DataFrame, as_of: dt.date) -> DataFrame:
     """Boxes with a heading and a list of terms: days from and to, opening hours, who may come and where."""
-    page = text.decode_entities(F.col("html"))
-    rows = pages.select("url", F.explode(F.slice(F.split(page, r"(?i)<div class=\"box\"[^>]*>"), 2, 1 << 30)).alias("c"))
-    term = lambda label: _cell(F.col("c"), label, "dt", "dd")
-    sides = F.split(F.translate(term("開催日"), "０１２３４５６７８９", "0123456789"), _RANGE)
-    hours = F.regexp_extract(text.half_width(term("営業時間")), r"(\d{1,2}:\d{2})", 1)
+    tree = keep(dom.trees(pages), "trees")
+    rows = _with(dom.select(tree, "div", "box").select("url", "node", "last"), tree, title=("div", "mid"))
+    says = dom.select(tree, "dd")
+    terms = dom.closest(dom.next_sibling(dom.select(tree, "dt"), says, "dd"), rows.select("url", "node", "last"), "box")
+    terms = terms.select("url", F.col("box").alias("node"), F.col("node").alias("at"), F.col("text").alias("label"), "dd").where("node is not null")
+    terms = terms.join(says.select("url", F.col("node").alias("dd"), F.nullif(text.normalize_space(F.col("text")), F.lit("")).alias("value")), ["url", "dd"])
+    named = {"when": "開催日", "hours": "営業時間", "who": "対象", "place": "会場場所"}
+    found = terms.groupBy("url", "node").agg(*(F.min_by(F.when(F.col("label").contains(label), F.col("value")), F.when(F.col("label").contains(label), F.col("at"))).alias(name) for name, label in named.items()))
+    rows = rows.join(found, ["url", "node"])
+    sides = F.split(F.translate("when", "０１２３４５６７８９", "0123456789"), _RANGE)
+    hours = F.regexp_extract(text.half_width(F.col("hours")), r"(\d{1,2}:\d{2})", 1)
     first, last = _date(F.get(sides, 0), as_of), _date(F.get(sides, 1), as_of)
-    body = F.concat(F.lit("対象: "), F.coalesce(term("対象"), F.lit("制限なし")), F.lit("\n会場: "), F.coalesce(term("会場場所"), F.lit("不明")))
-    return _events(rows, source_url=F.col("url"), title=_plain(text.first_capture(F.col("c"), r'(?is)<div class="mid">(.*?)</div>')), date_from=first, date_to=last, start_time=dates.clock(hours), body=body)
+    body = F.concat(F.lit("対象: "), F.coalesce("who", F.lit("制限なし")), F.lit("\n会場: "), F.coalesce("place", F.lit("不明")))
+    return _events(rows, source_url=F.col("url"), title=F.col("title"), date_from=first, date_to=last, start_time=dates.clock(hours), body=body)
 
 
 def labelled_blocks(pages: DataFrame, label: str = r"と\s*き\s*:", furniture: str = "近日開催|イベント情報|ホーム|施設概要") -> DataFrame:

@@ -190,6 +190,13 @@ def inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     return closest(inner, outer, "_outer").where("_outer is not null").drop("_outer")
 
 
+def first_of(inner: DataFrame, outer: DataFrame, column: str, name: str) -> DataFrame:
+    """``(url, node, name)``: of each element of ``outer`` that is the innermost around any of ``inner``, the column's value in
+    the first of these."""
+    found = closest(inner, outer.select("url", "node", "last"), "_outer").where("_outer is not null")
+    return found.groupBy("url", F.col("_outer").alias("_node")).agg(F.min_by(column, "node").alias(name)).withColumnRenamed("_node", "node")
+
+
 def children(inner: DataFrame, outer: DataFrame, name: str = "of") -> DataFrame:
     """Elements of ``inner`` whose parent is one of ``outer``, with the parent's number."""
     return inner.join(outer.select("url", F.col("node").alias("parent"), F.col("node").alias(name)), ["url", "parent"]).select(*inner.columns, name)

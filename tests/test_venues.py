@@ -39,6 +39,15 @@ def test_boxes(spark):
     assert got(V.boxes(p, DAY), "title", "date_from", "date_to", "start_time", "body") == [("市 場", "2026-12-01", "2026-12-03", "10:30", "対象: 制限なし\n会場: 不明")]
 
 
+def test_cards_and_boxes_hold_nested_elements(spark):
+    card = "<section class='x event-wrap'><div><div class='wrap'><a title='none'>n</a><a href=/e/1><img></a></div></div><p class='event-name'>A<div>not the name</div><p class='event-time big'>10:00～12:00<div class='event-info1'><div>500円</div>（税込）</div><p>2026/12/3</section>"
+    p = pages(spark, ("https://v.jp/", f"<!-- {card} -->{card}<div class='event-wrap'><p class=event-name>B<p>2026/12/4</div>"))
+    assert got(V.cards(p, DAY), "source_url", "title", "date_from", "start_time", "price") == [("https://v.jp/e/1", "A", "2026-12-03", "10:00", "500円 （税込）".replace(" ", ""))]
+    box = "<div id=1 class='box wide'><div><div class='mid'><div>市</div>場</div><dl><dt><b>開催日</b></dt><dd><div>2026年12月1日</div>～<div>2026年12月3日</div></dd><dt>対象<dd>子</dl></div></div>"
+    p = pages(spark, ("https://v.jp/", box + "<div class=boxes><div class=mid>no</div></div>"))
+    assert got(V.boxes(p, DAY), "title", "date_from", "date_to", "body") == [("市場", "2026-12-01", "2026-12-03", "対象: 子\n会場: 不明")]
+
+
 def test_labelled_blocks(spark):
     p = pages(spark, ("https://v.jp/", "ホーム<br>春の会​<br>と き : 2026年 3月 1日 開演 9：05<br>一般 1,200円<br>秋の会<br>とき: 2026年10月2日<br>"))
     assert got(V.labelled_blocks(p), "title", "date_from", "start_time", "price") == [("春の会", "2026-03-01", "09:05", "一般 1,200円"), ("秋の会", "2026-10-02", None, None)]
