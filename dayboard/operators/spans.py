@@ -25,10 +25,18 @@ def match_spans(df: DataFrame, keys: list[str], text: str, pattern: str) -> Data
 
 def contexts(df: DataFrame, keys: list[str], text: str, pattern: str, before: int, after: int, where=None) -> DataFrame:
     """``(keys, n, match, context)``: matches with so many signs before their start and after their end, as far as there
-    are any.  ``where`` may filter the matches by their columns before contexts are cut out."""
-    found = match_spans(df, keys, text, pattern)
+    are any.  ``where`` may filter the matches by the columns of :func:`match_spans` before contexts are cut out.
+
+    Offsets are running sums inside a text's row: no text is joined, broadcast or shuffled.
+    """
+    add = lambda done, p: F.array_append(done, F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + F.length(p))
+    cut = df.select(*keys, F.col(text).alias("_text"), alternate(F.col(text), pattern).alias("_p"))
+    cut = cut.select("*", F.aggregate("_p", F.array().cast("array<int>"), add).alias("_e"))
+    piece = lambda p, i: F.struct(i.alias("k"), p.alias("match"), F.get("_e", i).alias("end"), F.get("_p", i - 1).alias("before"), F.get("_p", i + 1).alias("after"))
+    found = cut.select(*keys, "_text", F.explode(F.filter(F.transform("_p", piece), lambda x: x["k"] % 2 == 1)).alias("_m"))
+    found = found.select(*keys, "_text", F.floor(F.col("_m.k") / 2).cast("int").alias("n"), (F.col("_m.end") - F.length("_m.match")).alias("start"), *(f"_m.{c}" for c in ("end", "match", "before", "after")))
     found = found.where(where) if where is not None else found
     first = F.greatest(F.col("start") - before, F.lit(0))
-    rows = found.select(*keys, "n", "match", first.alias("_a"), (F.col("end") + after - first).alias("_n")).join(df.select(*keys, F.col(text).alias("_text")), keys)
+    rows = found.select(*keys, "n", "match", "_text", first.alias("_a"), (F.col("end") + after - first).alias("_n"))
     # as a generated row, so that what reads the context does not cut it out once more each time
     return rows.select(F.inline(F.array(F.struct(*keys, "n", "match", F.expr("substring(_text, _a + 1, _n)").alias("context")))))
