@@ -87,9 +87,10 @@ def month_overlaps(month_start: Column, first: dt.date, last: dt.date) -> Column
     return (month_start <= F.lit(last)) & (F.last_day(month_start) >= F.lit(first))
 
 
-def within_days(d: Column, as_of: dt.date, days: int = 365) -> Column:
-    """Later than so many days ago and no later than so many days ahead."""
-    return (d > F.lit(as_of - dt.timedelta(days))) & (d <= F.lit(as_of + dt.timedelta(days)))
+def within_days(d: Column, as_of: dt.date, days: int = 365, *, oldest: bool = False) -> Column:
+    """Later than so many days ago and no later than so many days ahead; with ``oldest`` the first of these days counts too."""
+    first = as_of - dt.timedelta(days)
+    return ((d >= F.lit(first)) if oldest else (d > F.lit(first))) & (d <= F.lit(as_of + dt.timedelta(days)))
 
 
 def with_required(events: DataFrame, *columns: str) -> DataFrame:

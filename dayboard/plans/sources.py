@@ -259,7 +259,7 @@ def described_posts(lists: DataFrame, details: DataFrame, as_of: dt.date, days:
     span = extract.implied_end_range_of_list(dates.normalize_date_text(F.coalesce(_or_null(term("イベント開催期間")), term("開催期間"))))
     hours = F.regexp_extract_all(text.half_width(term("時間")), F.lit(r"(\d{1,2}:\d{2})"), F.lit(1))
     rows = rows.select("url", "html", span.alias("span"), _plain(text.first_capture(F.col("html"), r'(?is)<h3 class="h3_title01[^"]*">(.*?)</h3>')).alias("title"), dates.clock(F.get(hours, 0)).alias("start"), dates.clock(F.when(F.size(hours) > 1, F.get(hours, F.size(hours) - 1))).alias("end"), _or_null(term("入場料")).alias("price"), _or_null(term("お問合せ先")).alias("contact"))
-    rows = rows.where(events.within_days(F.col("span.date_from"), as_of, days))
+    rows = rows.where(events.within_days(F.col("span.date_from"), as_of, days, oldest=True))
     lines = F.filter(F.transform(F.split(text.decode_entities(text.strip_tags(F.col("html"))), r"\r?\n"), text.trim_space), lambda x: x != "")
     silent = F.coalesce("start", "end", "price", "contact").isNull()
     return _events(rows, source_url=F.col("url"), title=F.col("title"), date_from=F.col("span.date_from"), date_to=F.col("span.date_to"), start_time=F.col("start"), end_time=F.col("end"), price=F.col("price"), contact=F.col("contact"), body=F.when(silent, _or_null(text.line_budget(lines, BODY, cut_first=False, within=True))))
