@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import once
+
 # Weekday signs from Sunday on; rules of year completion; minutes after which it is night.
 WEEKDAYS = ["日", "月", "火", "水", "木", "金", "土"]
 ROLL_FROM, ROLL_TO = 11, 2
@@ -110,8 +112,8 @@ def target_year(month: Column, as_of: dt.date) -> Column:
 
 def single_date(text: Column) -> Column:
     """The first full date in Japanese, slashed or dotted form."""
-    part = lambda i: F.regexp_extract(text, r"(\d{4})\s*[年/.]\s*(\d{1,2})\s*[月/.]\s*(\d{1,2})", i)
-    return F.when(part(1) != "", make_date(part(1), part(2), part(3)))
+    day = lambda p: make_date(F.get(p, 0), F.get(p, 1), F.get(p, 2))
+    return once(F.regexp_extract(text, r"\d{4}\s*[年/.]\s*\d{1,2}\s*[月/.]\s*\d{1,2}", 0), lambda t: F.when(t != "", once(F.split(t, r"\s*[年月/.]\s*"), day)))
 
 
 def compact_date(text: Column) -> Column:
@@ -132,8 +134,8 @@ def minutes(text: Column) -> Column:
 
 def clock(text: Column) -> Column:
     """The first valid time of day as HH:MM, null otherwise."""
-    h, m = (F.regexp_extract(text, r"(\d{1,2}):(\d{2})", i) for i in (1, 2))
-    return F.when((h != "") & (F.try_to_number(h, F.lit("99")) <= 23) & (F.try_to_number(m, F.lit("99")) <= 59), F.concat_ws(":", F.lpad(h, 2, "0"), m))
+    padded = F.lpad(F.regexp_extract(text, r"\d{1,2}:\d{2}", 0), 5, "0")
+    return once(padded, lambda t: F.when((F.left(t, F.lit(2)) <= "23") & (F.right(t, F.lit(2)) <= "59") & t.contains(":"), t))
 
 
 def kanji_clock(text: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import clock, make_date
+from .dates import clock, make_date, single_date
 from .text import alternate, contains_any, normalize_space, plain_newlines, plain_text, tag_text, trim_space, truncate
+from .values import once
 
 # Words around titles and organisers.
 STATUS_PREFIX = r"^[\[【(（](?:終了|開催中|中止|延期|受付中|満席)[\]】)）]\s*"
@@ -105,17 +106,20 @@ def auto_link_parts(text: Column) -> Column:
 
 def _named(text: Column, label: str, stops: str, bad: list[str]) -> Column:
     """The value beside or below a label at the start of a line, up to the next label; null if it is a bad one."""
-    t = plain_newlines(text)
 
-    def clean(x: Column) -> Column:
-        v = normalize_space(F.get(F.split(x, rf"\s*(?:{stops})\s*[：:]"), 0))
+    def proper(v: Column) -> Column:
+        ok = v != ""
         for pattern in bad:
-            v = F.when(~v.rlike(pattern), v)
-        return F.nullif(v, F.lit(""))
+            ok = ok & ~v.rlike(pattern)
+        return F.when(ok, v)
 
-    beside = F.regexp_extract(t, rf"(?:^|\n)\s*(?:{label})\s*[：:]\s*([^\n]+)", 1)
-    below = F.regexp_extract(t, rf"(?:^|\n)\s*(?:{label})\s*\n\s*([^\n]+)", 1)
-    return F.coalesce(clean(beside), clean(below))
+    def value(t: Column) -> Column:
+        clean = lambda x: once(normalize_space(F.get(F.split(x, rf"\s*(?:{stops})\s*[：:]"), 0)), proper)
+        beside = F.regexp_extract(t, rf"(?:^|\n)\s*(?:{label})\s*[：:]\s*([^\n]+)", 1)
+        below = F.regexp_extract(t, rf"(?:^|\n)\s*(?:{label})\s*\n\s*([^\n]+)", 1)
+        return F.coalesce(clean(beside), clean(below))
+
+    return once(plain_newlines(text), value)
 
 
 # Labels of organisers and performers, labels that end their values, and what is no name.
@@ -183,14 +187,18 @@ def implied_end_range_of_list(text: Column) -> Column:
     """``struct(date_from, date_to)``: the first and last of several full dates; else the first one and the month and
     day after it, in the next year if that comes before it."""
     full = r"\d{4}\s*[年/.]\s*\d{1,2}\s*[月/.]\s*\d{1,2}\s*日?"
-    found = F.regexp_extract_all(text, F.lit(f"({full})"), F.lit(1))
-    day = lambda x: make_date(*(F.regexp_extract(x, r"(\d{4})\s*[年/.]\s*(\d{1,2})\s*[月/.]\s*(\d{1,2})", i) for i in (1, 2, 3)))
-    start, last = day(F.get(found, 0)), day(F.get(found, F.size(found) - 1))
-    rest = F.get(F.split(text, full, 2), 1)
-    m, d = (F.regexp_extract(rest, r"(\d{1,2})\s*[月/.]\s*(\d{1,2})", i) for i in (1, 2))
-    end = F.when(m != "", make_date(F.year(start), m, d))
-    end = F.when(end < start, F.add_months(end, 12)).otherwise(end)
-    return F.when(start.isNotNull(), F.struct(start.alias("date_from"), F.when(F.size(found) > 1, last).otherwise(F.coalesce(end, start)).alias("date_to")))
+
+    def short_end(start: Column, rest: Column) -> Column:
+        near = lambda p: make_date(F.year(start), F.get(p, 0), F.get(p, 1))
+        end = once(F.regexp_extract(rest, r"\d{1,2}\s*[月/.]\s*\d{1,2}", 0), lambda t: F.when(t != "", once(F.split(t, r"\s*[月/.]\s*"), near)))
+        return once(end, lambda e: F.coalesce(F.when(e < start, F.add_months(e, 12)).otherwise(e), start))
+
+    def span(x: Column) -> Column:
+        last = F.when(F.size(x["found"]) > 1, single_date(F.get(x["found"], F.size(x["found"]) - 1))).otherwise(short_end(x["start"], x["rest"]))
+        return F.when(x["start"].isNotNull(), F.struct(x["start"].alias("date_from"), last.alias("date_to")))
+
+    dated = lambda t: F.struct(F.regexp_extract_all(t, F.lit(f"({full})"), F.lit(1)).alias("found"), single_date(t).alias("start"), F.get(F.split(t, full, 2), 1).alias("rest"))
+    return once(text, lambda t: once(dated(t), span))
 
 
 def is_title_candidate(text: Column, keywords: list[str]) -> Column:

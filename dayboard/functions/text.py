@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import filled, once
+
 # The white space that pages contain, beyond ASCII; leading decoration of headings; label words that
 # stand where a price or a contact should; generic page titles; words that say nothing in titles.
 SPACE = r"[\s\x{3000}\x{00A0}\x{FEFF}\p{Zs}\x{2028}\x{2029}]"
@@ -91,7 +93,7 @@ def labeled_value(lines: Column, labels: list[str]) -> Column:
         found = []
         for label in labels:
             same = F.regexp_extract(p["line"], rf"{re.escape(label)}\s*[:：]?\s*(.+)", 1)
-            found += [F.nullif(trim_space(same), F.lit("")), F.when(trim_space(p["line"]) == label, F.nullif(trim_space(p["next"]), F.lit("")))]
+            found += [filled(trim_space(same)), F.when(trim_space(p["line"]) == label, filled(trim_space(p["next"])))]
         return F.coalesce(*found)
 
     return F.coalesce(F.get(F.filter(F.transform(pairs, value), lambda x: x.isNotNull()), 0), F.lit(""))
@@ -99,11 +101,11 @@ def labeled_value(lines: Column, labels: list[str]) -> Column:
 
 def first_capture(html: Column, pattern: str, group: int = 1) -> Column:
     """First match's group, null if there is none."""
-    return F.nullif(F.regexp_extract(html, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(html, pattern, group))
 
 
 def tag_text(html: Column, tag: str) -> Column:
-    return F.nullif(plain_text(first_capture(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")), F.lit(""))
+    return filled(plain_text(first_capture(html, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>")))
 
 
 def event_title(html: Column) -> Column:
@@ -113,7 +115,7 @@ def event_title(html: Column) -> Column:
         first_capture(first_capture(html, r"(?is)<article\b[^>]*>(.*?)</article>"), r"(?is)<h1[^>]*>(.*?)</h1>"),
         first_capture(html, r"(?is)<h2[^>]*>(.*?)</h2>"),
     ]
-    ok = [F.when(~contains_any(t, GENERIC_TITLES) & (t != ""), t) for t in (plain_text(x) for x in found)]
+    ok = [once(plain_text(x), lambda t: F.when(~contains_any(t, GENERIC_TITLES) & (t != ""), t)) for x in found]
     return F.coalesce(*ok, F.lit(""))
 
 
@@ -125,8 +127,7 @@ def contains_any(text: Column, words: list[str]) -> Column:
 
 
 def _unless_label(text: Column, words: list[str]) -> Column:
-    t = normalize_space(text)
-    return F.when((t != "") & ~contains_any(t, words), t)
+    return once(normalize_space(text), lambda t: F.when((t != "") & ~contains_any(t, words), t))
 
 
 def normalize_price(text: Column) -> Column:
@@ -138,7 +139,7 @@ def normalize_contact(text: Column) -> Column:
 
 
 def truncate(text: Column, n: int, suffix: str = "…") -> Column:
-    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit(suffix))).otherwise(text)
+    return once(text, lambda t: F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n)), F.lit(suffix))).otherwise(t))
 
 
 def line_budget(lines: Column, most: int, suffix: str = "…", *, cut_first: bool = True, within: bool = False) -> Column:

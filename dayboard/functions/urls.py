@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import once
+
 
 def path(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("PATH"))
@@ -96,22 +98,31 @@ def resolve(url: Column, base: Column) -> Column:
 
     Addresses with a scheme stay as they are; an empty one is the page's own; what is relative loses its dots.
     """
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    base_path, base_query = (F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)(\?[^#]+)?", i) for i in (1, 2))
-    path, query, fragment = (F.regexp_extract(url, r"^([^?#]*)(\?[^#]*)?(#.*)?$", i) for i in (1, 2, 3))
-    query, fragment = (F.when(F.length(x) > 1, x).otherwise("") for x in (query, fragment))
-    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(base_path, "[^/]*$", ""), "^/", ""))
-    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "/{2,}", "/")), "/")
-    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))  # noqa: E731  never above the root
-    walk = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
-    first = F.array(F.get(steps, 0))
-    walked = F.array_join(F.aggregate(F.slice(steps, 2, 1 << 30), first, walk), "/")
-    full = F.concat(walked, F.when((walked == "") | (path.rlike(r"(^|/)\.{1,2}$") & ~walked.endswith("/")), "/").otherwise(""))
-    same_page = F.concat(origin, base_path, F.coalesce(F.nullif(query, F.lit("")), base_query), fragment)
-    relative = F.when(path == "", same_page).otherwise(F.concat(origin, full, query, fragment))
-    joined = F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url == "", base).when(url.startswith("//"), F.concat(scheme, url)).otherwise(relative)
-    return F.when(base.isNotNull() & (url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (origin != "")), joined)
+    part = lambda of, pattern, name, i=1: F.regexp_extract(of, pattern, i).alias(name)
+    place, pieces = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)([^?#]*)(\?[^#]+)?", r"^([^?#]*)(\?[^#]*)?(#.*)?$"
+    absolute = lambda u: u.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+
+    def parts(u: Column, b: Column) -> Column:
+        origin = [part(b, place, name, i) for i, name in ((1, "origin"), (2, "path"), (3, "query"))]
+        return F.struct(*origin, *(part(u, pieces, name, i) for i, name in ((1, "to"), (2, "asked"), (3, "fragment"))))
+
+    def whole(x: Column) -> Column:
+        query, fragment = (F.when(F.length(x[c]) > 1, x[c]).otherwise("") for c in ("asked", "fragment"))
+        folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(x["path"], "[^/]*$", ""), "^/", ""))
+        steps = F.split(F.when(x["to"].startswith("/"), x["to"]).otherwise(F.regexp_replace(F.concat(folder, x["to"]), "/{2,}", "/")), "/")
+        up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))  # noqa: E731  never above the root
+        walk = lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+        walked = once(steps, lambda s: F.array_join(F.aggregate(F.slice(s, 2, 1 << 30), F.array(F.get(s, 0)), walk), "/"))
+        full = once(walked, lambda w: F.concat(w, F.when((w == "") | (x["to"].rlike(r"(^|/)\.{1,2}$") & ~w.endswith("/")), "/").otherwise("")))
+        same_page = F.concat(x["origin"], x["path"], F.coalesce(F.when(query != "", query), x["query"]), fragment)
+        return F.when(x["to"] == "", same_page).otherwise(F.concat(x["origin"], full, query, fragment))
+
+    def joined(u: Column, b: Column) -> Column:
+        scheme = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
+        below = once(parts(u, b), lambda x: F.when(x["origin"] != "", F.when(u == "", b).when(u.startswith("//"), F.concat(scheme, u)).otherwise(whole(x))))
+        return F.when(b.isNotNull(), F.when(absolute(u), u).otherwise(below))
+
+    return once(F.struct(url.alias("u"), base.alias("b")), lambda x: joined(x["u"], x["b"]))
 
 
 def spot_id(url: Column) -> Column:

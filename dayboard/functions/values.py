@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed a single time, however often it is used.
+
+    Spark shares equal parts of a projection, but not below conditions, where each use would compute its value anew;
+    nested uses then multiply.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def filled(text: Column) -> Column:
+    """A text, null instead of an empty one."""
+    return once(text, lambda t: F.when(t != "", t))
+
+
 # Patterns of error texts in the order in which they are tried, exit codes, region slugs.
 ERROR_PATTERNS = [
     ("VALIDATION", r"\[VALIDATION ERROR\]"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, text, urls
+from ..functions.values import filled, once
 from ..operators.dedupe import keep_last_at_first
 from ..sources import dom
 from ..sources.readers import csv_cells
@@ -40,14 +41,14 @@ def _plain(html: Column) -> Column:
 
 def _cell(html: Column, label: str, head: str, body: str) -> Column:
     """Text of the ``body`` element after a ``head`` element that has a label; null without one."""
-    return F.nullif(_plain(text.first_capture(html, rf"(?is)<{head}[^>]*>[^<]*{label}[^<]*</{head}>\s*<{body}[^>]*>(.*?)</{body}>")), F.lit(""))
+    return filled(_plain(text.first_capture(html, rf"(?is)<{head}[^>]*>[^<]*{label}[^<]*</{head}>\s*<{body}[^>]*>(.*?)</{body}>")))
 
 
 def _date(t: Column, as_of: dt.date) -> Column:
     """The first full date, else the first month and day in the year that a listing means."""
-    month, day = (F.regexp_extract(t, r"(\d{1,2})\s*[月/]\s*(\d{1,2})", i) for i in (1, 2))
-    short = F.when(month != "", dates.make_date(dates.target_year(month.cast("int"), as_of), month, day))
-    return F.coalesce(dates.single_date(t), short)
+    day = lambda p: dates.make_date(dates.target_year(F.get(p, 0).cast("int"), as_of), F.get(p, 0), F.get(p, 1))
+    short = lambda x: once(F.regexp_extract(x, r"\d{1,2}\s*[月/]\s*\d{1,2}", 0), lambda m: F.when(m != "", once(F.split(m, r"\s*[月/]\s*"), day)))
+    return once(t, lambda x: F.coalesce(dates.single_date(x), short(x)))
 
 
 def listing(pages: DataFrame, as_of: dt.date) -> DataFrame:
@@ -77,7 +78,7 @@ def _with(rows: DataFrame, tree: DataFrame, lines: str | None = None, **fields:
     e = {c: F.col(c) for c in ("tag", "attrs")}
     first = lambda value, ok: F.min_by(F.when(ok, value), F.when(ok, F.col("node")))
     found = dom.closest(inner, rows.select("url", "node", "last"), "outer").where("outer is not null").groupBy("url", F.col("outer").alias("at"))
-    aggs = [F.nullif(text.normalize_space(first(F.col("text"), w(e))), F.lit("")).alias(name) for name, w in wanted.items()]
+    aggs = [filled(text.normalize_space(first(F.col("text"), w(e)))).alias(name) for name, w in wanted.items()]
     aggs.append(first(dom.attr(F.col("attrs"), "href"), linked(e)).alias("href"))
     if lines is not None:
         aggs.append(F.array_join(F.array_sort(F.collect_list(F.when(F.col("tag") == lines, F.struct("node", "text"))))["text"], " ").alias("lines"))
@@ -109,7 +110,7 @@ def boxes(pages: DataFrame, as_of: dt.date) -> DataFrame:
     says = dom.select(tree, "dd")
     terms = dom.closest(dom.next_sibling(dom.select(tree, "dt"), says, "dd"), rows.select("url", "node", "last"), "box")
     terms = terms.select("url", F.col("box").alias("node"), F.col("node").alias("at"), F.col("text").alias("label"), "dd").where("node is not null")
-    terms = terms.join(says.select("url", F.col("node").alias("dd"), F.nullif(text.normalize_space(F.col("text")), F.lit("")).alias("value")), ["url", "dd"])
+    terms = terms.join(says.select("url", F.col("node").alias("dd"), filled(text.normalize_space(F.col("text"))).alias("value")), ["url", "dd"])
     named = {"when": "開催日", "hours": "営業時間", "who": "対象", "place": "会場場所"}
     found = terms.groupBy("url", "node").agg(*(F.min_by(F.when(F.col("label").contains(label), F.col("value")), F.when(F.col("label").contains(label), F.col("at"))).alias(name) for name, label in named.items()))
     rows = rows.join(found, ["url", "node"])
@@ -129,20 +130,20 @@ def labelled_blocks(pages: DataFrame, label: str = r"と\s*き\s*:", furniture:
     price = F.regexp_extract("now", r"((?:前売り|一般|大人|高校生)[\s\S]*?\d{1,3}(?:,\d{3})*円)", 1)
     start = F.regexp_extract(F.regexp_replace("now", "：", ":"), r"開演\s*(\d{1,2}:\d{2})", 1)
     day = F.regexp_extract("now", r"(\d{4}年\s*\d{1,2}月\s*\d{1,2}日)", 1)
-    return _events(rows, source_url=F.col("url"), title=F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("名称未設定のイベント")), date_from=dates.single_date(day), start_time=dates.clock(start), price=F.nullif(F.trim(F.replace(price, F.lit("\n"), F.lit(" "))), F.lit("")))
+    return _events(rows, source_url=F.col("url"), title=F.coalesce(F.get(lines, F.size(lines) - 1), F.lit("名称未設定のイベント")), date_from=dates.single_date(day), start_time=dates.clock(start), price=filled(F.trim(F.replace(price, F.lit("\n"), F.lit(" ")))))
 
 
 def month_tables(pages: DataFrame, as_of: dt.date, place: str = "") -> DataFrame:
     """Tables below a month: days and time, title, contact and price.  A day is one that has its weekday in brackets."""
     page = text.decode_entities(F.col("html"))
-    month = F.coalesce(F.nullif(F.regexp_extract(page, r'<div class="month">(\d{1,2})', 1), F.lit("")).cast("int"), F.lit(as_of.month))
-    hall = F.coalesce(F.nullif(_plain(text.first_capture(page, r'(?is)<div class="stitle"><h3>(.*?)</h3></div>')), F.lit("")), F.lit(place))
+    month = F.coalesce(filled(F.regexp_extract(page, r'<div class="month">(\d{1,2})', 1)).cast("int"), F.lit(as_of.month))
+    hall = F.coalesce(filled(_plain(text.first_capture(page, r'(?is)<div class="stitle"><h3>(.*?)</h3></div>'))), F.lit(place))
     rows = pages.select("url", month.alias("m"), hall.alias("hall"), F.explode(_parts(page, r"(?is)<tr[^>]*>(.*?)</tr>")).alias("r")).where(~F.col("r").rlike("催し物|日時"))
     rows = rows.select("*", _parts(F.col("r"), r"(?is)<td[^>]*>(.*?)</td>").alias("td")).where(F.size("td") >= 2)
     cell = lambda i: _plain(F.get("td", F.lit(i)))
     when = text.strip_tags_compact(F.get("td", F.lit(0)))
     sides, year = F.split(when, _RANGE), dates.target_year(F.col("m"), as_of)
-    day = lambda i: dates.make_date(year, F.col("m"), F.nullif(F.regexp_extract(F.get(sides, i), r"(\d{1,2})\s*[(（]", 1), F.lit("")))
+    day = lambda i: dates.make_date(year, F.col("m"), filled(F.regexp_extract(F.get(sides, i), r"(\d{1,2})\s*[(（]", 1)))
     start = dates.clock(F.regexp_replace(when, "：", ":"))
     return _events(rows, source_url=F.col("url"), title=cell(1), date_from=day(0), date_to=day(1), start_time=start, price=F.coalesce(cell(3), F.lit("")), venue_name=F.lit(place), body=F.concat(F.lit("会場: "), F.col("hall"), F.lit("\nお問合せ先: "), F.coalesce(cell(2), F.lit(""))))
 
@@ -167,16 +168,16 @@ def calendar(months: DataFrame, details: DataFrame) -> DataFrame:
     row = lambda label: _cell(F.col("html"), label, "th", "td")
     found = details.select(F.col("url").alias("source_url"), row("日時").alias("when"), row("開催場所").alias("place"), row("入場料等").alias("fee"), row("イベント内容").alias("about"))
     start = F.coalesce(dates.clock(text.first_capture(F.col("when"), r"開演(\d{1,2}:\d{2})")), dates.clock(F.col("when")))
-    body = F.nullif(F.concat_ws("\n", F.concat(F.lit("会場: "), F.col("place")), F.col("about")), F.lit(""))
+    body = filled(F.concat_ws("\n", F.concat(F.lit("会場: "), F.col("place")), F.col("about")))
     return _events(rows.join(found, "source_url", "left"), source_url=F.col("source_url"), title=F.col("title"), date_from=F.col("date_from"), start_time=start, price=F.col("fee"), body=body)
 
 
 def entries_with_details(lists: DataFrame, details: DataFrame, as_of: dt.date, place: str = "") -> DataFrame:
     """Entries of a list joined to their pages, which have the date; entries whose page is lacking or undated go."""
     items = lists.select("url", F.explode(_parts(F.col("html"), r'(?is)<li class="c-entries__item">(.*?)</li>')).alias("i"))
-    items = items.select(urls.resolve(text.first_capture(F.col("i"), r'(?i)<a href="([^"]+)"'), F.col("url")).alias("url"), F.coalesce(F.nullif(_plain(text.first_capture(F.col("i"), r"(?is)<h3[^>]*>(.*?)</h3>")), F.lit("")), F.lit("Untitled")).alias("listed"))
+    items = items.select(urls.resolve(text.first_capture(F.col("i"), r'(?i)<a href="([^"]+)"'), F.col("url")).alias("url"), F.coalesce(filled(_plain(text.first_capture(F.col("i"), r"(?is)<h3[^>]*>(.*?)</h3>"))), F.lit("Untitled")).alias("listed"))
     rows = items.join(details.select("url", text.decode_entities(F.col("html")).alias("html")), "url")
-    own = F.nullif(_plain(text.first_capture(F.col("html"), r'(?is)<h1[^>]*class="[^"]*entry-title[^"]*"[^>]*>(.*?)</h1>')), F.lit(""))
+    own = filled(_plain(text.first_capture(F.col("html"), r'(?is)<h1[^>]*class="[^"]*entry-title[^"]*"[^>]*>(.*?)</h1>')))
     row = lambda *labels: F.coalesce(*(_cell(F.col("html"), x, "t[dh]", "td") for x in labels))
     return _events(rows, source_url=F.col("url"), title=F.coalesce(own, "listed"), date_from=_date(row("開催日", "日時", "期間"), as_of), start_time=dates.clock(F.regexp_replace(row("開催時間", "時間"), "：", ":")), price=row("入場料"), venue_name=F.lit(place))
 
@@ -193,7 +194,7 @@ def sheet(lines: DataFrame, as_of: dt.date, place: str = "") -> DataFrame:
     """
     rows = lines.select("url", "n", csv_cells(F.col("line")).alias("c")).where(F.size("c") >= 3)
     cell = lambda i: F.coalesce(F.get("c", F.lit(i)), F.lit(""))
-    month = F.nullif(F.regexp_extract(F.array_join("c", " "), r"(\d{1,2})\s*月\s*行\s*事", 1), F.lit("")).cast("int")
+    month = filled(F.regexp_extract(F.array_join("c", " "), r"(\d{1,2})\s*月\s*行\s*事", 1)).cast("int")
     so_far = Window.partitionBy("url").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("head", month).withColumn("part", F.count("head").over(so_far)).withColumn("m", F.coalesce(F.last("head", True).over(so_far), F.lit(as_of.month)))
     inside = Window.partitionBy("url", "part").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)

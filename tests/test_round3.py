@@ -2,10 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from dayboard.functions import dates, extract, text, urls
 from dayboard.operators import spans
 from dayboard.plans import sources as S
+from dayboard.plans import venues as V
 
 
 def test_contexts_without_joined_or_shuffled_texts(spark):
@@ -21,3 +24,9 @@ def test_described_posts_of_exactly_so_many_days_ago(spark):
     post = '<h3 class="h3_title01">T</h3><dl class="dl_postevent"><dt>開催期間</dt><dd>{0}</dd></dl>'
     d = spark.createDataFrame([("https://v.jp/event/1/", post.format("2025年11月26日")), ("https://v.jp/event/2/", post.format("2025年11月25日"))], "url string, html string")
     assert [r["date_from"] for r in S.described_posts(p, d, dt.date(2026, 11, 26)).select(F.col("date_from")).collect()] == ["2025-11-26"]
+
+
+@pytest.mark.parametrize("use", [dates.single_date, dates.clock, extract.organizer, extract.implied_end_range_of_list, S._date_span, lambda t: V._date(t, dt.date(2026, 11, 26)), lambda t: text.first_capture(t, "(x)"), lambda t: urls.resolve(t, F.lit("https://v.jp/"))])
+def test_a_text_is_computed_once(spark, use):
+    """Each further use below a condition would compute the text anew, and nested uses multiply."""
+    assert str(use(F.col("the_text"))).count("the_text") == 1
