@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, text, urls
+from ..functions.values import filled, once
 from ..operators import dedupe, events, graph, spans
 from ..sources.readers import api_posts, embedded_object, relaxed_json_map
 from ..sources.shared import keep
@@ -51,7 +52,7 @@ def _rooted(url: Column, base: Column) -> Column:
 
 
 def _or_null(t: Column) -> Column:
-    return F.nullif(t, F.lit(""))
+    return filled(t)
 
 
 def _jp_dates(t: Column) -> Column:
@@ -198,26 +199,29 @@ def exhibitions(shows: DataFrame, lists: DataFrame, details: DataFrame, as_of: d
     show = r'(?is)<(?:section|li) class="exhibition-(?:lg-box|simple-item|item)"[^>]*>(.*?)</(?:section|li)>'
     rows = shows.select("url", F.posexplode(_parts(F.col("html"), show)).alias("n", "b"))
     term = text.normalize_space(text.strip_tags_compact(F.coalesce(text.first_capture(F.col("b"), r'(?is)<p class="(?:post-term|exhibition-simple-item__date)">(.*?)</p>'), F.lit(""))))
-    rows = rows.select(F.struct("url", "n").alias("ord"), urls.resolve(text.first_capture(F.col("b"), r'(?i)<a[^>]*href="([^"]+)"'), F.col("url")).alias("source_url"), _compact(text.first_capture(F.col("b"), r"(?is)<h[34][^>]*>(.*?)</h[34]>")).alias("title"), term.alias("term"))
+    rows = _once(rows, F.struct("url", "n").alias("ord"), urls.resolve(text.first_capture(F.col("b"), r'(?i)<a[^>]*href="([^"]+)"'), F.col("url")).alias("source_url"), _compact(text.first_capture(F.col("b"), r"(?is)<h[34][^>]*>(.*?)</h[34]>")).alias("title"), term.alias("term"))
     rows = dedupe.keep_first(rows.where("source_url is not null and title <> ''"), ["source_url"], "ord")
     sides = F.split("term", r"\s*[~～〜]\s*")
     day = lambda i: dates.single_date(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.get(sides, F.lit(i)), r"[（(][^）)]*[）)]", ""), r"\s+", ""), r"(\d)-", "$1/"))
-    page = text.decode_entities(F.col("html"))
-    hours, hall, fee = (_terms(page, x) for x in ("開館時間", "会場", "料金"))
+    page = F.col("page")
+    said = _once(details, F.col("url").alias("source_url"), text.decode_entities(F.col("html")).alias("page"))
+    said = _once(said, "source_url", *(_terms(page, label).alias(name) for name, label in (("hours", "開館時間"), ("hall", "会場"), ("fee", "料金"))))
+    hours, hall, fee = (F.col(name) for name in ("hours", "hall", "fee"))
     general = text.normalize_space(text.first_capture(fee, r"(?is)<th[^>]*>一般</th>.*?<td[^>]*>\s*([^<]+?)\s*</td>"))
     plain_fee = text.normalize_space(text.strip_tags_compact(fee))
+    said = _once(said, "source_url", "hall", general.alias("general"), plain_fee.alias("plain_fee"), text.normalize_space(text.strip_tags_compact(hours)).alias("time"))
+    general, plain_fee, time = (F.col(name) for name in ("general", "plain_fee", "time"))
     price = F.when(general.rlike(r"\d"), general).when(plain_fee.rlike("^無料$|観覧料：?無料") | F.coalesce(general.contains("無料"), F.lit(False)), F.lit("無料"))
-    time = text.normalize_space(text.strip_tags_compact(hours))
     edge = lambda i: F.lpad(text.first_capture(time, r"(\d{1,2}:\d{2})[～~](\d{1,2}:\d{2})", i), 5, "0")
-    found = details.select(F.col("url").alias("source_url"), edge(1).alias("start_time"), edge(2).alias("end_time"), F.concat(F.lit("\n開館時間: "), time).alias("hours"), text.normalize_space(text.strip_tags_compact(hall)).alias("hall"), price.alias("price"), F.concat(F.lit("\n料金詳細: "), plain_fee).alias("fee"))
+    found = said.select("source_url", edge(1).alias("start_time"), edge(2).alias("end_time"), F.concat(F.lit("\n開館時間: "), time).alias("hours"), text.normalize_space(text.strip_tags_compact(hall)).alias("hall"), price.alias("price"), F.concat(F.lit("\n料金詳細: "), plain_fee).alias("fee"))
     rows = rows.join(found, "source_url", "left")
     body = F.concat(F.lit("期間原文: "), F.col("term"), F.coalesce("hours", F.lit("")), F.coalesce("fee", F.lit("")))
     shown = _events(rows, source_url=F.col("source_url"), title=F.col("title"), date_from=day(0), date_to=day(1), start_time=F.col("start_time"), end_time=F.col("end_time"), price=F.col("price"), venue_name=F.concat_ws(" ", F.lit(place), "hall"), body=body)
 
     items = lists.select("url", F.posexplode(_parts(F.col("html"), r"""(?is)(<a\b[^>]*class=["'][^"']*event-item[^"']*["'][^>]*>.*?</a>)""")).alias("n", "b"))
     said = _compact(F.regexp_replace(text.first_capture(F.col("b"), r"""(?is)<p[^>]*class=["'][^"']*post-term[^"']*["'][^>]*>(.*?)</p>"""), r"(?i)<br\s*/?\s*>", " "))
-    items = items.select(F.struct("url", "n").alias("ord"), urls.resolve(text.first_capture(F.col("b"), HREF), F.col("url")).alias("source_url"), _compact(text.first_capture(F.col("b"), r"""(?is)<h2[^>]*class=["'][^"']*event-item__title[^"']*["'][^>]*>(.*?)</h2>""")).alias("title"), said.alias("said"))
-    items = items.withColumn("days", _jp_dates(dates.normalize_date_text(F.col("said"), drop_parens=True))).where(~F.exists("days", lambda x: x.isNull()))
+    items = _once(items, F.struct("url", "n").alias("ord"), urls.resolve(text.first_capture(F.col("b"), HREF), F.col("url")).alias("source_url"), _compact(text.first_capture(F.col("b"), r"""(?is)<h2[^>]*class=["'][^"']*event-item__title[^"']*["'][^>]*>(.*?)</h2>""")).alias("title"), said.alias("said"))
+    items = _once(items, "ord", "source_url", "title", "said", _jp_dates(dates.normalize_date_text(F.col("said"), drop_parens=True)).alias("days")).where(~F.exists("days", lambda x: x.isNull()))
     listed = _events(items, source_url=F.col("source_url"), title=F.col("title"), date_from=F.array_min("days"), date_to=F.array_max("days"), venue_name=F.lit(place), body=F.concat(F.lit("期間原文: "), F.col("said"))).where("source_url is not null")
     listed = listed.where(F.col("date_to") >= F.lit((as_of - dt.timedelta(past)).isoformat()))
 
@@ -271,9 +275,9 @@ def mixed_blocks(pages: DataFrame, as_of: dt.date, folder: str, index: str, mont
     kinds = [r"(?s)(<li.*?</li>)", r"(?s)(<tr.*?</tr>)", r"""(?s)(<div[^>]*class=["'][^"']*event[^"']*["'].*?</div>)"""]
     rows = pages.select("url", F.explode(F.concat(*(_parts(F.col("html"), k) for k in kinds))).alias("b")).withColumn("b", text.decode_entities(F.col("b")))
     link = r"""(?is)<a[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-    rows = rows.select("url", F.trim(text.first_capture(F.col("b"), link)).alias("href"), text.normalize_space(text.strip_tags_compact(text.first_capture(F.col("b"), link, 2))).alias("title"), dates.normalize_date_text(text.normalize_space(text.strip_tags_compact(F.col("b"))), commas=True).alias("t"))
+    rows = _once(rows, "url", F.trim(text.first_capture(F.col("b"), link)).alias("href"), text.normalize_space(text.strip_tags_compact(text.first_capture(F.col("b"), link, 2))).alias("title"), dates.normalize_date_text(text.normalize_space(text.strip_tags_compact(F.col("b"))), commas=True).alias("t"))
     rows = rows.where(F.col("href").contains(folder) & ~F.col("href").rlike("(?i)^(#|mailto:|tel:)") & ~F.col("href").endswith(index))
-    rows = rows.withColumn("found", F.transform(dates.date_parts(F.col("t")), lambda x: F.split(x, "-")))
+    rows = _once(rows, "url", "href", "title", "t", F.transform(dates.date_parts(F.col("t")), lambda x: F.split(x, "-")).alias("found"))
 
     def day(i: int, year: Column) -> Column:
         x = F.get("found", F.lit(i))
@@ -282,7 +286,8 @@ def mixed_blocks(pages: DataFrame, as_of: dt.date, folder: str, index: str, mont
 
     first = day(0, F.lit(as_of.year))
     ranged = (F.size("found") > 1) & F.col("t").rlike("[~-]")
-    rows = rows.withColumn("first", first).withColumn("ranged", ranged).withColumn("last", F.when(F.col("ranged"), day(1, F.year("first"))).otherwise(F.col("first")))
+    rows = _once(rows, "url", "href", "title", "found", first.alias("first"), ranged.alias("ranged"))
+    rows = _once(rows, "url", "href", "title", "first", F.when(F.col("ranged"), day(1, F.year("first"))).otherwise(F.col("first")).alias("last"))
     rows = rows.where("last is not null").where(events.month_window(F.col("first"), as_of, months))
     return _events(rows, source_url=urls.resolve(F.col("href"), F.col("url")), title=F.col("title"), date_from=F.col("first"), date_to=extract.inverted_to_single(F.col("first"), F.col("last"))).where("source_url is not null")
 
@@ -369,8 +374,8 @@ def day_objects(pages: DataFrame, names: tuple[str, ...] = ("e_icon", "event_det
     rows = rows.select("url", F.explode(chosen).alias("day", "html")).withColumn("html", text.decode_entities(F.col("html")))
     head = r"""<span[^>]*class=['"][^"']*\be_icon\b[^"']*['"][^>]*>"""
     blocks = text.pieces(F.col("html"), head)
-    rows = rows.select("url", "day", F.explode(F.when(F.size(blocks) > 0, blocks).otherwise(F.array("html"))).alias("b"))
-    rows = rows.withColumn("t", text.normalize_space(text.strip_tags(F.col("b")))).withColumn("title", text.normalize_space(text.strip_tags(text.first_capture(F.col("b"), r"""(?s)<a[^>]*href=['"][^'"]+['"][^>]*>(.*?)</a>"""))))
+    rows = rows.select("url", "day", F.explode(once(blocks, lambda b: F.when(F.size(b) > 0, b).otherwise(F.array("html")))).alias("b"))
+    rows = _once(rows, "url", "day", "b", text.normalize_space(text.strip_tags(F.col("b"))).alias("t"), text.normalize_space(text.strip_tags(text.first_capture(F.col("b"), r"""(?s)<a[^>]*href=['"][^'"]+['"][^>]*>(.*?)</a>"""))).alias("title"))
     rows = rows.where((F.col("title") != "非公開") & ~F.col("t").contains("休館"))
     hour = lambda label: text.first_capture(F.col("t"), rf"{label}\s*(\d{{1,2}}:\d{{2}})")
     suffix = "…（省略）"
@@ -388,8 +393,10 @@ def next_month_pages(pages: DataFrame, seed: str, most: int = 7) -> DataFrame:
     chain = graph.next_links(pages.sparkSession.createDataFrame([(seed,)], "node string"), links, most)
     rows = pages.join(chain.select(F.col("node").alias("url"), "depth"), "url")
     rows = rows.select("url", "depth", F.posexplode(text.pieces(F.col("html"), r"<h4\b[^>]*>")).alias("n", "p"))
-    rows = rows.withColumn("head", text.first_capture(F.col("p"), r"(?is)^<h4\b[^>]*>(.*?)</h4>")).withColumn("rest", F.regexp_replace("p", r"(?is)^<h4\b[^>]*>.*?</h4>", ""))
-    rows = rows.withColumn("lines", text.lines_at(F.col("rest"), "p|div|li")).withColumn("line", F.get("lines", 0))
+    # a few pages hold all events: these are dealt out before they are read
+    rows = rows.repartition("depth", "n")
+    rows = _once(rows, "url", "depth", "n", text.first_capture(F.col("p"), r"(?is)^<h4\b[^>]*>(.*?)</h4>").alias("head"), F.regexp_replace("p", r"(?is)^<h4\b[^>]*>.*?</h4>", "").alias("rest"))
+    rows = _once(rows, "url", "depth", "n", "head", "rest", text.lines_at(F.col("rest"), "p|div|li").alias("lines")).withColumn("line", F.get("lines", 0))
     links_in = F.transform(_parts(F.col("rest"), r"""(?is)(<a\s+[^>]*href=["'][^"']+["'][^>]*>.*?</a>)"""), lambda a: F.struct(text.first_capture(a, HREF).alias("href"), text.strip_tags_compact(a).alias("t")))
     first_of = lambda keep: F.get(F.filter("links", keep), 0)["href"]
     address = F.coalesce(text.first_capture(F.col("head"), r"""(?i)<a\s+[^>]*href=["']([^"']+)["']"""), first_of(lambda x: x["t"].contains("詳細")), first_of(lambda x: x["href"].contains("/event/")), F.get("links", 0)["href"])
@@ -401,7 +408,7 @@ def next_month_pages(pages: DataFrame, seed: str, most: int = 7) -> DataFrame:
         place = F.regexp_replace(place, gone, "")
     value = lambda labels: _or_null(text.normalize_space(text.labeled_value(F.col("lines"), labels)))
     day = dates.single_date(text.first_capture(F.col("line"), r"(\d{4}年\s*\d{1,2}月\s*\d{1,2}日)"))
-    rows = rows.withColumn("links", links_in).select(F.struct("depth", "n").alias("ord"), F.coalesce(urls.resolve(address, F.col("url")), "url").alias("source_url"), text.heading_title(text.strip_tags_compact(F.col("head"))).alias("title"), day.alias("day"), F.coalesce(start, alone).alias("start"), end.alias("end"), opens.alias("open"), _or_null(text.normalize_space(place)).alias("place"), value(["入場料等", "入場料", "料金"]).alias("price"), value(["お問合せ", "お問い合わせ", "問合せ", "問い合わせ"]).alias("contact"))
+    rows = _once(_once(rows, "*", links_in.alias("links")), F.struct("depth", "n").alias("ord"), F.coalesce(urls.resolve(address, F.col("url")), "url").alias("source_url"), text.heading_title(text.strip_tags_compact(F.col("head"))).alias("title"), day.alias("day"), F.coalesce(start, alone).alias("start"), end.alias("end"), opens.alias("open"), _or_null(text.normalize_space(place)).alias("place"), value(["入場料等", "入場料", "料金"]).alias("price"), value(["お問合せ", "お問い合わせ", "問合せ", "問い合わせ"]).alias("contact"))
     rows = dedupe.keep_first(rows.where("day is not null"), ["title", "day", "place", "start"], "ord")
     return _events(rows, source_url=F.col("source_url"), title=F.col("title"), date_from=F.col("day"), open_time=F.col("open"), start_time=F.col("start"), end_time=F.col("end"), price=F.col("price"), contact=F.col("contact"), venue_name=F.col("place"))
 
@@ -414,13 +421,20 @@ _BREAKS = r"p|div|h[1-6]|section|li"
 
 def _date_span(t: Column) -> Column:
     """``struct(first, last)`` of a full day, a sign of a range after it, and an end whose year may be implied."""
-    rest = F.get(F.split(t, JP_DATE, 2), 1)
-    first = dates.single_date(text.first_capture(t, f"({JP_DATE})"))
-    month, day = (F.regexp_extract(rest, r"(\d{1,2})\s*月\s*(\d{1,2})\s*日", i) for i in (1, 2))
-    near = dates.make_date(F.year(first), month, day)
-    short = F.when(near < first, dates.make_date(F.year(first) + 1, month, day)).otherwise(near)
-    last = F.coalesce(dates.single_date(text.first_capture(rest, f"({JP_DATE})")), F.when(~rest.rlike(JP_DATE), short))
-    return F.when(rest.rlike("~|-|から|まで") & (first <= last), F.struct(first.alias("first"), last.alias("last")))
+
+    def near(first: Column, p: Column) -> Column:
+        day = lambda year: dates.make_date(year, F.get(p, 0), F.get(p, 1))
+        return once(day(F.year(first)), lambda d: F.when(d < first, day(F.year(first) + 1)).otherwise(d))
+
+    def last(first: Column, rest: Column) -> Column:
+        short = once(F.regexp_extract(rest, r"\d{1,2}\s*月\s*\d{1,2}\s*日", 0), lambda m: F.when(m != "", near(first, F.split(m, r"\s*[月日]\s*"))))
+        return F.coalesce(dates.single_date(text.first_capture(rest, f"({JP_DATE})")), F.when(~rest.rlike(JP_DATE), short))
+
+    def span(x: Column) -> Column:
+        return once(F.when(x["rest"].rlike("~|-|から|まで"), last(x["first"], x["rest"])), lambda d: F.when(x["first"] <= d, F.struct(x["first"].alias("first"), d.alias("last"))))
+
+    parts = lambda x: F.struct(dates.single_date(text.first_capture(x, f"({JP_DATE})")).alias("first"), F.get(F.split(x, JP_DATE, 2), 1).alias("rest"))
+    return once(t, lambda x: once(parts(x), span))
 
 
 def special_and_lines(pages: DataFrame) -> DataFrame:
