@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from ..functions.values import rate_status
 from ..sources.readers import decode_bytes, venue_documents
+from ..sources.shared import small_batches
 
 #: Typed reasons, in the order in which they are looked for.
 EMPTY, UNDECODABLE, PARSE, SHAPE, UNDATED = "EMPTY_RESULT", "UNDECODABLE", "PARSE", "SHAPE", "UNDATED"
@@ -37,6 +38,7 @@ def checked_documents(spark: SparkSession, path: str, exclude: str = "template.j
 def checked_bodies(rows: DataFrame, body: str, charset: str, text: str = "html") -> DataFrame:
     """Response bodies with their text and the reason why there is none: EMPTY_RESULT for null and empty ones,
     UNDECODABLE for what is no text in the charset or a broken archive."""
+    small_batches(rows.sparkSession)
     rows = rows.withColumn(text, decode_bytes(F.col(body), charset))
     return rows.withColumn("reason", F.when(F.col(body).isNull() | (F.octet_length(body) == 0), EMPTY).when(F.col(text).isNull(), UNDECODABLE)).drop(body)
 

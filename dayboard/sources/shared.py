@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the bytes of an Arrow batch, so that long texts do not add up in a Python worker; a session that has a bound
+    of its own keeps it."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(bound, most)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: computed once, with a short lineage that does not
     depend on any executor.  The table stays as long as the folder does."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dayboard.functions import dates, extract, text, urls
-from dayboard.operators import spans
+from dayboard.operators import checks, spans
 from dayboard.plans import sources as S
 from dayboard.plans import venues as V
 
@@ -30,3 +30,14 @@ def test_described_posts_of_exactly_so_many_days_ago(spark):
 def test_a_text_is_computed_once(spark, use):
     """Each further use below a condition would compute the text anew, and nested uses multiply."""
     assert str(use(F.col("the_text"))).count("the_text") == 1
+
+
+def test_checked_bodies_bound_the_bytes_of_a_batch(spark):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.unset(bound)
+    try:
+        checks.checked_bodies(spark.createDataFrame([(b"x",)], "body binary"), "body", "utf-8")
+        assert spark.conf.get(bound) == "4m"
+    finally:
+        spark.conf.set(bound, before)
