@@ -85,6 +85,16 @@ def _with(rows: DataFrame, tree: DataFrame, lines: str | None = None, **fields:
     return rows.join(found.agg(*aggs).withColumnRenamed("at", "node"), ["url", "node"], "left")
 
 
+def _first(of: Column, at) -> Column:
+    """The first of an element's own elements of a kind."""
+    return at(F.get(of, 0))
+
+
+def _said(of: Column, at) -> Column:
+    """Its text, null without one."""
+    return filled(text.normalize_space(_first(of, at)["text"]))
+
+
 def cards(pages: DataFrame, as_of: dt.date) -> DataFrame:
     """Cards with name, date, times from opening to end, place and price."""
     tree = keep(dom.trees(pages), "trees")
@@ -105,15 +115,14 @@ def cards(pages: DataFrame, as_of: dt.date) -> DataFrame:
 
 def boxes(pages: DataFrame, as_of: dt.date) -> DataFrame:
     """Boxes with a heading and a list of terms: days from and to, opening hours, who may come and where."""
-    tree = keep(dom.trees(pages), "trees")
-    rows = _with(dom.select(tree, "div", "box").select("url", "node", "last"), tree, title=("div", "mid"))
-    says = dom.select(tree, "dd")
-    terms = dom.closest(dom.next_sibling(dom.select(tree, "dt"), says, "dd"), rows.select("url", "node", "last"), "box")
-    terms = terms.select("url", F.col("box").alias("node"), F.col("node").alias("at"), F.col("text").alias("label"), "dd").where("node is not null")
-    terms = terms.join(says.select("url", F.col("node").alias("dd"), filled(text.normalize_space(F.col("text"))).alias("value")), ["url", "dd"])
     named = {"when": "開催日", "hours": "営業時間", "who": "対象", "place": "会場場所"}
-    found = terms.groupBy("url", "node").agg(*(F.min_by(F.when(F.col("label").contains(label), F.col("value")), F.when(F.col("label").contains(label), F.col("at"))).alias(name) for name, label in named.items()))
-    rows = rows.join(found, ["url", "node"])
+
+    def columns(e: Column, at) -> dict[str, Column]:
+        value = lambda label: F.get(F.filter(e["term"], lambda i: at(i)["value"].isNotNull() & at(i)["text"].contains(label)), 0)
+        return {"title": _said(e["head"], at)} | {name: filled(text.normalize_space(at(at(value(label))["value"])["text"])) for name, label in named.items()}
+
+    kinds = {"box": ("div", "box"), "head": ("div", "mid"), "term": ("dt",), "value": ("dd",)}
+    rows = dom.chosen(pages, kinds, "box", columns, texts=("head", "term", "value"), own={"head": ("box", "head"), "term": ("box", "term")}, after={"value": ("term", "value")})
     sides = F.split(F.translate("when", "０１２３４５６７８９", "0123456789"), _RANGE)
     hours = F.regexp_extract(text.half_width(F.col("hours")), r"(\d{1,2}:\d{2})", 1)
     first, last = _date(F.get(sides, 0), as_of), _date(F.get(sides, 1), as_of)

@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
+
 # Fixed values of HTML: elements without content, elements whose content is text, and which open element a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
@@ -31,78 +34,88 @@ _ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s
 NODE = "struct<node:int,last:int,parent:int,depth:int,nth:int,tag:string,attrs:map<string,string>,text_from:int,text_to:int>"
 
 
-def parse(page: str) -> tuple[list[tuple], str]:
-    """Elements in order as tuples of :data:`NODE`'s fields, and the page's text, to which they have offsets.
+def _new(tag: str, rest: str) -> tuple[str, dict[str, str], frozenset, frozenset]:
+    """Tag, attributes, and what a start tag ends and cannot look beyond."""
+    tag, attrs = tag.lower(), {}
+    for name, a, b, c in _ATTR.findall(rest):
+        attrs.setdefault(name.lower(), entities.unescape(a or b or c))
+    return tag, attrs, ENDS.get(tag, frozenset()), SCOPE.get(tag, _WALLS)
+
+
+_seen = lru_cache(4096)(_new)  # pages repeat their start tags
+
+
+def parse(page: str) -> tuple[list[list], str]:
+    """Elements in order as lists of :data:`NODE`'s fields, and the page's text, to which they have offsets.
 
     Elements that are never closed reach to the end of what holds them; an end tag without an open element is left
-    out, and so are comments and declarations.
+    out, and so are comments and declarations.  Attributes are shared between elements and not to be changed.
     """
     nodes: list[list] = []
-    open_: list[int] = []
-    children: dict[int, int] = {}
+    open_: list[list] = []
+    kids = [0]  # elements so far at the top, and inside each open element
+    live: dict[str, int] = {}  # how many elements of a tag are open
     text: list[str] = []
     size = 0
 
     def close(to: int) -> None:
         while len(open_) > to:
             n = open_.pop()
-            nodes[n][1], nodes[n][8] = len(nodes) - 1, size
-
-    def say(piece: str) -> None:
-        nonlocal size
-        if piece:
-            text.append(piece)
-            size += len(piece)
+            kids.pop()
+            live[n[5]] -= 1
+            n[1], n[8] = len(nodes) - 1, size
 
     at, end = 0, len(page)
     while at < end:
-        lt = page.find("<", at)
-        if lt < 0:
-            say(entities.unescape(page[at:]))
-            break
-        say(entities.unescape(page[at:lt]))
-        m = _TOKEN.match(page, lt)
+        m = _TOKEN.search(page, at)
+        stop = m.start() if m else end
+        if stop > at:
+            piece = entities.unescape(page[at:stop])
+            text.append(piece)
+            size += len(piece)
         if not m:
-            say("<")
-            at = lt + 1
-            continue
+            break
         at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+        ended, begun, rest = m.groups()
+        if ended:
+            tag = ended.lower()
+            if not live.get(tag):
+                continue
             for k in range(len(open_) - 1, -1, -1):
-                if nodes[open_[k]][5] == tag:
+                t = open_[k][5]
+                if t == tag:
                     close(k)
                     break
-                if nodes[open_[k]][5] in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
+                if t in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
                     break  # not out of a cell
-        elif m[2]:
-            tag = m[2].lower()
-            ends, scope = ENDS.get(tag, frozenset()), SCOPE.get(tag, _WALLS)
-            cut = len(open_)
-            for k in range(len(open_) - 1, -1, -1):
-                t = nodes[open_[k]][5]
-                if t in scope:
-                    break
-                if t in ends:
-                    cut = k
-            close(cut)
-            parent = open_[-1] if open_ else -1
-            attrs = {}
-            for name, a, b, c in _ATTR.findall(m[3]):
-                attrs.setdefault(name.lower(), entities.unescape(a or b or c))
-            nth = children.get(parent, 0)
-            children[parent] = nth + 1
+        elif begun:
+            tag, attrs, ends, scope = (_seen if len(rest) < 256 else _new)(begun, rest)
+            if any(map(live.get, ends)):
+                cut = len(open_)
+                for k in range(len(open_) - 1, -1, -1):
+                    t = open_[k][5]
+                    if t in scope:
+                        break
+                    if t in ends:
+                        cut = k
+                close(cut)
             n = len(nodes)
-            nodes.append([n, n, parent, len(open_), nth, tag, attrs, size, size])
+            node = [n, n, open_[-1][0] if open_ else -1, len(open_), kids[-1], tag, attrs, size, size]
+            nodes.append(node)
+            kids[-1] += 1
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
                 raw = page[at : stop.start() if stop else end]
-                say(entities.unescape(raw) if tag in ("textarea", "title") else raw)
-                nodes[n][8], at = size, stop.end() if stop else end
+                raw = entities.unescape(raw) if tag in ("textarea", "title") else raw
+                text.append(raw)
+                size += len(raw)
+                node[8], at = size, stop.end() if stop else end
             elif tag not in VOID:
-                open_.append(n)
+                open_.append(node)
+                kids.append(0)
+                live[tag] = live.get(tag, 0) + 1
     close(0)
-    return [tuple(x) for x in nodes], "".join(text)
+    return nodes, "".join(text)
 
 
 _INT, _STR = pa.int32(), pa.string()
@@ -134,6 +147,105 @@ def trees(pages: DataFrame) -> DataFrame:
     return pages.select("url", "html").mapInArrow(_trees, f"url string, text string, nodes array<{NODE}>")
 
 
+#: Columns of a chosen element, before those that were asked for.
+_PLACE = ("node", "last", "depth", "nth")
+
+
+def _chooser(kinds: dict, texts: tuple, up: dict, own: dict, after: dict) -> Callable[[str], list[list]]:
+    """Of a page, the elements of any kind: place on the page, kinds as bits, href and text, then the columns of each axis."""
+    bit = {name: 1 << i for i, name in enumerate(kinds)}
+    outers = sorted({o for _, o in up.values()} | {o for o, _ in own.values()} | {k[3] for k in kinds.values() if k[3]})
+    slot = {o: i for i, o in enumerate(outers)}
+    outer_bits, text_bits = sum(bit[o] for o in outers), sum(bit[t] for t in texts)
+    lists = len(_PLACE) + 3 + len(up)  # where the columns of lists begin
+    ups = [(len(_PLACE) + 3 + i, bit[kind], slot[outer]) for i, (kind, outer) in enumerate(up.values())]
+    owns = [(lists + i, bit[inner], slot[outer]) for i, (outer, inner) in enumerate(own.values())]
+    nexts = [(lists + len(own) + 2 * i, bit[kind], bit[other]) for i, (kind, other) in enumerate(after.values())]
+    width = lists + len(own) + 2 * len(after)
+
+    @lru_cache(4096)
+    def of(tag: str, cls: str | None) -> tuple[int, list[tuple]]:
+        """The kinds that tag and class decide, and those that need more."""
+        names = re.split(r"\s+", cls, flags=re.A) if cls is not None else ()
+        fits = [(bit[n], attr, within) for n, (t, c, attr, within) in kinds.items() if t in (None, tag) and (c is None or c in names)]
+        return sum(b for b, attr, within in fits if not (attr or within)), [(b, attr, slot.get(within)) for b, attr, within in fits if attr or within]
+
+    def choose(page: str) -> list[list]:
+        nodes, text = parse(page)
+        out: list[list] = []
+        inside = [()] * len(nodes) + [(None,) * len(outers)]  # innermost elements of the outer kinds, for what an element holds; the last: for the top
+        waiting: dict[tuple, list[int]] = {}
+        for node, last, parent, depth, nth, tag, attrs, start, stop in nodes:
+            around = inside[parent]
+            bits, more = of(tag, attrs.get("class"))
+            for b, attr, within in more:
+                if (attr is None or attr in attrs) and (within is None or around[within] is not None):
+                    bits |= b
+            inside[node] = around
+            if not bits:
+                continue
+            place = len(out)
+            row = [node, last, depth, nth, bits, attrs.get("href"), text[start:stop] if bits & text_bits else None] + [None] * (width - len(_PLACE) - 3)
+            out.append(row)
+            if bits & outer_bits:
+                inside[node] = tuple(place if bits & bit[o] else a for o, a in zip(outers, around, strict=True))
+            for c, b, s in ups:
+                if bits & b:
+                    row[c] = around[s]
+            for c, b, s in owns:
+                if bits & b and around[s] is not None:
+                    outer = out[around[s]]
+                    if outer[c] is None:
+                        outer[c] = []
+                    outer[c].append(place)
+            for c, b, other in nexts:
+                if bits & other and (parent, c) in waiting:
+                    row[c + 1] = waiting.pop((parent, c))
+                    for w in row[c + 1]:
+                        out[w][c] = place
+                if bits & b:
+                    waiting.setdefault((parent, c), []).append(place)
+        return out
+
+    return choose
+
+
+def chosen(pages: DataFrame, kinds: dict[str, tuple], of: str, columns: Callable[[Column, Callable[[Column], Column]], dict[str, Column]], *, texts: tuple = (), up: dict = {}, own: dict = {}, after: dict = {}) -> DataFrame:  # noqa: B006
+    """A row for each element of the kind ``of`` on ``pages(url, html)``: its url and ``columns(e, at)``.
+
+    A kind is (tag, class, attribute, kind that must be around it), None for what does not matter.  ``e`` has node, last, depth,
+    nth, href, the text inside if its kind is among ``texts``, and the places of other chosen elements, whose structs ``at(place)`` gives:
+    ``up[name] = (kind, outer)`` of the innermost outer element around one of a kind; ``own[name] = (outer, inner)`` all inner
+    elements that have this outer one as their innermost; ``after[name] = (kind, other)`` the next of the others under the
+    same parent, and under ``name_of`` at that one all that it is next to.
+
+    The work on a page is in its own row, in proportion to its length: nothing is shuffled, joined or sorted, and only the chosen
+    elements leave Python.
+    """
+    small_batches(pages.sparkSession)
+    kinds = {name: (*k, *[None] * (4 - len(k))) for name, k in kinds.items()}
+    singles, lists = [*up], [*own]
+    names = [*_PLACE, "kinds", "href", "text", *singles, *lists, *(f"{n}{x}" for n in after for x in ("", "_of"))]
+    types = [_INT] * 5 + [_STR] * 2 + [_INT] * len(singles) + [pa.list_(_INT)] * len(lists) + [_INT, pa.list_(_INT)] * len(after)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choose = _chooser(kinds, texts, up, own, after)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [choose(h or "") for h in part.column("html").to_pylist()]
+                values = zip(*(row for rows in found for row in rows), strict=True) if any(found) else [()] * len(names)
+                els = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("url"), pa.ListArray.from_arrays(_offsets(found), els)], names=["url", "els"])
+
+    spark_type = {_INT: "int", _STR: "string", pa.list_(_INT): "array<int>"}
+    els = ",".join(f"{n}:{spark_type[t]}" for n, t in zip(names, types, strict=True))
+    tree = pages.select("url", "html").mapInArrow(rows, f"url string, els array<struct<{els}>>")
+    wanted = F.filter("els", lambda e: e["kinds"].bitwiseAND(F.lit(1 << [*kinds].index(of))) != 0)
+    made = F.transform(wanted, lambda e: F.struct(*[c.alias(n) for n, c in columns(e, lambda place: F.get("els", place)).items()]))
+    return tree.select("url", F.inline(made))
+
+
 def has_class(attrs: Column, name: str) -> Column:
     """Whether one of an element's classes is the name."""
     return F.coalesce(F.array_contains(F.split(F.try_element_at(attrs, F.lit("class")), r"\s+"), name), F.lit(False))
