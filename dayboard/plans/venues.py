@@ -59,32 +59,6 @@ def listing(pages: DataFrame, as_of: dt.date) -> DataFrame:
     return _events(rows, source_url=urls.resolve(F.col("href"), F.col("url")), title=F.col("t"), date_from=dates.single_date(F.col("t"))).where("source_url is not null")
 
 
-def _with(rows: DataFrame, tree: DataFrame, lines: str | None = None, **fields: tuple[str, str]) -> DataFrame:
-    """Elements ``(url, node, last)`` with the text of the first element of each tag and class inside them, null without;
-    with ``href``, the address of their first link; and, if a tag is named for ``lines``, all texts of its elements.
-
-    Whatever is asked for is selected at once and led to its outer element in one pass.
-    """
-    linked = lambda x: (x["tag"] == "a") & dom.attr(x["attrs"], "href").isNotNull()
-    wanted = {name: (lambda x, tag=tag, cls=cls: (x["tag"] == tag) & dom.has_class(x["attrs"], cls)) for name, (tag, cls) in fields.items()}
-
-    def any_of(x: Column) -> Column:
-        out = linked(x)
-        for w in wanted.values():
-            out = out | w(x)
-        return out if lines is None else out | (x["tag"] == lines)
-
-    inner = dom.select(tree, where=any_of)
-    e = {c: F.col(c) for c in ("tag", "attrs")}
-    first = lambda value, ok: F.min_by(F.when(ok, value), F.when(ok, F.col("node")))
-    found = dom.closest(inner, rows.select("url", "node", "last"), "outer").where("outer is not null").groupBy("url", F.col("outer").alias("at"))
-    aggs = [filled(text.normalize_space(first(F.col("text"), w(e)))).alias(name) for name, w in wanted.items()]
-    aggs.append(first(dom.attr(F.col("attrs"), "href"), linked(e)).alias("href"))
-    if lines is not None:
-        aggs.append(F.array_join(F.array_sort(F.collect_list(F.when(F.col("tag") == lines, F.struct("node", "text"))))["text"], " ").alias("lines"))
-    return rows.join(found.agg(*aggs).withColumnRenamed("at", "node"), ["url", "node"], "left")
-
-
 def _first(of: Column, at) -> Column:
     """The first of an element's own elements of a kind."""
     return at(F.get(of, 0))
@@ -97,8 +71,14 @@ def _said(of: Column, at) -> Column:
 
 def cards(pages: DataFrame, as_of: dt.date) -> DataFrame:
     """Cards with name, date, times from opening to end, place and price."""
-    tree = keep(dom.trees(pages), "trees")
-    rows = _with(dom.select(tree, cls="event-wrap").select("url", "node", "last"), tree, "p", title=("p", "event-name"), times=("p", "event-time"), price=("div", "event-info1"), place=("span", "event-place1"))
+    fields = {"title": ("p", "event-name"), "times": ("p", "event-time"), "price": ("div", "event-info1"), "place": ("span", "event-place1")}
+
+    def columns(e: Column, at) -> dict[str, Column]:
+        lines = F.array_join(F.transform(e["line"], lambda i: at(i)["text"]), " ")
+        return {name: _said(e[name], at) for name in fields} | {"href": _first(e["link"], at)["href"], "lines": lines}
+
+    kinds = {"card": (None, "event-wrap"), "link": ("a", None, "href"), "line": ("p",), **fields}
+    rows = dom.chosen(pages, kinds, "card", columns, texts=("line", *fields), own={name: ("card", name) for name in ("link", "line", *fields)})
     span = extract.time_range(F.col("times"))
     return _events(
         rows,
