@@ -16,7 +16,6 @@ from ..functions.values import filled, once
 from ..operators.dedupe import keep_last_at_first
 from ..sources import dom
 from ..sources.readers import csv_cells
-from ..sources.shared import keep
 
 COLUMNS = ["source_url", "title", "date_from", "date_to", "open_time", "start_time", "end_time", "price", "contact", "venue_name", "body", "description", "image_url", "status"]
 _RANGE = "[~～－−-]"
@@ -144,14 +143,13 @@ def calendar(months: DataFrame, details: DataFrame) -> DataFrame:
     Closed days are left out; of events of one day and title the last counts.  An event whose detail page did not
     land stays with what the calendar says.
     """
-    tree = keep(dom.trees(months), "trees")
-    cells, links = dom.select(tree, "td").select("url", "node", "last"), dom.select(tree, "a", where=lambda x: x["attrs"]["href"].isNotNull())
-    links = links.select("url", "node", "parent", "nth", dom.attr(F.col("attrs"), "href").alias("href"))
-    marked = dom.select(tree, cls="event")
-    of = lambda found, outer: found.where(f"{outer} is not null").groupBy("url", outer).agg(F.min_by("href", "node").alias(f"{outer}_href"))
-    days = of(dom.closest(dom.inside(links, dom.select(tree, cls="daily")), cells, "cell"), "cell")
-    own = of(dom.closest(links, marked, "event"), "event")
-    rows = dom.closest(marked, cells, "cell").join(days, ["url", "cell"]).join(own.withColumnRenamed("event", "node"), ["url", "node"])
+    kinds = {"cell": ("td",), "daily": (None, "daily"), "event": (None, "event"), "link": ("a", None, "href"), "day": ("a", None, "href", "daily")}
+
+    def columns(e: Column, at) -> dict[str, Column]:
+        return {"node": e["node"], "text": e["text"], "cell_href": _first(at(e["cell"])["days"], at)["href"], "event_href": _first(e["links"], at)["href"]}
+
+    rows = dom.chosen(months, kinds, "event", columns, texts=("event",), up={"cell": ("event", "cell")}, own={"days": ("cell", "day"), "links": ("event", "link")})
+    rows = rows.where("cell_href is not null and event_href is not null")
     rows = rows.select(F.struct("url", "node").alias("ord"), dates.compact_date(F.col("cell_href")).alias("date_from"), text.normalize_space(F.col("text")).alias("title"), urls.resolve(F.col("event_href"), F.col("url")).alias("source_url"))
     rows = keep_last_at_first(rows.where("title <> '' and date_from is not null and source_url is not null and not contains(title, '休館日')"), ["date_from", "title"], "ord")
     row = lambda label: _cell(F.col("html"), label, "th", "td")
