@@ -8,7 +8,6 @@ from ..operators import ordering, render, rules, stats
 from ..plans import listing, venues
 from ..schema import RAW_EVENT
 from ..sources import dom
-from ..sources.shared import keep
 from .base import AS_OF, F, order_events, table
 
 LABELS = {"sports": "スポーツ", "exhibition": "展覧会", "performance": "公演"}
@@ -215,12 +214,15 @@ def _cells(spark, sf):
 
 def dom_cells(spark, sf):
     """Each event's cell, innermost table and next element of its kind, by the places of elements on the page."""
-    tree = keep(dom.trees(_cells(spark, sf)), "trees")
-    found = dom.closest(dom.closest(dom.select(tree, cls="event"), dom.select(tree, "td"), "cell"), dom.select(tree, "table"), "table_node")
-    links = dom.inside(dom.select(tree, "a"), dom.select(tree, "div", "daily"))
-    after = dom.next_sibling(dom.select(tree, "p"), dom.select(tree, "div")).select("url", F.col("next").alias("node"), F.col("text").alias("before"))
-    days = dom.closest(links, dom.select(tree, "td"), "cell").select("url", "cell", dom.attr(F.col("attrs"), "href").alias("day"))
-    return found.join(days, ["url", "cell"]).join(after, ["url", "node"]).select("url", "node", "last", "depth", "nth", "cell", "table_node", "text", "day", "before")
+    kinds = {"event": (None, "event"), "cell": ("td",), "table": ("table",), "daily": ("div", "daily"), "day": ("a", None, None, "daily"), "p": ("p",), "div": ("div",)}
+
+    def columns(e, at):
+        days = F.transform(at(e["cell"])["days"], lambda i: at(i)["href"])
+        return {c: e[c] for c in ("node", "last", "depth", "nth", "text")} | {"cell": at(e["cell"])["node"], "table_node": at(e["table"])["node"], "days": days, "befores": F.transform(e["follows_of"], lambda i: at(i)["text"])}
+
+    rows = dom.chosen(_cells(spark, sf), kinds, "event", columns, texts=("event", "p"), up={"cell": ("event", "cell"), "table": ("event", "table")}, own={"days": ("cell", "day")}, after={"follows": ("p", "div")})
+    rows = rows.withColumn("day", F.explode("days")).withColumn("before", F.explode("befores"))
+    return rows.select("url", "node", "last", "depth", "nth", "cell", "table_node", "text", "day", "before")
 
 
 def calendar_events(spark, sf):
