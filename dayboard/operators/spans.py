@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alternate
+from ..functions.values import once
+
+# Elements of a block of running sums, signs of a part of a text.
+BLOCK, PART = 64, 2048
 
 
 def match_spans(df: DataFrame, keys: list[str], text: str, pattern: str) -> DataFrame:
@@ -23,20 +29,26 @@ def match_spans(df: DataFrame, keys: list[str], text: str, pattern: str) -> Data
     return placed.where("_k % 2 = 1").select(*keys, F.floor(F.col("_k") / 2).cast("int").alias("n"), (F.col("end") - F.length("match")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), "match", "before", "after")
 
 
-def contexts(df: DataFrame, keys: list[str], text: str, pattern: str, before: int, after: int, where=None) -> DataFrame:
+def _running(sizes: Column) -> Column:
+    """Running sums of an array, by blocks: each step of an aggregate copies what it has so far."""
+    last = lambda xs: F.coalesce(F.get(xs, F.size(xs) - 1), F.lit(0))
+    sums = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda done, x: F.array_append(done, last(done) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: sums(F.slice(sizes, b * BLOCK + 1, BLOCK)))
+    whole = lambda bs: F.zip_with(bs, sums(F.transform(bs, last)), lambda own, end: F.transform(own, lambda x: end - last(own) + x))
+    return F.flatten(once(blocks, whole))
+
+
+def contexts(df: DataFrame, keys: list[str], text: str, pattern: str, before: int, after: int, where: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(keys, n, match, context)``: matches with so many signs before their start and after their end, as far as there
-    are any.  ``where`` may filter the matches by the columns of :func:`match_spans` before contexts are cut out.
+    are any.  ``where`` may filter the matches by their text before contexts are cut out.
 
-    Offsets are running sums inside a text's row: no text is joined, broadcast or shuffled.
+    Offsets are running sums inside a text's row, and a context is cut out of the parts of the text that it lies in: no
+    text is joined, broadcast, shuffled or repeated, and the work grows with the text's length.
     """
-    add = lambda done, p: F.array_append(done, F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + F.length(p))
-    cut = df.select(*keys, F.col(text).alias("_text"), alternate(F.col(text), pattern).alias("_p"))
-    cut = cut.select("*", F.aggregate("_p", F.array().cast("array<int>"), add).alias("_e"))
-    piece = lambda p, i: F.struct(i.alias("k"), p.alias("match"), F.get("_e", i).alias("end"), F.get("_p", i - 1).alias("before"), F.get("_p", i + 1).alias("after"))
-    found = cut.select(*keys, "_text", F.explode(F.filter(F.transform("_p", piece), lambda x: x["k"] % 2 == 1)).alias("_m"))
-    found = found.select(*keys, "_text", F.floor(F.col("_m.k") / 2).cast("int").alias("n"), (F.col("_m.end") - F.length("_m.match")).alias("start"), *(f"_m.{c}" for c in ("end", "match", "before", "after")))
-    found = found.where(where) if where is not None else found
-    first = F.greatest(F.col("start") - before, F.lit(0))
-    rows = found.select(*keys, "n", "match", "_text", first.alias("_a"), (F.col("end") + after - first).alias("_n"))
-    # as a generated row, so that what reads the context does not cut it out once more each time
-    return rows.select(F.inline(F.array(F.struct(*keys, "n", "match", F.expr("substring(_text, _a + 1, _n)").alias("context")))))
+    cut = df.select(*keys, alternate(F.col(text), pattern).alias("_p"), F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0)).alias("_parts"))
+    cut = cut.select("*", _running(F.transform("_p", F.length)).alias("_e"))
+    found = F.filter(F.transform("_p", lambda p, i: F.struct(i.alias("k"), p.alias("match"))), lambda m: (m["k"] % 2 == 1) & (where(m["match"]) if where else F.lit(True)))
+    span = lambda end, size: once(F.greatest(end - size - before, F.lit(0)), lambda a: F.struct(a.alias("a"), (end + after - a).alias("n")))
+    held = lambda s: F.array_join(F.slice("_parts", (s["a"] / PART).cast("int") + 1, ((s["a"] % PART + s["n"]) / PART).cast("int") + 1), "")
+    context = lambda m: once(span(F.get("_e", m["k"]), F.length(m["match"])), lambda s: F.substr(held(s), s["a"] % PART + 1, s["n"]))
+    return cut.select(*keys, F.inline(F.transform(found, lambda m: F.struct(F.floor(m["k"] / 2).cast("int").alias("n"), m["match"].alias("match"), context(m).alias("context")))))

@@ -61,6 +61,23 @@ def _jp_dates(t: Column) -> Column:
     return F.transform(F.regexp_extract_all(digits, F.lit(f"({JP_DATE})"), F.lit(1)), dates.single_date)
 
 
+def _first_jp_date(html: Column) -> Column:
+    """The first of :func:`_jp_dates` of the text of HTML, without making the text: one pass goes over what stands before
+    the day, tags as a whole, and only what the day spans is cleaned.  Breaks count before other tags, which may hold
+    them.
+
+    All repetitions are possessive, so nothing is tried again and long texts need no deep stack.  Full-width digits are
+    replaced beforehand where there are any; a class that holds them as well would take ten times as long.
+    """
+    digits = once(html, lambda t: F.when(t.rlike("[０-９]"), F.translate(t, "０１２３４５６７８９", "0123456789")).otherwise(t))
+    brk = r"(?i:<br\s*/?>|</(?:p|li|div|dt|dd)>)"
+    tag = rf"(?>{brk}|<(?>[^<>]++|{brk}|<)*+>)"
+    gap = rf"(?>{text.SPACE}++|{tag}|&(?:amp;)?nbsp;)*+"
+    day = rf"[0-9]{{4}}{gap}年{gap}[0-9]{{1,2}}{gap}月{gap}[0-9]{{1,2}}{gap}日"
+    found = text.first_capture(digits, rf"\A(?>[^<0-9]++|{tag}|(?!{day})[<0-9])*+({day})")
+    return F.get(_jp_dates(text.normalize_space(text.decode_entities(text.strip_tags_with_breaks(found)))), 0)
+
+
 def _compact(html: Column) -> Column:
     return text.normalize_space(text.strip_tags_compact(text.decode_entities(html)))
 
@@ -105,12 +122,11 @@ def windowed_links(lists: DataFrame, details: DataFrame) -> DataFrame:
     """Links to events with what stands around them (500 signs before, 1500 after): the first heading there names the
     event, and its first day counts where the detail's table has none."""
     link = r"""(?is)<a\b[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""
-    rows = spans.contexts(lists, ["url"], "html", link, 500, 1500, where=F.col("match").contains("/event/event-"))
+    rows = spans.contexts(lists, ["url"], "html", link, 500, 1500, where=lambda m: m.contains("/event/event-"))
     clean = lambda t: text.trim_space(F.regexp_replace(F.regexp_replace(text.normalize_space(text.strip_tags(text.decode_entities(t))), r"^(開催日|会期|日時)\s*[:：]?\s*", ""), r"\s*開催日\s*[:：]?.*$", ""))
-    plain = text.normalize_space(text.decode_entities(text.strip_tags_with_breaks(F.col("context"))))
     head = F.coalesce(text.first_capture(F.col("context"), r"(?is)<h3\b[^>]*>(.*?)</h3>"), text.first_capture(F.col("match"), LINK, 2))
-    rows = _once(rows, "n", "url", text.first_capture(F.col("match"), HREF).alias("href"), head.alias("head"), plain.alias("plain"))
-    rows = _once(rows, "n", "url", urls.resolve(F.col("href"), F.col("url")).alias("source_url"), clean(F.col("head")).alias("listed"), F.get(_jp_dates(F.col("plain")), 0).alias("near"))
+    rows = _once(rows, "n", "url", text.first_capture(F.col("match"), HREF).alias("href"), head.alias("head"), _first_jp_date(F.col("context")).alias("near"))
+    rows = _once(rows, "n", "url", urls.resolve(F.col("href"), F.col("url")).alias("source_url"), clean(F.col("head")).alias("listed"), "near")
     rows = rows.where(F.col("source_url").rlike(r"^[^?#]*/event/event-[^/?#]+/?(?:[?#]|$)") & (F.col("listed") != "") & ~F.col("listed").rlike(r"(?i)^(詳細を見る|more|read\s*more|view\s*more)$"))
     rows = dedupe.keep_first(rows.withColumn("ord", F.struct("url", "n")), ["source_url"], "ord")
     table = text.first_capture(F.col("html"), r"""(?is)<table\b[^>]*class=["'][^"']*eventTable[^"']*["'][^>]*>(.*?)</table>""")
@@ -118,9 +134,9 @@ def windowed_links(lists: DataFrame, details: DataFrame) -> DataFrame:
     content = _or_null(text.normalize_space(text.decode_entities(text.strip_tags_with_breaks(text.first_capture(F.col("html"), r"""(?is)<[^>]*class=["'][^"']*entry-content[^"']*["'][^>]*>(.*?)</[^>]+>""")))))
     image = F.coalesce(text.first_capture(F.col("html"), r"""(?is)<[^>]*class=["'][^"']*mec-events-event-image[^"']*["'][^>]*>.*?<img\b[^>]*src=["']([^"']+)["']"""), text.first_capture(F.col("html"), r"""(?is)<article\b[^>]*>.*?<img\b[^>]*src=["']([^"']+)["']"""))
     found = details.select(F.col("url").alias("source_url"), table.alias("t"), content.alias("content"), urls.resolve(image, F.col("url")).alias("image_url"))
-    rows = rows.join(found, "source_url").withColumn("days", _jp_dates(cell("開催日")))
+    rows = _once(rows.join(found, "source_url"), *found.columns, "listed", "near", cell("開催日").alias("held")).withColumn("days", _jp_dates(F.col("held")))
     first = F.get("days", 0)
-    start = F.when(cell("開催日").isNull(), F.coalesce(first, "near")).otherwise(first)
+    start = F.when(F.col("held").isNull(), F.coalesce(first, "near")).otherwise(first)
     last = F.coalesce(F.when(first.isNotNull(), F.get("days", F.size("days") - 1)), start)
     hour = dates.clock(text.half_width(cell("時間")))
     about = F.concat_ws("\n", F.concat(F.lit("会場: "), cell("会場")), "content")

@@ -20,8 +20,16 @@ def _jp(d, padded=False):
 
 
 def _lists(rows, item, before="", after=""):
-    """A page for each customer with the items of its orders, in order."""
-    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i")))), lambda x: x["i"]), "")
+    """A page for each customer with the items of its orders, in order.
+
+    An item that is a function of an order is written where its page is made, so that long texts are not shuffled.  These
+    partitions, four a core, keep their number: by the bytes of orders Spark would coalesce what the texts make large.
+    """
+    if callable(item):
+        rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "c")
+        html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "k", "date_from"))), item), "")
+    else:
+        html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i")))), lambda x: x["i"]), "")
     return rows.groupBy("c").agg(html.alias("i")).select(F.concat(F.lit(HOST), "c", F.lit("/")).alias("url"), F.concat(F.lit(before), "i", F.lit(after)).alias("html"))
 
 
@@ -120,7 +128,7 @@ def text_events(spark, sf):
 
 def window_events(spark, sf):
     o, k = _orders(spark, sf), F.col("k")
-    item = _text("<p>", F.lit("." * 600), "</p><h3>開催日 V", k, "</h3><a href='/event/event-", k, "/'>詳細</a>", _jp("date_from"), F.lit("." * 1600))
+    item = lambda x: _text("<p>", F.lit("." * 600), "</p><h3>開催日 V", x["k"], "</h3><a href='/event/event-", x["k"], "/'>詳細</a>", _jp(x["date_from"]), F.lit("." * 1600))
     cell = F.when(F.col("o_orderkey") % 2 == 0, _text("<table class='eventTable'><tr><th>開催日</th><td>", _jp("date_from"), "～", _jp("date_to"), "</td></tr></table>")).otherwise("x")
     details = o.select(_text(HOST, "event/event-", k, "/").alias("url"), cell.alias("html"))
     return sources.windowed_links(_lists(o, item), details).select("source_url", "title", "date_from", "date_to")
